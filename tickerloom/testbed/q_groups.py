@@ -190,7 +190,7 @@ def _(v):
     return L.cap_per_key(L.dedupe_headlines(_headlines(v)), "ticker", ["seq"], 30).select("ticker", "seq")
 
 
-@query("w8_rank_in_key", sql="""
+@query("m8_request_ranks", sql="""
 SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events""")
 def _(v):
     """Row numbers within five heavy keys."""
