@@ -87,9 +87,9 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
             closes = (closes + [None if pd.isna(close) else float(close)])[-(period + 1):]
             out.append((key[0], day, close, _rsi_of(closes, period)))
         state.update((seen, closes))
-        yield pd.DataFrame(
-            [r for r in out if r[3] is not None], columns=["Ticker", "Date", "Close", "RSI"]
-        )
+        rated = [row for row in out if row[3] is not None]
+        if rated:
+            yield pd.DataFrame(rated, columns=["Ticker", "Date", "Close", "RSI"])
 
     return stream.select("Ticker", "Date", "Close").groupBy("Ticker").applyInPandasWithState(
         step,

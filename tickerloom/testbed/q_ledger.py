@@ -37,12 +37,12 @@ def _(v):
 def withdrawals(v: Views):
     return v._table("orders").select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("request_ts"),
-        F.col("o_custkey").alias("user_id"), F.round(F.col("o_totalprice") / 128, 2).cast(MONEY).alias("amount"),
+        F.col("o_custkey").alias("user_id"), (F.col("o_totalprice").cast("decimal(12,2)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY).alias("amount"),
     )
 
 
 @query("m2_withdraw", "wallet", f"""
-WITH deltas AS (SELECT o_custkey AS user_id, -round(o_totalprice / 128, 2)::decimal(18,8) AS delta FROM orders) {WALLET_SQL}""")
+WITH deltas AS (SELECT o_custkey AS user_id, -(o_totalprice::decimal(12,2) * 0.01::decimal(3,2))::decimal(18,8) AS delta FROM orders) {WALLET_SQL}""")
 def _(v):
     return M.withdraw(v.wallet(), withdrawals(v)).wallet
 
@@ -50,7 +50,7 @@ def _(v):
 @query("m2_withdraw_floor", "wallet", """
 SELECT user_id, CASE WHEN a IS NULL THEN w.amount::decimal(18,8)::double ELSE
   list_reduce(a, lambda have, ask: CASE WHEN have >= ask THEN have - ask ELSE have END, w.amount::decimal(18,8))::double END AS amount
-FROM wallet w LEFT JOIN (SELECT o_custkey AS user_id, list(round(o_totalprice / 128, 2)::decimal(18,8) ORDER BY o_orderdate, o_orderkey) AS a
+FROM wallet w LEFT JOIN (SELECT o_custkey AS user_id, list((o_totalprice::decimal(12,2) * 0.01::decimal(3,2))::decimal(18,8) ORDER BY o_orderdate, o_orderkey) AS a
                          FROM orders GROUP BY o_custkey) USING (user_id)""")
 def _(v):
     return M.withdraw(v.wallet(), withdrawals(v), floor=True).wallet
