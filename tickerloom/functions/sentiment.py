@@ -22,25 +22,37 @@ BEARISH_WORDS = (
 )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sentiment_from_logits(logits: Column) -> Column:
     """Softmax over the logits, then the weighted sum of the class probabilities."""
-    top = F.array_max(logits)
-    odds = F.transform(logits, lambda x: F.exp(x - top))
     weights = F.array(*[F.lit(w) for w in CLASS_WEIGHTS])
-    total = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
-    signed = F.aggregate(F.zip_with(odds, weights, lambda o, w: o * w), F.lit(0.0), lambda acc, x: acc + x)
-    return signed / total
+
+    def weigh(odds: Column) -> Column:
+        total = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
+        signed = F.aggregate(F.zip_with(odds, weights, lambda o, w: o * w), F.lit(0.0), lambda acc, x: acc + x)
+        return signed / total
+
+    def odds(values: Column) -> Column:
+        return _let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+
+    return _let(logits, lambda values: _let(odds(values), weigh))
 
 
 def word_logits(text: Column, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> Column:
-    """Default scorer: how many of the text's words are on the bearish and the bullish list."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    """Default scorer: the share of the text's words that are on the bearish and on the bullish list."""
+
+    def count(words: Column) -> Column:
+        def share(vocabulary) -> Column:
+            hits = F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
+            return hits.cast("double") / F.size(words).cast("double")
 
-    def hits(vocabulary) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*vocabulary))).cast("double")
+        return F.array(share(bearish), F.lit(0.0), share(bullish))
 
-    n = F.size(words).cast("double")
-    return F.array(hits(bearish) / n, F.lit(0.0), hits(bullish) / n)
+    return _let(F.split(F.lower(text), r"[^\p{L}]+"), count)
 
 
 def sentiment_label(score: Column) -> Column:

@@ -15,34 +15,10 @@ def _of(df: DataFrame, user_id) -> DataFrame:
     return df if user_id is None else lookup(df, user_id=user_id)
 
 
-def _per_coin(tx: DataFrame, *extra) -> DataFrame:
-    """Buys and sells summed per (user, coin), ahead of the join: the shuffle to the price table then carries
-    one row per (user, coin) and no coin's key can be heavier than it has users."""
-    return tx.groupBy("user_id", "crypto_price_id").agg(
-        A.sum_where("buy", "number_of_coins").cast(A.COINS).alias("_bought"),
-        A.sum_where("sell", "number_of_coins").cast(A.COINS).alias("_sold"),
-        *extra,
-    )
-
-
-def _remaining():
-    return (F.sum("_bought") - F.sum("_sold")).cast(A.COINS).alias("remaining_coins")
-
-
 def portfolio(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
     """Coins held per (user, ticker, price) with net cost and market value, positive holdings only."""
-    costs = [
-        A.sum_where("buy", "cost").cast("decimal(28,2)").alias("_bought_cost"),
-        A.sum_where("sell", "cost").cast("decimal(28,2)").alias("_sold_cost"),
-    ]
-    per_coin = with_price(_per_coin(_of(tx, user_id), *costs), price.select("crypto_price_id", "ticker", "current_price"))
-    held = per_coin.groupBy("user_id", "ticker", "current_price").agg(
-        F.sum("_bought").cast(A.COINS).alias("total_bought"),
-        F.sum("_sold").cast(A.COINS).alias("total_sold"),
-        _remaining(),
-        (F.sum("_bought_cost") - F.sum("_sold_cost")).cast("decimal(30,2)").alias("net_cost"),
-    )
-    return positive(held, "remaining_coins").withColumn("market_value", A.market_value())
+    coins = price.select("crypto_price_id", "ticker", "current_price")
+    return positive(A.valuation(with_price(_of(tx, user_id), coins), "user_id", "ticker"), "remaining_coins")
 
 
 def portfolio_totals(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
@@ -51,10 +27,9 @@ def portfolio_totals(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame
 
 def sellable(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
     """Positive holdings per (user, ticker) with the newest transaction id."""
-    newest = F.max("transaction_id").alias("_newest")
-    per_coin = with_price(_per_coin(_of(tx, user_id), newest), price.select("crypto_price_id", "ticker"))
-    held = per_coin.groupBy("user_id", "ticker").agg(_remaining(), F.max("_newest").alias("transaction_id"))
-    return positive(held, "remaining_coins")
+    coins = price.select("crypto_price_id", "ticker")
+    held = A.holdings(with_price(_of(tx, user_id), coins), "user_id", "ticker", latest_tx=True)
+    return positive(held, "remaining_coins").select("user_id", "ticker", "remaining_coins", "transaction_id")
 
 
 def swappable(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:

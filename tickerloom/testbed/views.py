@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.functions.numbers import unit_cost
 from tickerloom.operators.indicators import pct_change
 from tickerloom.operators.reshape import long_to_wide
 
@@ -68,7 +67,11 @@ class Views:
         """Line items as ledger rows; the four-part key packed into one number is their id."""
         line = self._table("lineitem")
         owner = self._table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
-        coins, amount = F.col("l_quantity").cast("decimal(18,8)"), F.col("l_extendedprice").cast("decimal(15,8)")
+        # Prices are whole cents and quantities whole numbers, kept in doubles: integers become decimals
+        # far faster than doubles do.
+        cents, coins = F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.col("l_quantity").cast("bigint")
+        unit_cents = F.expr("(2 * cents + coins) div (2 * coins)")
+        line = line.withColumns({"cents": cents, "coins": coins})
         kind = (
             F.when(F.col("l_returnflag").isin("N", "A"), "buy")
             .when(F.col("l_linestatus") == "F", "sell")
@@ -78,9 +81,9 @@ class Views:
             transaction_id().alias("transaction_id"),
             "user_id",
             F.col("l_partkey").alias("crypto_price_id"),
-            coins.alias("number_of_coins"),
-            amount.alias("amount"),
-            unit_cost(amount, coins).cast("decimal(15,2)").alias("cost"),
+            F.col("coins").cast("decimal(18,8)").alias("number_of_coins"),
+            (F.col("cents") * cent()).cast("decimal(15,8)").alias("amount"),
+            (unit_cents * cent()).cast("decimal(15,2)").alias("cost"),
             kind.alias("transaction_type"),
             F.col("l_shipdate").cast("timestamp").alias("created_at"),
             F.col("l_suppkey").alias("other_user"),
@@ -159,6 +162,10 @@ class Views:
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
+def cent():
+    return F.lit("0.01").cast("decimal(2,2)")
+
+
 def transaction_id():
     def part(name: str, scale: int):
         return F.col(name).cast("decimal(20,0)") * F.lit("1" + "0" * scale).cast(f"decimal({scale + 1},0)")
