@@ -1,0 +1,112 @@
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from tickerloom.operators import filters as R, joins as J, latest as L
+from tickerloom.operators.aggregates import available_coins, ledger_balance, news_span
+from tickerloom.plans import market, portfolio as P
+
+T0 = dt.datetime(2025, 1, 1)
+TX = "transaction_id bigint, user_id bigint, crypto_price_id bigint, number_of_coins decimal(18,8), amount decimal(15,8), cost decimal(15,2), transaction_type string"
+PRICE = "crypto_price_id bigint, ticker string, current_price string, fiat_currency string"
+
+
+def ledger(spark, rows):
+    return spark.createDataFrame([(i, u, c, Decimal(n), Decimal(a), Decimal(k), t) for i, u, c, n, a, k, t in rows], TX)
+
+
+def test_latest_keeps_ties_or_one(spark):
+    df = spark.createDataFrame([("A", 2, 1), ("A", 2, 5), ("A", 1, 9), ("B", 1, 1)], "k string, d int, v int")
+    assert sorted(map(tuple, L.latest_with_ties(df, "k", "d").collect())) == [("A", 2, 1), ("A", 2, 5), ("B", 1, 1)]
+    assert sorted(map(tuple, L.latest_one(df, ["k"], ["d"]).collect())) == [("A", 2, 5), ("B", 1, 1)]
+    assert sorted(map(tuple, L.first_one(df, ["k"], ["d"]).collect())) == [("A", 1, 9), ("B", 1, 1)]
+
+
+def test_headlines_dedupe_and_cap(spark):
+    rows = [("T", " Same ", "P", 3), ("T", "Same", "P ", 1), ("T", "Same", "Q", 2)]
+    rows += [("T", f"h{i}", "P", 10 + i) for i in range(300)] + [("U", "Same", "P", 0)]
+    df = spark.createDataFrame(rows, "ticker string, title string, source string, seq bigint")
+    once = L.dedupe_headlines(df)
+    assert once.count() == 303
+    capped = L.cap_per_key(once, "ticker", ["seq"], 100)
+    seqs = sorted(r.seq for r in capped.filter("ticker = 'T'").collect())
+    assert seqs == sorted([1, 2] + [10 + i for i in range(98)])
+    assert capped.filter("ticker = 'U'").count() == 1
+
+
+def test_first_nonempty_source(spark):
+    df = spark.createDataFrame([("A", 2, "x"), ("A", 1, "y"), ("A", 1, "z"), ("B", 2, "w")], "k string, p int, v string")
+    assert sorted(r.v for r in L.first_nonempty_source(df, "k", "p").collect()) == ["w", "y", "z"]
+
+
+def test_board_joins(spark):
+    bars = spark.createDataFrame(
+        [("A-USD", T0.date(), 1.234, 1000, 0.5), ("B-USD", T0.date(), 2.0, 5, None), ("C-USD", T0.date(), 3.0, 5, -0.1),
+         ("C-USD", dt.date(2024, 1, 1), 9.0, 5, 0.9)],
+        "Ticker string, Date date, Open double, Volume bigint, percentage_change double",
+    )
+    scores = spark.createDataFrame([("AUSD", 0.6, 0.1), ("A-USD", 0.8, 0.3)], "ticker string, avg_sentiment_score double, avg_sentiment_score1 double")
+    icons = spark.createDataFrame([("A-USD.png",), ("AUSD.png",), ("CUSD.png",)], "image_name string")
+    rows = market.market_board(bars, scores, icons).collect()
+    assert [(r.ticker, r.image_name) for r in rows] == [
+        ("A-USD", "A-USD.png"), ("A-USD", "AUSD.png"), ("C-USD", "CUSD.png"), ("B-USD", None),
+    ]
+    assert (rows[0].open, rows[0].volume, rows[0].sentiment, rows[0].sentiment1) == (1.23, "1,000", "positive", "negative")
+    assert (rows[3].change_label, rows[3].sentiment) == (None, "neutral")
+
+
+def test_portfolio_edge_cases(spark):
+    price = spark.createDataFrame([(1, "BTC", "10", "USD"), (2, "BTC", "11", "USD"), (3, "ETH", "5", "USD"), (4, "BAD", "x", "USD")], PRICE)
+    tx = ledger(spark, [
+        (1, 1, 1, "2", "20", "10", "buy"), (2, 1, 2, "3", "33", "11", "buy"), (3, 1, 1, "0.5", "5", "10", "sell"),
+        (4, 1, 3, "2", "10", "5", "buy"), (5, 1, 3, "2", "10", "5", "sell"),
+        (6, 2, 3, "1", "5", "5", "sell"), (7, 3, 1, "4", "40", "10", "p2p-buy"), (8, 4, 4, "1", "1", "1", "buy"),
+    ])
+    held = {(r.user_id, r.ticker, r.current_price): (r.remaining_coins, r.net_cost, r.market_value) for r in P.portfolio(tx, price).collect()}
+    assert held == {
+        (1, "BTC", "10"): (Decimal("1.5"), Decimal(0), Decimal(15)), (1, "BTC", "11"): (Decimal(3), Decimal(11), Decimal(33)),
+        (4, "BAD", "x"): (Decimal(1), Decimal(1), None),
+    }
+    totals = {r.user_id: r.total_market_value for r in P.portfolio_totals(tx, price).collect()}
+    assert totals == {1: Decimal(48), 4: Decimal(0)}
+    assert {(r.user_id, r.ticker, r.transaction_id) for r in P.sellable(tx, price, 1).collect()} == {(1, "BTC", 3)}
+    assert {r.user_id: r.balance for r in ledger_balance(tx).collect()} == {1: Decimal(48), 2: Decimal(-5), 3: Decimal(40), 4: Decimal(1)}
+    assert [tuple(r) for r in P.balance_of(tx, 77).collect()] == [(77, Decimal(0))]
+    available = {(r.user_id, r.crypto_price_id): r.available_coins for r in available_coins(tx, "user_id", "crypto_price_id").collect()}
+    assert available[(1, 3)] is None and available[(2, 3)] is None and available[(1, 1)] == Decimal("1.5")
+
+
+def test_order_availability(spark):
+    price = spark.createDataFrame([(1, "BTC", "10", "USD"), (2, "BTC", "11", "USD")], PRICE)
+    tx = ledger(spark, [(1, 1, 1, "2", "20", "10", "sell"), (2, 1, 2, "1", "20", "10", "buy")])
+    orders = spark.createDataFrame(
+        [(1, 1, "BTC", Decimal(3), "Bank", "pending", T0), (2, 9, "BTC", Decimal(3), "Bank", "pending", dt.datetime(2026, 1, 1))],
+        "order_id bigint, user_id bigint, ticker string, price decimal(15,8), payment_mode string, status string, created_at timestamp",
+    )
+    assert [(r.order_id, r.coins_available, r.order_value) for r in P.user_orders(orders, tx, price).collect()] == [
+        (2, Decimal(0), Decimal(0)), (1, Decimal(-1), Decimal(-3)),
+    ]
+    ids = J.price_id_for(spark.createDataFrame([("BTC",), ("X",)], "ticker string"), price)
+    assert {r.ticker: r.crypto_price_id for r in ids.collect()} == {"BTC": 1, "X": None}
+
+
+def test_validation_keeps_every_row_once(spark):
+    df = spark.createDataFrame([(1, 5), (2, -1), (3, None)], "id int, n int")
+    ok, bad = R.validate(df, [("n", F.col("n") > 0)])
+    assert [r.id for r in ok.collect()] == [1]
+    assert {(r.id, r.reject_reason) for r in bad.collect()} == {(2, "n"), (3, "n")}
+
+
+def test_order_split_and_search(spark):
+    df = spark.createDataFrame([(1, "BTC-USD"), (2, "eth-usd")], "user_id int, ticker string")
+    assert {r.user_id: r.side for r in R.split_orders(df, 1).collect()} == {1: "own", 2: "market"}
+    assert {r.side for r in R.split_orders(df).collect()} == {"market"}
+    assert [r.ticker for r in R.search_ticker(df, "Eth").collect()] == ["eth-usd"]
+    assert R.rows_for(df, "ticker", "all").count() == 2 and R.rows_for(df, "ticker", "BTC-USD").count() == 1
+
+
+def test_news_span_counts_whole_days(spark):
+    rows = [("A", dt.datetime(2025, 1, 1, 23, 0)), ("A", dt.datetime(2025, 1, 2, 1, 0)), ("B", None), ("C", T0), ("C", dt.datetime(2025, 1, 3, 0, 0))]
+    got = {r.ticker: r.days for r in news_span(spark.createDataFrame(rows, "ticker string, date_time timestamp")).collect()}
+    assert got == {"A": 0, "C": 2}
