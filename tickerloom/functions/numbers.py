@@ -52,15 +52,14 @@ def change_class(c: Column) -> Column:
     return F.when(c < 0, "negative").when(c > 0, "positive").when(c == 0, "neutral")
 
 
-def change_label(c: Column) -> Column:
-    """The change with four decimals; gains carry a plus sign, zero carries none."""
-    shown = F.bround(c, 4)
-    return F.when(c > 0, F.format_string("%+.4f%%", shown)).when(c.isNotNull(), F.format_string("%.4f%%", shown))
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed decimals. Rounds by the value the double really has; an exact half goes to the even digit."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Fixed decimals; an exact half goes to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+def change_label(c: Column) -> Column:
+    """The change with four decimals; gains carry a plus sign, zero carries none."""
+    return F.concat(F.when(c > 0, "+").otherwise(""), fixed(c, 4), F.lit("%"))
 
 
 def unit_cost(amount: Column, coins: Column) -> Column:

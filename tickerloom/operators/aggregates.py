@@ -47,7 +47,8 @@ def net_coins(tx: DataFrame, keys: list[str], name: str = "net") -> DataFrame:
 
 
 def market_value() -> Column:
-    return (F.col("remaining_coins") * to_money(F.col("current_price"))).cast("decimal(38,8)")
+    # 26 + 18 digits is the widest product that keeps eight decimals.
+    return (F.col("remaining_coins").cast("decimal(26,8)") * to_money(F.col("current_price"))).cast("decimal(38,8)")
 
 
 def valuation(tx_with_price: DataFrame, *keys: str) -> DataFrame:

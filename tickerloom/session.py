@@ -38,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/tickerloom/{uuid.uuid4().hex}/{name}"
+    """A fresh path under the shared folder. One application's paths lie together, to be deleted after it ends."""
+    return f"{shared_dir(spark)}/tickerloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -77,9 +77,14 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, closes = (state.get if state.exists else (None, []))
         closes = list(closes)
-        pending = pd.concat(list(frames)).sort_values("Date").drop_duplicates("Date")
+        # One close a day, however often a bar is repeated; the greatest of differing ones.
+        pending: dict = {}
+        for frame in frames:
+            for day, close in frame.groupby("Date")["Close"].max().items():
+                known = pending.get(day)
+                pending[day] = close if known is None or pd.isna(known) or close > known else known
         out = []
-        for day, close in zip(pending["Date"], pending["Close"]):
+        for day, close in sorted(pending.items()):
             if seen is not None and str(day) <= seen:
                 continue
             seen = str(day)

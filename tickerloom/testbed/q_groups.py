@@ -156,7 +156,7 @@ def _(v):
 WITH f AS (SELECT "Ticker", "Date", last_value(CASE WHEN "Volume" > 1 THEN "Close" END IGNORE NULLS) OVER
              (PARTITION BY "Ticker" ORDER BY "Date" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM prices)
 SELECT "Ticker", {day('"Date"')} AS "Date", round(p, 6) AS percentage_change FROM
-  (SELECT *, c / lag(c) OVER (PARTITION BY "Ticker" ORDER BY "Date") - 1 AS p FROM f) WHERE p IS NOT NULL""")
+  (SELECT *, c / lag(c) OVER (PARTITION BY "Ticker" ORDER BY "Date") - 1 AS p FROM f) WHERE p IS NOT NULL AND NOT isnan(p) AND NOT isinf(p)""")
 def _(v):
     gaps = v.prices().withColumn("Close", F.when(F.col("Volume") > 1, F.col("Close")))
     return rounded(I.pct_change(gaps).select("Ticker", "Date", "percentage_change"), 6, "percentage_change")

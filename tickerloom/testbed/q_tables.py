@@ -160,7 +160,9 @@ DRIVER_PAGES = headlines.CardSelectors(
 )
 DOMAIN_SQL = r"regexp_extract(url, '^http[s]?://[^/]*\.([a-z]+)[/:?]?', 1)"
 PRIORITY_SQL = """CASE WHEN html LIKE '<!DOCTYPE html><html lang="en">%' THEN 1 ELSE 2 END"""
-TITLE_SQL = "replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')"
+# An entity that is cut off before its semicolon still counts.
+TITLE_SQL = """regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&#x27;', chr(39)),
+  '&amp;?', '&', 'g')"""
 
 
 @query("s14_extract_headlines", sql=f"""
