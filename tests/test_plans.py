@@ -1,0 +1,60 @@
+"""What the plans look like: pushed filters, pruned columns, no cross joins, no forced single task."""
+
+import os
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tickerloom.operators.joins import left_join_known
+from tickerloom.plans import portfolio as P
+from tickerloom.testbed.views import Views
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
+# A global maximum has one value and so one task.
+GLOBAL = {"a12_max_date", "f3_trailing_days", "q4_rsi_chart", "q8_score_news"}
+RUNS_AT_CALL = ("r", "s", "m")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(RUNS_AT_CALL)))
+def test_no_cross_join_and_no_single_task(spark, no_broadcast, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "BatchEvalPython"):
+        assert word not in text
+    assert "SinglePartition" not in text or name in GLOBAL
+
+
+def test_one_user_is_filtered_in_the_scan(spark):
+    v = Views(spark, FOLDER)
+    text = plan(P.portfolio(v.transactions(), v.crypto_price(), 7))
+    assert "EqualTo(o_custkey,7)" in text
+    assert "l_shipdate" not in text and "o_totalprice" not in text
+
+
+def test_rows_without_a_key_are_spread(spark, no_broadcast):
+    left = spark.range(4000).select(F.when(F.col("id") < 10, F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).cast("decimal(5,0)").alias("w"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_join_known(left, right, "k")
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows = joined.collect()
+    assert len(rows) == 4000
+    assert {r.k: r.w for r in rows if r.k is not None} == {i: Decimal(2 * i) for i in range(10)}
+    assert all(r.w is None for r in rows if r.k is None)

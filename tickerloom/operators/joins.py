@@ -9,6 +9,15 @@ from tickerloom.functions.text import icon_ticker, ticker_clean
 from tickerloom.operators.aggregates import mean_score_clean, net_coins
 
 
+def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join that spreads rows without a key over all tasks; they match nothing and would else meet in one."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1024))).otherwise(F.lit(0))
+    # Always 0, but not a constant to the optimizer, which would take it out of the join's keys.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    left, right = df.withColumn("_spread", spread.cast("bigint")), other.withColumn("_spread", zero.cast("bigint"))
+    return left.join(right, [key, "_spread"], "left").drop("_spread")
+
+
 def with_sentiment(board: DataFrame, scores: DataFrame) -> DataFrame:
     """Board rows with their ticker's mean scores; tickers meet without dashes."""
     keyed = board.withColumn("ticker_clean", ticker_clean(F.col("ticker")))
@@ -33,7 +42,7 @@ def with_price(tx: DataFrame, price: DataFrame) -> DataFrame:
 
 def tx_with_coin(tx: DataFrame, price: DataFrame) -> DataFrame:
     """Every transaction with its coin's row, if there is one."""
-    return tx.join(price, "crypto_price_id", "left")
+    return left_join_known(tx, price, "crypto_price_id")
 
 
 def order_availability(orders: DataFrame, tx: DataFrame, price: DataFrame) -> DataFrame:

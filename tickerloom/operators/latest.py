@@ -51,10 +51,13 @@ def cap_per_key(df: DataFrame, key: str, order: list[str], n: int = 100, spread:
 
 
 def dedupe_headlines(df: DataFrame, key: str = "ticker", seq: str = "seq") -> DataFrame:
-    """One row per (ticker, headline key): the first to arrive."""
+    """One row per (ticker, headline key): the first to arrive.
+
+    Rows meet by the key's SHA-256, so that long titles do not travel twice.
+    """
     from tickerloom.functions.text import headline_key
 
-    keyed = df.withColumn("_key", headline_key(F.col("title"), F.col("source")))
+    keyed = df.withColumn("_key", F.sha2(headline_key(F.col("title"), F.col("source")), 256))
     return first_one(keyed, [key, "_key"], [seq]).drop("_key")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickerloom.functions.numbers import swap_quantity, swap_value, to_money, trade_amount, unit_cost
 from tickerloom.functions.text import canonical_status
 from tickerloom.operators.filters import not_registered, validate
-from tickerloom.operators.joins import price_id_for
+from tickerloom.operators.joins import left_join_known, price_id_for
 from tickerloom.operators.latest import first_one, latest_one
 from tickerloom.operators.ordered import rank_in_key, union_all
 from tickerloom.operators.settlement import AMOUNT, settle
@@ -129,7 +129,7 @@ def buy_listed(tx: DataFrame, wallet: DataFrame, price: DataFrame, requests: Dat
         .join(coin, "crypto_price_id")
         .drop("crypto_price_id")
     )
-    asked = requests.join(listed, "transaction_id", "left")
+    asked = left_join_known(requests, listed, "transaction_id")
     ok, bad = validate(
         asked,
         [("transaction not found", F.col("seller_id").isNotNull()), ("own order", F.col("buyer_id") != F.col("seller_id"))],
@@ -157,7 +157,7 @@ def settle_p2p(orders: DataFrame, tx: DataFrame, wallet: DataFrame, price: DataF
     logs the buy only. The order is then gone.
     """
     book = orders.select("order_id", F.col("user_id").alias("seller_id"), "ticker", "price", "payment_mode")
-    asked = requests.join(book, "order_id", "left")
+    asked = left_join_known(requests, book, "order_id")
     by_wallet = F.col("payment_mode") == "Wallet"
     zero = F.lit(0).cast(AMOUNT)
     to_settle = asked.withColumns(
@@ -254,7 +254,7 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
     )
     bought = last.select("transaction_id", "_bought")
     old = (
-        orders.join(bought, "transaction_id", "left")
+        left_join_known(orders, bought, "transaction_id")
         .withColumn("status", F.when(F.col("_bought").isNotNull(), "completed").otherwise(F.col("status")))
         .drop("_bought")
     )

@@ -13,6 +13,7 @@ from tickerloom.operators.filters import drop_null, rows_for
 from tickerloom.operators.joins import merge_means
 from tickerloom.operators.latest import cap_per_key, dedupe_headlines, first_nonempty_source
 from tickerloom.operators.ordering import newest_first, tickers
+from tickerloom.session import stage
 from tickerloom.sources.headlines import CardSelectors, extract_headlines
 
 MAX_CARDS = 100
@@ -24,8 +25,8 @@ def ingest_news(pages: DataFrame, selectors: CardSelectors = CardSelectors(), ca
     pages: page_id, ticker, priority (of the address the page came from), html. Per ticker the first address with
     any card wins; the first ``cap`` distinct headlines in page order stay.
     """
-    place = pages.select("page_id", "priority")
-    cards = extract_headlines(pages, selectors).join(place, "page_id")
+    # Written once: the pages are parsed a single time, though their cards are read twice.
+    cards = stage(extract_headlines(pages, selectors, keep=("page_id", "ticker", "priority")), "cards")
     kept = first_nonempty_source(cards, "ticker", "priority").withColumn("seq", F.struct("page_id", "position"))
     return clean_news(kept.select("ticker", "title", "source", "raw_time", "seq"), cap)
 

@@ -46,7 +46,7 @@ class CardSelectors:
 
 _PARTS = ("title", "provider", "event", "clock")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FOUND = ("page_id", "ticker", "position", "tooltip", "title_text", "provider_text", "event_time", "clock_time",
+FOUND = ("position", "tooltip", "title_text", "provider_text", "event_time", "clock_time",
          "clock_text", "has_event")
 
 
@@ -97,7 +97,7 @@ class _Cards(HTMLParser):
         self.card, self.open = None, {}
 
 
-def _rows(page_id, ticker, html: str, selectors: CardSelectors):
+def _rows(page: list, html: str, selectors: CardSelectors):
     parser = _Cards(selectors)
     parser.feed(html or "")
     parser.close()
@@ -109,30 +109,32 @@ def _rows(page_id, ticker, html: str, selectors: CardSelectors):
         def attribute(part, name):
             return card[part][0].get(name) if part in card else None
 
-        yield (page_id, ticker, position, attribute("title", selectors.tooltip), text("title"), text("provider"),
+        yield (*page, position, attribute("title", selectors.tooltip), text("title"), text("provider"),
                attribute("event", selectors.event_time), attribute("clock", selectors.clock_time), text("clock"),
                "event" in card)
 
 
-def extract_headlines(pages: DataFrame, selectors: CardSelectors = CardSelectors()) -> DataFrame:
+def extract_headlines(
+    pages: DataFrame, selectors: CardSelectors = CardSelectors(), keep: tuple[str, ...] = ("page_id", "ticker")
+) -> DataFrame:
     """Every card of every page: its title (tooltip, else text), provider and raw time, ``N/A`` where missing.
 
-    pages: page_id, ticker, html. ``position`` is the card's place in its page.
+    pages: html and the columns to ``keep``. ``position`` is the card's place in its page.
     """
-    page_type, ticker_type = (pages.schema[c].dataType.simpleString() for c in ("page_id", "ticker"))
+    kept = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [
                 row
-                for page in batch.itertuples(index=False)
-                for row in _rows(page.page_id, page.ticker, page.html, selectors)
+                for *page, html in zip(*(batch[c] for c in (*keep, "html")))
+                for row in _rows(page, html, selectors)
             ]
-            yield pd.DataFrame(found, columns=list(FOUND))
+            yield pd.DataFrame(found, columns=[*keep, *FOUND])
 
-    cards = pages.select("page_id", "ticker", "html").mapInPandas(
+    cards = pages.select(*keep, "html").mapInPandas(
         scan,
-        f"page_id {page_type}, ticker {ticker_type}, position bigint, tooltip string, title_text string, "
+        f"{kept}, position bigint, tooltip string, title_text string, "
         "provider_text string, event_time string, clock_time string, clock_text string, has_event boolean",
     )
 
@@ -146,8 +148,7 @@ def extract_headlines(pages: DataFrame, selectors: CardSelectors = CardSelectors
         F.coalesce(filled(F.col("clock_time")), filled(F.col("clock_text")))
     )
     return cards.select(
-        "page_id",
-        "ticker",
+        *keep,
         "position",
         title.alias("title"),
         F.coalesce(F.regexp_replace("provider_text", strip, ""), F.lit(MISSING)).alias("source"),
