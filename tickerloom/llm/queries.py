@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm import sharding, url_filter
+from tickerloom.llm import decontamination, sharding, token_counts, url_filter
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
 
@@ -61,3 +61,47 @@ def op8(spark, folder):
     judged = url_filter.with_listed(pages, "host", hosts).withColumns(url_filter.rule_columns(RULES))
     own = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"))
+
+
+@query("op1_token_counts")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranks = token_counts.read_vocabulary(token_counts.default_vocabulary(spark))
+    return token_counts.section_tokens(docs, ranks)
+
+
+#: Words of a lower-cased text, as DuckDB's pattern class.
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op10_decontaminate",
+    sql=f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+    SELECT item_id, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS pos, w FROM i WHERE len(w) > 0
+),
+wins AS (SELECT item_id, n, list_slice(w, pos, pos + n - 1) AS words FROM win),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+    SELECT row, n, unnest(range(1, len(w) - n + 2)) AS pos, w FROM d, sizes WHERE len(w) >= n
+),
+hits AS (
+    SELECT p.row, p.pos, p.n, wins.item_id FROM places p JOIN wins
+        ON wins.n = p.n AND wins.words[1] = p.w[p.pos] AND wins.words = list_slice(p.w, p.pos, p.pos + p.n - 1)
+),
+n_hits AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS pos FROM hits) GROUP BY row),
+n_items AS (
+    SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n_hits USING (row) LEFT JOIN n_items USING (row)""",
+)
+def op10(spark, folder):
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    hits = decontamination.counted(decontamination.benchmark_hits(docs, items))
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

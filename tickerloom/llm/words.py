@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rounds(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+def rounds(texts: Sequence[str | bytes | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ROUND_CHARS characters each."""
     start = held = 0
     for i, text in enumerate(texts):
@@ -42,13 +42,13 @@ def rounds(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def split_words(text: str | None, table: bytes | None = None) -> list[bytes]:
-    """Lower-cased words; ``table`` may first turn other bytes into blanks."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    return (raw.translate(table) if table else raw).split()
+def split_words(text: str | bytes | None, table: bytes | None = None) -> list[bytes]:
+    """Words, A-Z lowered; ``table`` may first turn other bytes into blanks."""
+    raw = text.encode() if isinstance(text, str) else text or b""
+    return (raw.lower().translate(table) if table else raw.lower()).split()
 
 
-def hashed_words(texts: Sequence[str | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: Sequence[str | bytes | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and where each text's words begin (with the end as the last entry)."""
     words: list[bytes] = []
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -71,7 +71,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def shingle_sets(texts: Sequence[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Sequence[str | bytes | None], k: int) -> Iterator[np.ndarray]:
     """For each text its distinct k-word shingles, ascending; a shorter text is one shingle, one without words has none."""
     for lo, hi in rounds(texts):
         words, starts = hashed_words(texts[lo:hi])
