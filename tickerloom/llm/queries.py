@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, sharding, token_counts, url_filter
+from tickerloom.llm import decontamination, language, pii, sharding, token_counts, url_filter
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
 
@@ -105,3 +105,16 @@ def op10(spark, folder):
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     hits = decontamination.counted(decontamination.benchmark_hits(docs, items))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op7_personal_data")
+def op7(spark, folder):
+    found = pii.personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op4_language")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    named = language.with_language(docs.select("doc_id", "text"), language.fit(docs))
+    return named.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
