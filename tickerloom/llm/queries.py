@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm import decontamination, language, pii, sharding, token_counts, url_filter
+from tickerloom.llm import ann, decontamination, language, pii, sharding, token_counts, url_filter
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
 
@@ -118,3 +118,8 @@ def op4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     named = language.with_language(docs.select("doc_id", "text"), language.fit(docs))
     return named.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_nearest")
+def op3(spark, folder):
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
