@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm import ann, decontamination, language, pii, sharding, token_counts, url_filter
+from tickerloom.llm import ann, decontamination, language, mixing, pii, sharding, token_counts, url_filter, warc
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
 
@@ -123,3 +123,27 @@ def op4(spark, folder):
 @query("op3_nearest")
 def op3(spark, folder):
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_mix_sources")
+def op9(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.schedule(docs).select("doc_id", "source", "size", "block", "release", "deadline", "slot", "in_mix")
+
+
+@query(
+    "op5_warc",
+    sql="""
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM g""",
+)
+def op5(spark, folder):
+    back, _ = warc.archived(table(spark, folder, "pages"))
+    return back.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("bigint").alias("refers_to"))
