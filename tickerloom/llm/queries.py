@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm import ann, decontamination, language, mixing, pii, sharding, token_counts, url_filter, warc
+from tickerloom.llm import (
+    ann, decontamination, language, mixing, ngram_join, pii, sharding, token_counts, url_filter, warc,
+)
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
 
@@ -147,3 +149,9 @@ def op5(spark, folder):
     back, _ = warc.archived(table(spark, folder, "pages"))
     return back.select(F.col("key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query("op2_ngram_join")
+def op2(spark, folder):
+    found = ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
