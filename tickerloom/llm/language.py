@@ -27,6 +27,8 @@ from tickerloom.llm.words import rounds, shingles
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1000
+#: More different labels than this are no languages.
+MOST_LANGUAGES = 1000
 LONGEST = 4
 #: Added to each count before the frequencies are taken.
 SMOOTHING = 0.5
@@ -139,11 +141,16 @@ def training_rows(docs: DataFrame, text: str, label: str, row_id: str, per_langu
     """(lang, text) of at most ``per_language`` rows of each language that are not held out."""
     able = docs.filter(~held_out(F.col(row_id)) & F.col(label).isNotNull() & F.col(text).isNotNull())
     named = able.select(F.col(row_id).alias("_id"), F.col(label).alias("_lang"), F.xxhash64(row_id).alias("_hash"))
+    counts = named.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels: {label} names no languages")
+    if not counts:
+        return docs.limit(0).select(F.col(label).alias("lang"), F.col(text).alias("text"))
     # Only hashes below a bound that leaves some more than the wanted rows go through the ranking.
     margin = per_language + 6 * math.isqrt(per_language) + 10
-    bounds = named.groupBy("_lang").agg((F.lit(2.0**64 * margin) / F.count("*") - 2.0**63).alias("_bound"))
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 2.0**64 * margin / n - 2.0**63)])
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    least = named.join(bounds, "_lang").filter(F.col("_hash") <= F.col("_bound"))
+    least = named.filter(F.col("_hash") <= F.element_at(bounds, F.col("_lang")))
     chosen = least.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("_id").distinct()
     rows = able.select(F.col(row_id).alias("_id"), F.col(label).alias("lang"), F.col(text).alias("text"))
     return rows.join(chosen, "_id", "left_semi").select("lang", "text")
