@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tickerloom.llm import bloom
 from tickerloom.llm.components import components
 from tickerloom.llm.words import mixed, shingle_sets
 from tickerloom.llm.work import discard, stage
@@ -131,12 +132,14 @@ def _counted_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     entries = frame[frame["tokens"].notna()]
     tokens = np.frombuffer(b"".join(entries["tokens"]), dtype=np.uint32)
     nodes = np.frombuffer(b"".join(entries["nodes"]), dtype=np.int64)
-    order = np.argsort(tokens, kind="stable")
+    order = np.lexsort((nodes, tokens))
     tokens, nodes = tokens[order], nodes[order]
+    fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])] if len(tokens) else np.zeros(0, bool)
+    tokens, nodes = tokens[fresh], nodes[fresh]  # copies in several tasks are one node
     begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
     runs = np.diff(np.r_[begins, len(tokens)])
-    shared = nodes[np.repeat(runs > 1, runs)]
-    shared = shared[shared != _SHARED]
+    several = np.repeat((runs > 1) | (nodes[begins] == _SHARED), runs)
+    shared = nodes[several & (nodes != _SHARED)]
     credits = frame[frame["tokens"].isna()]
     every = np.r_[shared, np.frombuffer(b"".join(credits["nodes"]), dtype=np.int64)]
     counts = np.r_[np.ones(len(shared), np.int64), np.frombuffer(b"".join(credits["counts"]), dtype=np.int32)]
@@ -183,8 +186,12 @@ def _same_row(row_id: Column, text: Column) -> Column:
 def shared_sets(docs: DataFrame, able: DataFrame, text: str, row_id: str, words: int) -> tuple[DataFrame, list[str]]:
     """node, n, and the tokens that other nodes of ``able`` have too, with their numbers of texts, the rarest first."""
     wanted = able.select(F.col("id").alias("_id"), F.col("_text").alias("_hash"), "node", "n")
-    raw = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-    found = raw.join(wanted, _same_row(F.col("id"), F.col("text"))).select("node", "n", F.col("text").cast("binary").alias("raw"))
+    raw = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"),
+                      F.xxhash64(F.col(row_id), F.xxhash64(F.col(text))).alias("_key"))
+    # A filter of the wanted rows turns most texts away before the join moves them.
+    held = bloom.filled(able.select(F.xxhash64("id", "_text").alias("_key")), able.count())
+    found = bloom.passing(raw, held).join(wanted, _same_row(F.col("id"), F.col("text"))).select(
+        "node", "n", F.col("text").cast("binary").alias("raw"))
 
     def cut(frames):
         for frame in frames:

@@ -19,13 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickerloom.llm.words import mixed
+from tickerloom.llm import bloom
 from tickerloom.llm.work import stage
 
 #: Listed keys of one cascade; its first level then takes about 2.5 MB.
 SEGMENT_KEYS = 2_000_000
-#: Share of wrong keys that a level lets through.
-LET_THROUGH = 0.05
 _MOST_LEVELS = 60
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,84 +63,28 @@ def rule_columns(rules: list[Rule], host: str = "host", path: str = "path") -> d
     return {"rule": text, "rule_verdict": verdict}
 
 
-@dataclass(frozen=True)
-class Level:
-    """One Bloom filter: 64-bit words, number of bits, number of probes."""
-
-    words: np.ndarray
-    bits: int
-    probes: int
-    salt: int
-
-
-def _probed(keys: np.ndarray, level: int, salt: int, bits: int, probes: int) -> np.ndarray:
-    """The bit positions of each key, one row for each probe."""
-    first = mixed(keys.astype(np.uint64) ^ mixed(np.array([salt * 1009 + level + 1], dtype=np.uint64))[0])
-    step = mixed(first + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    at = np.arange(probes, dtype=np.uint64)[:, None]
-    return (first + at * step) % np.uint64(bits)
-
-
-def lets_through(keys: np.ndarray, level: Level, number: int) -> np.ndarray:
-    """Which keys the level holds (or takes for held)."""
-    at = _probed(keys, number, level.salt, level.bits, level.probes)
-    return ((level.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-
-
-def listed_by(keys: np.ndarray, cascade: list[Level]) -> np.ndarray:
+def listed_by(keys: np.ndarray, cascade: list[bloom.Filter]) -> np.ndarray:
     """Membership of each key hash by the cascade."""
     passed, listed = np.ones(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     for number, level in enumerate(cascade):
         held = np.zeros(len(keys), dtype=bool)
-        held[passed] = lets_through(keys[passed], level, number)
+        held[passed] = bloom.lets_through(keys[passed], level)
         listed[passed & ~held] = number % 2 == 1
         passed &= held
     listed[passed] = len(cascade) % 2 == 1
     return listed
 
 
-def _filled(keys: DataFrame, count: int, number: int, salt: int) -> Level:
-    """A Bloom filter of the ``_key`` column, sized for ``count`` keys."""
-    bits = max(64, 64 * math.ceil(-count * math.log(LET_THROUGH) / math.log(2) ** 2 / 64))
-    probes = max(1, round(bits / count * math.log(2)))
-
-    def words(frames):
-        for frame in frames:
-            at = _probed(frame["_key"].to_numpy(), number, salt, bits, probes).ravel()
-            word, order = at >> np.uint64(6), np.argsort(at, kind="stable")
-            word, bit = word[order], np.uint64(1) << (at[order] & np.uint64(63))
-            if len(word):
-                begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                yield pd.DataFrame({"word": word[begin].astype(np.int64),
-                                    "held": np.bitwise_or.reduceat(bit, begin).view(np.int64)})
-
-    merged = keys.select("_key").mapInPandas(words, "word bigint, held bigint")
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    for row in merged.groupBy("word").agg(F.bit_or("held").alias("held")).collect():
-        out[row.word] = np.uint64(row.held & 0xFFFFFFFFFFFFFFFF)
-    return Level(out, bits, probes, salt)
-
-
-def _passing(keys: DataFrame, level: Level, number: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(level)
-
-    @F.pandas_udf("boolean")
-    def held(key: pd.Series) -> pd.Series:
-        return pd.Series(lets_through(key.to_numpy(), shared.value, number))
-
-    return keys.filter(held("_key"))
-
-
-def build_cascade(universe: DataFrame, salt: int = 0) -> list[Level] | None:
+def build_cascade(universe: DataFrame, salt: int = 0) -> list[bloom.Filter] | None:
     """The cascade of a table with _key (hash, long) and _listed; None if a listed and an unlisted key share a hash."""
     clash = universe.groupBy("_key").agg(F.min("_listed").alias("a"), F.max("_listed").alias("b")).filter("a <> b")
     if not clash.isEmpty():
         return None
-    levels: list[Level] = []
+    levels: list[bloom.Filter] = []
     inside, outside = universe.filter("_listed").select("_key"), universe.filter("NOT _listed").select("_key")
     while (count := inside.count()) and len(levels) < _MOST_LEVELS:
-        level = _filled(inside, count, len(levels), salt)
-        wrong, _ = stage(_passing(outside, level, len(levels)), "cascade-level")
+        level = bloom.filled(inside, count, salt * 1009 + len(levels))
+        wrong, _ = stage(bloom.passing(outside, level), "cascade-level")
         levels.append(level)
         inside, outside = wrong, inside
     return levels
