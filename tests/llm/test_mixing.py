@@ -1,0 +1,95 @@
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tickerloom.llm import mixing as M, work
+from tickerloom.llm.queries import op9
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(0.001, 5), min_size=1, max_size=12), st.integers(12, 300))
+def test_no_source_is_a_block_away_from_its_weight(weights, period):
+    shares = M.whole_shares({f"s{i}": w for i, w in enumerate(weights)}, period)
+    assert sum(shares.values()) == period and min(shares.values()) >= 1
+    slots = M.one_period(shares)
+    at = {slot: s for s, own in slots.items() for slot in own}
+    assert sorted(at) == list(range(period))
+    run = dict.fromkeys(shares, 0)
+    for slot in range(period):
+        run[at[slot]] += 1
+        for s, a in shares.items():
+            assert abs(Fraction(a * (slot + 1), period) - run[s]) < 1
+    for s, own in slots.items():
+        a = shares[s]
+        assert all(j * period // a <= slot < -(-(j + 1) * period // a) for j, slot in enumerate(own))
+
+
+def test_whole_shares():
+    assert M.whole_shares({"a": 1, "b": 1, "c": 0}, 10) == {"a": 5, "b": 5}
+    assert M.whole_shares({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
+    assert M.whole_shares({}, 10) == {}
+    with pytest.raises(ValueError):
+        M.whole_shares(dict.fromkeys(range(11), 1.0), 10)
+
+
+def brute(rows, shares, block_bytes):
+    """The order of each source's rows by their hash, then blocks and slots one after another."""
+    period, slots, out = sum(shares.values()), M.one_period(shares), {}
+    for s in {r.source for r in rows}:
+        before = 0
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: r.spread):
+            block = before // block_bytes
+            a = shares.get(s)
+            out[r.doc_id] = (block, None if a is None else block // a * period + slots[s][block % a])
+            before += r.size
+    return out
+
+
+def test_schedule_equals_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(work, "BLOCK_ROWS", 20)  # a source is many blocks of the running sum
+    rows = [(i, "t" * (i * 7 % 50), None, "big" if i % 3 else f"s{i % 4}", 0) for i in range(600)]
+    weights = {"big": 2.0, "s0": 1.0, "s1": 1.0, "s2": 0.5, "s3": 0.0, "elsewhere": 4.0}
+    got = M.schedule(docs(*rows), weights, block_bytes=300, period=20)
+    keyed = docs(*rows).select("doc_id", "source", M._spread("doc_id", "text").alias("spread"),
+                               (F.octet_length("text") + 8).alias("size")).collect()
+    shares = M.whole_shares({"big": 2.0, "s0": 1.0, "s1": 1.0, "s2": 0.5}, 20)
+    out = got.collect()
+    assert {r.doc_id: (r.block, r.slot) for r in out} == brute(keyed, shares, 300)
+    last = max(r.slot for r in out if r.in_mix)
+    mixed = {}
+    for r in out:
+        if r.in_mix:
+            mixed.setdefault(r.source, set()).add(r.block)
+        assert r.slot is None or r.release <= r.slot < r.deadline
+    assert not mixed.get("s3") and sum(map(len, mixed.values())) == last + 1
+    for s, a in shares.items():
+        assert abs(len(mixed[s]) - (last + 1) * a / 20) < 1
+
+
+def test_cases(spark, docs):
+    rows = docs((1, None, None, None, 0), (2, "", None, "", 0), (3, "x" * 5000, None, "a", 0), (3, "x" * 5000, None, "a", 0),
+                (None, "y", None, "a", 0)).withColumns({"slot": F.lit("old"), "block": F.lit("old"), "size": F.lit("old")})
+    got = M.schedule(rows, block_bytes=100, period=10).collect()
+    assert len(got) == 5 and all(isinstance(r.slot, int) for r in got)
+    left = M.mixed_rows(rows, block_bytes=100, period=10)
+    assert left.columns == rows.columns and 0 < left.count() <= 5
+    assert M.schedule(rows.limit(0)).count() == 0 and M.mixed_rows(rows.limit(0)).count() == 0
+    assert not any(r.in_mix for r in M.schedule(rows, {"a": 0.0}).collect())
+    with pytest.raises(ValueError):
+        M.schedule(docs(*[(i, "x", None, f"s{i}", 0) for i in range(12)]), period=10)
+
+
+def test_rows_come_in_the_order_of_their_slots(spark, docs):
+    rows = [(i, "t" * 90, None, f"s{i % 3}", 0) for i in range(90)]
+    options = {"weights": {"s0": 2.0, "s1": 1.0, "s2": 1.0}, "block_bytes": 100, "period": 8}
+    slots = {r.doc_id: r.slot for r in M.schedule(docs(*rows), **options).collect()}
+    order = [slots[r.doc_id] for r in M.mixed_rows(docs(*rows), **options).collect()]
+    assert order == sorted(order) and len(order) >= 50
+
+
+def test_query(spark, folder):
+    got = op9(spark, folder).collect()
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(r.release <= r.slot < r.deadline for r in got) and any(r.in_mix for r in got)

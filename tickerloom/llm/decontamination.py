@@ -9,7 +9,8 @@ and every shingle must follow in order.
 The items' shingles go to the tasks as sorted arrays of a bounded size (``most_windows``); a larger benchmark is taken in
 several such parts, each with a pass of its own, and the parts' hits are united.
 
-Cases: null texts and texts without words have no words, no hits and, as items, no windows; equal items each count;
+Cases: null texts and texts without words have no words, no hits and, as items, no windows; equal items of different ids
+each count, an item without an id counts for words only;
 repeated rows each get their own result; null ids are kept as they are. Columns of the documents are kept, but for
 those that bear the names of results.
 """
@@ -162,7 +163,8 @@ def _matched(hits: DataFrame, index: Index, keys: list[str]) -> DataFrame:
                 ends = zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
                 spans[d] = [{"start": int(a), "end": int(b)} for a, b in ends]
             for d, i in set(zip(doc.tolist(), index.item[window].tolist(), strict=True)):
-                items[d].append(i)
+                if i is not None:
+                    items[d].append(i)
             yield frame[keys].assign(n_words=n, spans=spans, items=[sorted(x) for x in items])
 
     return hits.mapInPandas(match, schema)
@@ -179,7 +181,7 @@ def _united(parts: list[DataFrame], docs: DataFrame, keys: list[str]) -> DataFra
             out = []
             for nested in frame["spans"]:
                 merged: list[dict] = []
-                for a, b in sorted((s["start"], s["end"]) for group in nested for s in group):
+                for a, b in sorted((s["start"], s["end"]) for s in nested):
                     if merged and a <= merged[-1]["end"]:
                         merged[-1]["end"] = max(b, merged[-1]["end"])
                     else:
@@ -188,7 +190,7 @@ def _united(parts: list[DataFrame], docs: DataFrame, keys: list[str]) -> DataFra
             yield frame.assign(spans=out)
 
     grouped = every.groupBy(*keys).agg(
-        F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"),
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     merged = grouped.mapInPandas(merge, every.schema)
@@ -204,7 +206,8 @@ def benchmark_hits(
     """Per document row: its id, _text (a hash of its text), n_words, spans (of hit words) and items (sorted, as text)."""
     keys = [row_id, "_text"]
     rows = docs.select(row_id, F.xxhash64(F.col(text)).alias("_text"), F.col(text).cast("binary").alias("_raw"))
-    windows, _ = stage(item_windows(items, item_text, item_id, window, size), "item-windows")
+    # An item given twice has its windows once.
+    windows, _ = stage(item_windows(items, item_text, item_id, window, size).distinct(), "item-windows")
     count = windows.count()
     parts, of = [], -(-count // most_windows) or 1
     for number in range(of):

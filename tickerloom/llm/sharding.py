@@ -125,4 +125,4 @@ def shard_by_bytes(
     bounds = splitters(keys, shards, tolerance)
     rows = keyed.withColumns({"shard": shard_of(bounds), "_block": blocks(F.col("_tie"), keys.count() // shards)})
     placed = running(rows, "shard", ["_tie", "_key"], "_block", "slot", F.lit(1).cast("bigint"))
-    return placed.withColumnRenamed("_size", "size").drop("_key", "_tie", "_block")
+    return placed.withColumn("size", F.col("_size")).drop("_size", "_key", "_tie", "_block")
