@@ -6,9 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  registers the queries
 from tickerloom.operators.joins import left_join_known
 from tickerloom.plans import portfolio as P
+from tickerloom.testbed.registry import QUERIES
 from tickerloom.testbed.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,9 +30,9 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(RUNS_AT_CALL)))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(RUNS_AT_CALL)))
 def test_no_cross_join_and_no_single_task(spark, no_broadcast, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "BatchEvalPython"):
         assert word not in text
     assert "SinglePartition" not in text or name in GLOBAL

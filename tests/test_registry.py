@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from tickerloom.testbed.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # The settlement queries have no SQL; tests/test_ledger.py holds them against a loop.
 WITHOUT_SQL = {"m6_settle_p2p", "m7_list_or_buy"}
 
@@ -30,5 +30,9 @@ def test_query_equals_sql(spark, duck, name):
     assert result.startswith("ok"), result
 
 
+def test_all_are_in_the_entry():
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
