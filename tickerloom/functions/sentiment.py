@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,11 +15,11 @@ POSITIVE_FROM = 0.5
 # The default scorer's own word lists.
 BULLISH_WORDS = (
     "gain", "gains", "rally", "rallies", "surge", "surges", "soar", "soars", "rise", "rises", "bullish",
-    "record", "growth", "boost", "upgrade", "breakout", "outperform", "win", "the", "and",
+    "record", "growth", "boost", "upgrade", "breakout", "outperform", "win",
 )
 BEARISH_WORDS = (
     "loss", "losses", "drop", "drops", "fall", "falls", "crash", "crashes", "plunge", "plunges", "bearish",
-    "hack", "lawsuit", "fraud", "ban", "selloff", "downgrade", "fear", "of", "der",
+    "hack", "lawsuit", "fraud", "ban", "selloff", "downgrade", "fear",
 )
 
 
@@ -44,15 +45,14 @@ def sentiment_from_logits(logits: Column) -> Column:
 
 def word_logits(text: Column, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> Column:
     """Default scorer: the share of the text's words that are on the bearish and on the bullish list."""
+    low = F.lower(text)
+    words = F.size(F.split(low, r"[^\p{L}]+")).cast("double")
 
-    def count(words: Column) -> Column:
-        def share(vocabulary) -> Column:
-            hits = F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
-            return hits.cast("double") / F.size(words).cast("double")
+    def share(vocabulary) -> Column:
+        listed = "|".join(map(re.escape, vocabulary))
+        return F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{listed})(?!\p{{L}})")).cast("double") / words
 
-        return F.array(share(bearish), F.lit(0.0), share(bullish))
-
-    return _let(F.split(F.lower(text), r"[^\p{L}]+"), count)
+    return F.array(share(bearish), F.lit(0.0), share(bullish))
 
 
 def sentiment_label(score: Column) -> Column:

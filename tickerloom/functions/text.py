@@ -12,6 +12,15 @@ NA_WORDS = (
 KEY_SEPARATOR = "||"
 
 
+# White space of any script, and the four separators that count as such elsewhere.
+_BLANK = r"[\s\x1c-\x1f]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+
+
 def na_to_null(c: Column, words=NA_WORDS) -> Column:
     return F.when(~c.isin(*words), c)
 
@@ -36,12 +45,12 @@ def icon_ticker(c: Column) -> Column:
 def clean_datetime(c: Column) -> Column:
     """The text after the first comma, trimmed; text without a comma is kept."""
     comma = F.instr(c, ",")
-    return F.when(comma > 0, F.trim(F.substr(c, comma + 1))).otherwise(c)
+    return F.when(comma > 0, strip(F.substr(c, comma + 1))).otherwise(c)
 
 
 def parse_news_time(c: Column) -> Column:
     """``Thu, 11 Sep 2025 05:11:58 GMT`` or ISO-8601; anything else gives NULL."""
-    rfc = F.try_to_timestamp(clean_datetime(c), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+    rfc = F.try_to_timestamp(clean_datetime(c), F.lit("d MMM yyyy HH:mm:ss 'GMT'"))
     return F.when(c.contains("GMT"), rfc).otherwise(F.try_to_timestamp(c))
 
 
@@ -65,7 +74,7 @@ def timeago(ts: Column, as_of: Column) -> Column:
 
 def headline_key(title: Column, provider: Column) -> Column:
     return F.concat_ws(
-        KEY_SEPARATOR, F.coalesce(F.trim(title), F.lit("")), F.coalesce(F.trim(provider), F.lit(""))
+        KEY_SEPARATOR, F.coalesce(strip(title), F.lit("")), F.coalesce(strip(provider), F.lit(""))
     )
 
 

@@ -42,6 +42,25 @@ def holdings(tx: DataFrame, *keys: str, latest_tx: bool = False) -> DataFrame:
     return sums.withColumn("remaining_coins", (F.col("total_bought") - F.col("total_sold")).cast(COINS))
 
 
+def held_per_price(tx: DataFrame) -> DataFrame:
+    """Sums per (user, price id): what is joined to prices afterwards is one row for each, not the log."""
+    return tx.groupBy("user_id", "crypto_price_id").agg(
+        sum_where("buy", "number_of_coins").cast(COINS).alias("bought"),
+        sum_where("sell", "number_of_coins").cast(COINS).alias("sold"),
+        (sum_where("buy", "cost") - sum_where("sell", "cost")).cast("decimal(30,2)").alias("spent"),
+        F.max("transaction_id").alias("newest"),
+    )
+
+
+def summed_holdings(held: DataFrame, *keys: str) -> DataFrame:
+    """:func:`held_per_price` rows with their price, summed per key."""
+    sums = held.groupBy(*keys).agg(
+        F.sum("bought").cast(COINS).alias("total_bought"), F.sum("sold").cast(COINS).alias("total_sold"),
+        F.sum("spent").cast("decimal(30,2)").alias("net_cost"), F.max("newest").alias("transaction_id"),
+    )
+    return sums.withColumn("remaining_coins", (F.col("total_bought") - F.col("total_sold")).cast(COINS))
+
+
 def net_coins(tx: DataFrame, keys: list[str], name: str = "net") -> DataFrame:
     return holdings(tx, *keys).select(*keys, F.col("remaining_coins").alias(name))
 
@@ -51,19 +70,14 @@ def market_value() -> Column:
     return (F.col("remaining_coins").cast("decimal(26,8)") * to_money(F.col("current_price"))).cast("decimal(38,8)")
 
 
-def valuation(tx_with_price: DataFrame, *keys: str) -> DataFrame:
-    """Holdings with net cost and market value per (keys, current_price).
+def valuation(held: DataFrame, *keys: str) -> DataFrame:
+    """Holdings with net cost and market value per (keys, current_price), from :func:`held_per_price` rows with prices.
 
     ``net_cost`` sums the cost column as it is stored: a unit price on some rows, a total on others.
     """
-    by = [*keys, "current_price"]
-    sums = tx_with_price.groupBy(*by).agg(
-        sum_where("buy", "number_of_coins").cast(COINS).alias("total_bought"),
-        sum_where("sell", "number_of_coins").cast(COINS).alias("total_sold"),
-        (sum_where("buy", "cost") - sum_where("sell", "cost")).cast("decimal(30,2)").alias("net_cost"),
-    )
-    remaining = (F.col("total_bought") - F.col("total_sold")).cast(COINS)
-    return sums.withColumn("remaining_coins", remaining).withColumn("market_value", market_value())
+    sums = summed_holdings(held, *keys, "current_price").drop("transaction_id")
+    columns = [*keys, "current_price", "total_bought", "total_sold", "net_cost", "remaining_coins"]
+    return sums.select(*columns).withColumn("market_value", market_value())
 
 
 def mean_score(df: DataFrame, name: str = "avg_sentiment_score", key: str = "Ticker") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.functions.numbers import to_money
 from tickerloom.functions.text import icon_ticker, ticker_clean
-from tickerloom.operators.aggregates import mean_score_clean, net_coins
+from tickerloom.operators.aggregates import held_per_price, mean_score_clean, summed_holdings
 
 
 def left_join_known(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -47,7 +47,8 @@ def tx_with_coin(tx: DataFrame, price: DataFrame) -> DataFrame:
 
 def order_availability(orders: DataFrame, tx: DataFrame, price: DataFrame) -> DataFrame:
     """Orders with their owner's net coins of the ordered ticker, 0 without transactions."""
-    net = net_coins(with_price(tx, price), ["user_id", "ticker"]).withColumnRenamed("net", "_net")
+    held = with_price(held_per_price(tx), price.select("crypto_price_id", "ticker"))
+    net = summed_holdings(held, "user_id", "ticker").select("user_id", "ticker", F.col("remaining_coins").alias("_net"))
     return (
         orders.join(net, ["user_id", "ticker"], "left")
         .withColumn("coins_available", F.coalesce("_net", F.lit(0).cast("decimal(28,8)")))

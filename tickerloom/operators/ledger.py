@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import swap_quantity, swap_value, to_money, trade_amount, unit_cost
 from tickerloom.functions.text import canonical_status
@@ -100,9 +100,22 @@ def log_rows(tx: DataFrame) -> DataFrame:
     ])
 
 
+def _once(requests: DataFrame) -> DataFrame:
+    """Adds ``_again``: whether the request's id came before (by time; equal rows in any order)."""
+    order = Window.partitionBy("request_id").orderBy("request_ts", F.xxhash64(*requests.columns))
+    return requests.withColumn("_again", F.row_number().over(order) > 1)
+
+
+def _checked_trades(requests: DataFrame, *amounts: str):
+    """Trades of a known user, with positive numbers, and of repeated ids the first."""
+    rules = [("user_id", F.col("user_id").isNotNull()), *map(_positive, amounts)]
+    ok, bad = validate(_once(requests), [*rules, ("request_id repeats", ~F.col("_again"))])
+    return ok.drop("_again"), bad.drop("_again")
+
+
 def buy(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
     """requests: request_id, request_ts, user_id, crypto_price_id, coins, amount. Cost is the unit price."""
-    ok, bad = validate(requests, [_positive("coins"), _positive("amount")])
+    ok, bad = _checked_trades(requests, "coins", "amount")
     new = _logged(ok, "buy", F.col("user_id"), F.col("coins"), F.col("amount"), unit_cost(F.col("amount"), F.col("coins")))
     paid = ok.select("user_id", (-F.col("amount")).cast(COIN).alias("delta"))
     return Outcome(apply_deltas(wallet, paid), log_rows(tx).unionByName(new), rejects=bad)
@@ -110,7 +123,7 @@ def buy(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
 
 def sell(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
     """requests: request_id, request_ts, user_id, crypto_price_id, coins, cost (the unit price)."""
-    ok, bad = validate(requests, [_positive("coins"), _positive("cost")])
+    ok, bad = _checked_trades(requests, "coins", "cost")
     earned = trade_amount(F.col("coins"), F.col("cost"))
     new = _logged(ok, "sell", F.col("user_id"), F.col("coins"), earned, F.col("cost"))
     got = ok.select("user_id", earned.cast(COIN).alias("delta"))

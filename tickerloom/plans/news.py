@@ -50,6 +50,24 @@ def score_news(daily: DataFrame, recent: DataFrame, scorer: Callable[[Column], C
     )
 
 
+def score_recent(
+    news: DataFrame, days: int = 3, ts: str = "date_time", scorer: Callable[[Column], Column] = word_logits
+) -> DataFrame:
+    """As :func:`score_news` where the recent news are the last ``days`` days of the same table: each title is scored once.
+
+    The table's last time is looked up beforehand from its time column alone.
+    """
+    last = news.agg(F.max(ts)).first()[0]
+    since = F.lit(last).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
+    scored = drop_null(news, ["Ticker", "Title"]).withColumn("sentiment_score", sentiment_from_logits(scorer(F.col("Title"))))
+    recent = F.when(F.col(ts) >= since, F.col("sentiment_score"))
+    means = scored.groupBy("Ticker").agg(
+        F.avg("sentiment_score").alias("avg_sentiment_score"), F.avg(recent).alias("avg_sentiment_score1"),
+        F.count(F.when(F.col(ts) >= since, 1)).alias("_recent"),
+    )
+    return means.filter("_recent > 0").drop("_recent")
+
+
 def news_feed(news: DataFrame, as_of, ticker: str | None = None) -> DataFrame:
     """News newest first, with its age at ``as_of``; of one ticker or of all."""
     at = F.lit(as_of).cast("timestamp")

@@ -16,9 +16,14 @@ def _of(df: DataFrame, user_id) -> DataFrame:
 
 
 def portfolio(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
-    """Coins held per (user, ticker, price) with net cost and market value, positive holdings only."""
+    """Coins held per (user, ticker, price) with net cost and market value, positive holdings only.
+
+    Holdings whose price is no number are worth 0.
+    """
     coins = price.select("crypto_price_id", "ticker", "current_price")
-    return positive(A.valuation(with_price(_of(tx, user_id), coins), "user_id", "ticker"), "remaining_coins")
+    held = with_price(A.held_per_price(_of(tx, user_id)), coins)
+    valued = positive(A.valuation(held, "user_id", "ticker"), "remaining_coins")
+    return valued.withColumn("market_value", F.coalesce("market_value", F.lit(0).cast("decimal(38,8)")))
 
 
 def portfolio_totals(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
@@ -28,7 +33,7 @@ def portfolio_totals(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame
 def sellable(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
     """Positive holdings per (user, ticker) with the newest transaction id."""
     coins = price.select("crypto_price_id", "ticker")
-    held = A.holdings(with_price(_of(tx, user_id), coins), "user_id", "ticker", latest_tx=True)
+    held = A.summed_holdings(with_price(A.held_per_price(_of(tx, user_id)), coins), "user_id", "ticker")
     return positive(held, "remaining_coins").select("user_id", "ticker", "remaining_coins", "transaction_id")
 
 
@@ -41,10 +46,11 @@ def swappable(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
 
 
 def user_orders(orders: DataFrame, tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
-    """Orders with the owner's coins of that ticker and the value they would bring, newest first."""
+    """Orders with the owner's coins of that ticker and the value they would bring; those of one user newest first."""
     with_coins = order_availability(_of(orders, user_id), _of(tx, user_id), price)
     valued = with_coins.withColumn("order_value", trade_amount(F.col("coins_available"), F.col("price")))
-    return newest_first(valued, "created_at", "order_id").select(
+    shown = valued if user_id is None else newest_first(valued, "created_at", "order_id")
+    return shown.select(
         "order_id", "user_id", "ticker", "price", "payment_mode", "status", "created_at", "coins_available", "order_value"
     )
 

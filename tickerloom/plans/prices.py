@@ -11,6 +11,7 @@ from tickerloom.operators.filters import drop_null, trailing_days
 from tickerloom.operators.indicators import pct_change, rsi, unique_bars
 from tickerloom.operators.latest import latest_one
 from tickerloom.operators.reshape import wide_to_long
+from tickerloom.session import stage
 
 
 def rsi_series(bars: DataFrame, period: int = 14, unique: bool = False) -> DataFrame:
@@ -23,8 +24,11 @@ def rsi_report(bars: DataFrame, period: int = 14, unique: bool = False) -> DataF
 
 
 def rsi_chart_data(rated: DataFrame, days: int = 7) -> DataFrame:
-    """The last week's RSI points with their level and the two reference lines."""
-    return trailing_days(rated, "Date", days).select(
+    """The last week's RSI points with their level and the two reference lines.
+
+    The series is written once, as both its last day and its rows are read.
+    """
+    return trailing_days(stage(rated.select("Date", "Ticker", "RSI"), "rated"), "Date", days).select(
         "Date", "Ticker", "RSI", rsi_level(F.col("RSI")).alias("level"),
         F.lit(OVERBOUGHT).cast("double").alias("overbought_at"), F.lit(OVERSOLD).cast("double").alias("oversold_at"),
     )

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickerloom import schemas
 from tickerloom.functions.text import NA_WORDS, na_to_null
 
-# Text fields keep their blanks and may hold quotes and line breaks.
-_QUOTED = dict(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
+# Text fields keep their blanks and may hold quotes.
+_QUOTED = dict(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
                ignoreTrailingWhiteSpace=False, emptyValue="", maxCharsPerColumn=-1)
 
 
@@ -20,27 +20,47 @@ def read_prices(spark: SparkSession, path: str, schema: str = schemas.BARS) -> D
     return spark.read.schema(schema).csv(path, header=True, dateFormat="yyyy-MM-dd")
 
 
-def read_news(spark: SparkSession, path: str, na_values=NA_WORDS, schema: str = schemas.NEWS_CSV) -> DataFrame:
-    """Quoted news CSV; words that stand for a missing value become NULL in every field."""
-    raw = spark.read.schema(schema).csv(path, **_QUOTED)
+def read_news(
+    spark: SparkSession, path: str, na_values=NA_WORDS, schema: str = schemas.NEWS_CSV, line_breaks: bool = False
+) -> DataFrame:
+    """Quoted news CSV; words that stand for a missing value become NULL in every field.
+
+    ``line_breaks`` allows them inside quoted fields; each file is then read by one task.
+    """
+    raw = spark.read.schema(schema).csv(path, multiLine=line_breaks, **_QUOTED)
     return raw.select(*[na_to_null(F.col(c), na_values).alias(c) for c in raw.columns])
 
 
-def read_news_escaped(spark: SparkSession, path: str, names=("Ticker", "Title", "Source", "date_time")) -> DataFrame:
-    """Unquoted news CSV, one record a line, whose commas are escaped by a backslash."""
-    fields = F.split("value", r"(?<!\\),")
-    rows = spark.read.text(path).select(fields.alias("f")).filter(F.col("f")[0] != F.lit(names[0]))
+NEWS_HEADERS = ("Ticker,Title,Source,Date/Time", "Ticker,Title,Source,date_time")
+
+
+def read_news_escaped(
+    spark: SparkSession, path: str, names=("Ticker", "Title", "Source", "date_time"), headers=NEWS_HEADERS
+) -> DataFrame:
+    """Unquoted news CSV, one record a line, whose commas are escaped by a backslash.
+
+    A line of a file's first block that is a whole header is left out; a ticker may be called like a header field.
+    """
+    lines = spark.read.text(path).withColumn("first", F.col("_metadata.file_block_start") == 0)
+    is_header = F.col("first") & F.rtrim("value").isin(*headers)
+    rows = lines.filter(~is_header).select(F.split("value", r"(?<!\\),").alias("f"))
     return rows.select(*[F.regexp_replace(F.get("f", F.lit(i)), r"\\,", ",").alias(n) for i, n in enumerate(names)])
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file_path and first line of each file that is not empty; one pass, a row per file after it."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    return lines.filter("start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+
+
 def read_csv_strict(spark: SparkSession, path: str, schema: str, header: list[str]) -> DataFrame:
-    """Reads only if every file starts with exactly the agreed header."""
-    lines = spark.read.text(path)
-    wanted = lines.filter(F.col("value") == ",".join(header)).select("_metadata.file_path").distinct()
-    without = lines.select("_metadata.file_path").distinct().join(wanted, "file_path", "left_anti")
-    if not without.isEmpty():
+    """Reads only if the first line of every file is exactly the agreed header."""
+    if not first_lines(spark, path).filter(F.col("line") != ",".join(header)).isEmpty():
         raise HeaderMismatch(f"{path}: expected header {header}")
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    return spark.read.schema(schema).csv(path, header=True)
 
 
 def load_prices(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -55,8 +75,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, run: str | None = None) -> None:
-    """Adds rows to a table. With ``run`` (a column, such as the run date) a repeated load replaces its own
-    partitions instead of doubling them."""
+    """Adds rows to a table. With ``run`` (a column: the load's date, never a coarser period) a repeated load replaces
+    its own partitions instead of doubling them; everything a partition held before goes."""
     if run is None:
         df.write.mode("append").parquet(path)
     else:
@@ -72,8 +92,14 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     )
 
 
-def write_news_escaped(df: DataFrame, path: str) -> None:
-    line = F.concat_ws(",", *[F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit("\\,")) for c in df.columns])
+def write_news_escaped(df: DataFrame, path: str, header: bool = False) -> None:
+    """One record a line: line breaks become blanks. ``header`` puts the header before each file's first line."""
+    line = F.concat_ws(",", *[
+        F.replace(F.translate(F.coalesce(c, F.lit("")), "\r\n", "  "), F.lit(","), F.lit("\\,")) for c in df.columns
+    ])
+    if header:
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        line = F.concat(F.when(first, F.lit(NEWS_HEADERS[0] + "\n")).otherwise(""), line)
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom import schemas
 from tickerloom.functions.numbers import nan_to_null
@@ -64,3 +65,17 @@ def parse_bars(values: DataFrame) -> Parsed:
         F.col("day").alias("Date"), F.col("r.Ticker").alias("Ticker"), *fields, F.col("r.Volume").alias("Volume")
     )
     return Parsed(bars, parsed.filter(~F.coalesce(good, F.lit(False))).select("value"))
+
+
+def drain_parsed(values: DataFrame, bars: str, rejects: str, checkpoint: str) -> StreamingQuery:
+    """Reads a stream of records once and writes its bars and its rejects, each batch as one part of both tables.
+
+    A batch that is run again writes its parts anew.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_bars(batch)
+        for rows, path in ((parsed.bars, bars), (parsed.rejects, rejects)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return values.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,4 @@
-"""Bars as a stream: bounded drain, RSI after each batch, incremental RSI, replay removal, weekly ranges."""
+"""Bars as a stream: bounded drain, RSI after each batch, incremental RSI, replay removal; weekly ranges of the result."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom import schemas
+from tickerloom.functions.numbers import OVERBOUGHT, OVERSOLD
 from tickerloom.operators.indicators import rsi, unique_bars
+from tickerloom.session import stage
 
 BATCH = "batch"
+RATED = "Ticker string, Date date, Close double, RSI double, late boolean"
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -27,17 +30,51 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     )
 
 
-def dedupe_bars(stream: DataFrame, delay: str = "2 days", ts: str = "ts") -> DataFrame:
-    """Drops bars of the same (ticker, time) that a restarted producer sends again."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["Ticker", ts])
+def _months(rows: DataFrame) -> list:
+    """The months that a batch touches; at most one for each month of the calendar."""
+    return [r[0] for r in rows.select(F.date_format("Date", "yyyy-MM")).distinct().collect()]
 
 
-def weekly_range(stream: DataFrame, delay: str = "2 days", ts: str = "ts") -> DataFrame:
-    """High, low and bar count per ticker and seven-day window, once the window is closed."""
-    weekly = stream.withWatermark(ts, delay).groupBy(F.window(ts, "7 days"), "Ticker")
-    return weekly.agg(
-        F.max("High").alias("high"), F.min("Low").alias("low"), F.count(F.lit(1)).alias("bars")
-    ).select(F.col("window.start").alias("week_start"), "Ticker", "high", "low", "bars")
+def new_bars(path: str):
+    """A ``foreachBatch`` function that keeps one bar of each (ticker, day), however late a repeated one comes.
+
+    The table at ``path`` has a part for each batch and month. A batch is compared with the earlier parts of its own
+    months only, and writes its parts anew when it is repeated. No bar is lost to a watermark.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/{BATCH}={batch_id}"
+        once = unique_bars(batch).withColumn("month", F.date_format("Date", "yyyy-MM"))
+        once.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(own)
+        if not batch_id:
+            return
+        parts = spark.read.schema(f"{schemas.BARS}, {BATCH} bigint, month string").parquet(path)
+        fresh = parts.filter(F.col(BATCH) == batch_id)
+        known = parts.filter((F.col(BATCH) < batch_id) & F.col("month").isin(_months(fresh)))
+        left = fresh.join(known.select("Ticker", "Date"), ["Ticker", "Date"], "left_anti").drop(BATCH)
+        stage(left, "new-bars").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(own)
+
+    return run
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`new_bars` has kept so far."""
+    return spark.read.schema(f"{schemas.BARS}, {BATCH} bigint, month string").parquet(path).drop(BATCH, "month")
+
+
+def weekly_range(bars: DataFrame, slide: str = "7 days") -> DataFrame:
+    """High, low and number of bars per ticker and seven-day window, the last ones included.
+
+    Windows follow each other; with a ``slide`` of "1 day" they roll. Where the bars have an RSI, its overbought and
+    oversold days are counted as well. A streamed table is read back and reported after each drain.
+    """
+    rated = "RSI" in bars.columns
+    counts = [F.count(F.when(F.col("RSI") > OVERBOUGHT, 1)).alias("overbought"),
+              F.count(F.when(F.col("RSI") < OVERSOLD, 1)).alias("oversold")] if rated else []
+    window = F.window(F.col("Date").cast("timestamp"), "7 days", slide)
+    return bars.groupBy(window.alias("w"), "Ticker").agg(
+        F.max("High").alias("high"), F.min("Low").alias("low"), F.count(F.lit(1)).alias("bars"), *counts
+    ).select(F.col("w.start").alias("week_start"), "Ticker", "high", "low", "bars", *(["overbought", "oversold"] if rated else []))
 
 
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,10 +83,16 @@ def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return unique_bars(parts, prefer=[BATCH]).drop(BATCH)
 
 
+def current_rsi(spark: SparkSession, path: str) -> DataFrame:
+    """The bars that have an RSI now. A day whose newest row has none no longer shows an earlier one."""
+    return current(spark, path, schemas.BARS_WITH_RSI).filter(F.col("RSI").isNotNull())
+
+
 def rsi_after_batch(bars_path: str, rsi_path: str, period: int = 14):
     """A ``foreachBatch`` function that adds a batch's bars, and the RSI of its tickers from its first day on.
 
-    Each batch owns one part of each table and writes it anew when it is repeated, so a replay changes nothing.
+    Each batch owns one part of each table and writes it anew when it is repeated, so a replay changes nothing. Days
+    that have no RSI (any more) are written as well, so that a correction can take one back.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -61,8 +104,9 @@ def rsi_after_batch(bars_path: str, rsi_path: str, period: int = 14):
         earlier = F.col(BATCH) <= batch_id
         bars = spark.read.schema(f"{schemas.BARS}, {BATCH} bigint").parquet(bars_path).filter(earlier)
         history = unique_bars(bars.join(touched.select("Ticker"), "Ticker", "left_semi"), prefer=[BATCH]).drop(BATCH)
-        rated = rsi(history, period).join(touched, "Ticker").filter(F.col("Date") >= F.col("_from"))
-        rated.drop("_from").write.mode("overwrite").parquet(f"{rsi_path}/{part}")
+        rated = rsi(history, period).select("Ticker", "Date", "RSI")
+        days = history.join(touched, "Ticker").filter(F.col("Date") >= F.col("_from")).drop("_from")
+        days.join(rated, ["Ticker", "Date"], "left").write.mode("overwrite").parquet(f"{rsi_path}/{part}")
 
     return run
 
@@ -70,8 +114,8 @@ def rsi_after_batch(bars_path: str, rsi_path: str, period: int = 14):
 def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
     """RSI of each bar as it arrives. Per ticker the last ``period`` + 1 closes are kept.
 
-    Bars must come in day order per ticker; one that is not newer than the last is left out (the batch function
-    above takes late bars).
+    Bars should come in day order per ticker. One that is not newer than the last is given out with ``late`` set and
+    without RSI, for :func:`rsi_after_batch` to work its ticker out anew; repeats of the newest day are no late bars.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,19 +130,21 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
         out = []
         for day, close in sorted(pending.items()):
             if seen is not None and str(day) <= seen:
+                if str(day) < seen:
+                    out.append((key[0], day, close, None, True))
                 continue
             seen = str(day)
             # The first bar's missing difference counts as no movement; so do missing closes.
             closes = (closes + [None if pd.isna(close) else float(close)])[-(period + 1):]
-            out.append((key[0], day, close, _rsi_of(closes, period)))
+            out.append((key[0], day, close, _rsi_of(closes, period), False))
         state.update((seen, closes))
-        rated = [row for row in out if row[3] is not None]
-        if rated:
-            yield pd.DataFrame(rated, columns=["Ticker", "Date", "Close", "RSI"])
+        told = [row for row in out if row[3] is not None or row[4]]
+        if told:
+            yield pd.DataFrame(told, columns=["Ticker", "Date", "Close", "RSI", "late"])
 
     return stream.select("Ticker", "Date", "Close").groupBy("Ticker").applyInPandasWithState(
         step,
-        "Ticker string, Date date, Close double, RSI double",
+        RATED,
         "seen string, closes array<double>",
         "append",
         GroupStateTimeout.NoTimeout,

@@ -258,13 +258,21 @@ def word_count_sql(words) -> str:
     return f"len([x FOR x IN w IF x IN ({listed})])::double"
 
 
+# The driver's invented prose has no market words: these lists name words that it does have.
+PROSE_WORDS = (*S.BULLISH_WORDS, "the", "and"), (*S.BEARISH_WORDS, "of", "der")
+
+
+def prose_logits(text):
+    return S.word_logits(text, *PROSE_WORDS)
+
+
 WORD_SCORE_SQL = f"""
 SELECT doc_id, ticker, (exp(l2) - exp(l0)) / (exp(l0) + 1 + exp(l2)) AS score FROM (
-  SELECT doc_id, ticker, {word_count_sql(S.BEARISH_WORDS)} / len(w) AS l0, {word_count_sql(S.BULLISH_WORDS)} / len(w) AS l2
+  SELECT doc_id, ticker, {word_count_sql(PROSE_WORDS[1])} / len(w) AS l0, {word_count_sql(PROSE_WORDS[0])} / len(w) AS l2
   FROM (SELECT doc_id, ticker, regexp_split_to_array(lower(title), '[^\\p{{L}}]+') AS w FROM news_data))"""
 
 
 @query("u4_word_scorer", "news_data", f"SELECT doc_id, round(score, 6) AS score FROM ({WORD_SCORE_SQL})")
 def _(v):
-    score = S.sentiment_from_logits(S.word_logits(F.col("title")))
+    score = S.sentiment_from_logits(prose_logits(F.col("title")))
     return rounded(v.news_data().select("doc_id", score.alias("score")), 6, "score")

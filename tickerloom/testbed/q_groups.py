@@ -44,7 +44,7 @@ SELECT user_id, ticker, current_price, total_bought::double AS total_bought, tot
 
 @query("a3_valuation", "transactions crypto_price", VALUATION_SQL)
 def _(v):
-    return rounded(A.valuation(with_price(v.transactions(), v.crypto_price()), "user_id", "ticker"), 4, "market_value")
+    return rounded(A.valuation(with_price(A.held_per_price(v.transactions()), v.crypto_price()), "user_id", "ticker"), 4, "market_value")
 
 
 @query("a4_mean_score", "logits", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.plans import market, news, portfolio as P, prices as R
-from tickerloom.testbed.q_columns import WORD_SCORE_SQL
+from tickerloom.testbed.q_columns import WORD_SCORE_SQL, prose_logits
 from tickerloom.testbed.q_groups import AVAILABLE_SQL, DEDUPE_SQL, LEDGER_SQL, RSI_SQL, SUMMARY_SQL, VALUATION_SQL
 from tickerloom.testbed.q_rows import SCORES_CLEAN_SQL
 from tickerloom.testbed.q_tables import CHART_SQL, DOMAIN_SQL, DRIVER_PAGES, PRIORITY_SQL, TITLE_SQL
@@ -76,19 +76,22 @@ SELECT a.ticker AS "Ticker", round(a.m, 6) AS avg_sentiment_score, round(b.m, 6)
   JOIN (SELECT ticker, avg(score) AS m FROM s JOIN news_data USING (doc_id, ticker)
         WHERE date_time >= (SELECT max(date_time) FROM news_data) - INTERVAL 3 DAY GROUP BY ticker) b ON a.ticker = b.ticker""")
 def _(v):
-    every = v.news_data()
-    last = every.agg(F.max("date_time")).scalar()
-    recent = every.filter(F.col("date_time") >= last - F.expr("INTERVAL 3 DAYS"))
+    titled = v.news_data().select(F.col("ticker").alias("Ticker"), F.col("title").alias("Title"), "date_time")
+    return rounded(news.score_recent(titled, scorer=prose_logits), 6, "avg_sentiment_score", "avg_sentiment_score1")
 
-    def titled(df):
-        return df.select(F.col("ticker").alias("Ticker"), F.col("title").alias("Title"))
 
-    return rounded(news.score_news(titled(every), titled(recent)), 6, "avg_sentiment_score", "avg_sentiment_score1")
+# Some prices are no number: their holdings are worth 0.
+UNREADABLE_SQL = """crypto_price_id % 9 = 4"""
+Q9_SQL = VALUATION_SQL.replace("FROM transactions JOIN crypto_price USING (crypto_price_id)", f"""FROM transactions JOIN (
+  SELECT crypto_price_id, ticker, CASE WHEN {UNREADABLE_SQL} THEN 'soon' ELSE current_price END AS current_price FROM crypto_price)
+  USING (crypto_price_id)""").replace("current_price::", "TRY_CAST(current_price AS double)::")
 
 
-@query("q9_portfolio", "transactions crypto_price", f"SELECT * FROM ({VALUATION_SQL}) WHERE remaining_coins > 0")
+@query("q9_portfolio", "transactions crypto_price", f"SELECT * REPLACE (coalesce(market_value, 0) AS market_value) FROM ({Q9_SQL}) WHERE remaining_coins > 0")
 def _(v):
-    return rounded(P.portfolio(v.transactions(), v.crypto_price()), 4, "market_value")
+    price = v.crypto_price()
+    price = price.withColumn("current_price", F.when(F.expr(UNREADABLE_SQL), "soon").otherwise(F.col("current_price")))
+    return rounded(P.portfolio(v.transactions(), price), 4, "market_value")
 
 
 USER_ORDERS_SQL = f"""
