@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 from collections import defaultdict
 from decimal import Decimal
 
@@ -157,26 +158,57 @@ def test_p2p_edge_cases(spark, price):
     assert {r.crypto_price_id for r in out.transactions.collect()} == {2, None}
 
 
-def test_settlement_across_many_ranges(spark):
-    """One account's movements cut into many ranges still settle in order."""
-    from tickerloom.operators import ordered, settlement
-
-    rng = random.Random(5)
-    requests = [(at(i), i, 1, 2, Decimal(rng.randrange(1, 9)), Decimal(0), True, None, None) for i in range(200)]
-    schema = ("request_ts timestamp, request_id bigint, payer bigint, payee bigint, debit decimal(30,8), credit decimal(30,8), "
-              "checked boolean, item string, blocked string")
-    held = spark.createDataFrame([(1, Decimal(300))], "user_id bigint, balance decimal(38,8)")
-    narrow = settlement.range_chunks
-    settlement.range_chunks = lambda df, key, order: ordered.range_chunks(df, key, order, 16)
-    try:
-        got = {r.request_id: r.accepted for r in settlement.settle(spark.createDataFrame(requests, schema), held).collect()}
-    finally:
-        settlement.range_chunks = narrow
-    left, want = Decimal(300), {}
-    for _, rid, _, _, debit, *_ in requests:
-        want[rid] = left >= debit
-        left -= debit if want[rid] else 0
-    assert got == want
+SETTLE = ("request_ts timestamp, request_id bigint, payer bigint, payee bigint, debit decimal(30,8), credit decimal(30,8), "
+          "checked boolean, item string, blocked string")
+
+
+def in_turn(requests, held):
+    """The settlement as a loop; requests are in order."""
+    left, taken, out = dict(held), set(), {}
+    for _, rid, payer, payee, debit, credit, checked, item, _ in requests:
+        good = item not in taken and (not checked or left.get(payer, Decimal(0)) >= debit)
+        out[rid] = good
+        if good:
+            taken |= {item} - {None}
+        if good and checked:
+            left[payer] = left.get(payer, Decimal(0)) - debit
+            left[payee] = left.get(payee, Decimal(0)) + credit
+    return out
+
+
+@pytest.mark.parametrize("slice_rows, most_rounds", [(10, 21), (10_000, 1)])
+def test_settlement_in_slices_equals_one_by_one(spark, monkeypatch, slice_rows, most_rounds):
+    """Payments to and fro, items that several want, one account in every payment."""
+    from tickerloom.operators import settlement
+
+    rng, rounds = random.Random(5), []
+    plain = settlement._round
+    monkeypatch.setattr(settlement, "_round", lambda *a: rounds.append(1) or plain(*a))
+    requests = []
+    for i in range(200):
+        payer, payee = (1, 2) if i % 2 else (2, 1)
+        if i % 5 == 0:
+            payer, payee = rng.choice([3, 4]), 1
+        price = Decimal(rng.choice([100, 100, 7, 60]))
+        requests.append((at(i // 3), i, payer, payee, price, price, i % 11 != 0, rng.choice([None, f"i{i % 23}"]), None))
+    held = {1: Decimal(100), 3: Decimal(40)}
+    frame = spark.createDataFrame(requests, SETTLE).repartition(3)
+    wallet = spark.createDataFrame(list(held.items()), "user_id bigint, balance decimal(38,8)")
+    got = {r.request_id: r.accepted for r in settlement.settle(frame, wallet, slice_rows).collect()}
+    assert got == in_turn(requests, held)
+    assert 1 <= len(rounds) <= most_rounds
+
+
+def test_a_long_chain_is_one_round_a_slice(spark):
+    """Two accounts pass the same money to and fro ten thousand times."""
+    from tickerloom.operators import settlement
+
+    price = Decimal(100)
+    requests = [(at(i), i, 1 + i % 2, 2 - i % 2, price, price, True, None, None) for i in range(10_000)]
+    wallet = spark.createDataFrame([(1, price)], "user_id bigint, balance decimal(38,8)")
+    started = time.time()
+    done = settlement.settle(spark.createDataFrame(requests, SETTLE), wallet, 4000).collect()
+    assert all(r.accepted for r in done) and time.time() - started < 60
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -249,3 +281,19 @@ def test_status_and_registration(spark):
     assert {r.request_id: r.reject_reason for r in out.rejects.collect()} == {
         1: "already registered", 2: "already registered", 4: "already registered", 5: "name",
     }
+
+
+def test_trades_need_a_user_and_an_id_of_their_own(spark):
+    tx = spark.createDataFrame([], "transaction_id decimal(38,0), user_id bigint, crypto_price_id bigint, number_of_coins decimal(18,8), "
+                                   "amount decimal(15,8), cost decimal(15,2), transaction_type string, created_at timestamp")
+    wallet = spark.createDataFrame([(1, "10")], "user_id bigint, amount string")
+    at = dt.datetime(2025, 1, 1)
+    asked = "request_id bigint, request_ts timestamp, user_id bigint, crypto_price_id bigint, coins decimal(18,8), {} decimal(18,8)"
+    rows = [(1, at, None, 1, Decimal(1), Decimal(3)), (2, at, 1, 1, Decimal(1), Decimal(3)),
+            (2, at + dt.timedelta(1), 1, 1, Decimal(1), Decimal(4)), (3, at, 1, 1, Decimal(0), Decimal(4))]
+    for run, price, left in ((M.buy, "amount", 7), (M.sell, "cost", 13)):
+        done = run(tx, wallet, spark.createDataFrame(rows, asked.format(price)))
+        assert sorted((r.request_id, r.reject_reason) for r in done.rejects.collect()) == [
+            (1, "user_id"), (2, "request_id repeats"), (3, "coins")]
+        assert [int(r.transaction_id) for r in done.transactions.collect()] == [2]
+        assert {r.user_id: int(r.amount) for r in done.wallet.collect()} == {1: left}

@@ -66,7 +66,7 @@ def test_portfolio_edge_cases(spark):
     held = {(r.user_id, r.ticker, r.current_price): (r.remaining_coins, r.net_cost, r.market_value) for r in P.portfolio(tx, price).collect()}
     assert held == {
         (1, "BTC", "10"): (Decimal("1.5"), Decimal(0), Decimal(15)), (1, "BTC", "11"): (Decimal(3), Decimal(11), Decimal(33)),
-        (4, "BAD", "x"): (Decimal(1), Decimal(1), None),
+        (4, "BAD", "x"): (Decimal(1), Decimal(1), Decimal(0)),
     }
     totals = {r.user_id: r.total_market_value for r in P.portfolio_totals(tx, price).collect()}
     assert totals == {1: Decimal(48), 4: Decimal(0)}
@@ -84,9 +84,11 @@ def test_order_availability(spark):
         [(1, 1, "BTC", Decimal(3), "Bank", "pending", T0), (2, 9, "BTC", Decimal(3), "Bank", "pending", dt.datetime(2026, 1, 1))],
         "order_id bigint, user_id bigint, ticker string, price decimal(15,8), payment_mode string, status string, created_at timestamp",
     )
-    assert [(r.order_id, r.coins_available, r.order_value) for r in P.user_orders(orders, tx, price).collect()] == [
-        (2, Decimal(0), Decimal(0)), (1, Decimal(-1), Decimal(-3)),
+    assert sorted((r.order_id, r.coins_available, r.order_value) for r in P.user_orders(orders, tx, price).collect()) == [
+        (1, Decimal(-1), Decimal(-3)), (2, Decimal(0), Decimal(0)),
     ]
+    both = orders.withColumn("user_id", F.lit(1).cast("bigint"))
+    assert [r.order_id for r in P.user_orders(both, tx, price, user_id=1).collect()] == [2, 1]  # newest first
     ids = J.price_id_for(spark.createDataFrame([("BTC",), ("X",)], "ticker string"), price)
     assert {r.ticker: r.crypto_price_id for r in ids.collect()} == {"BTC": 1, "X": None}
 

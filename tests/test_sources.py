@@ -16,7 +16,7 @@ def test_news_csv_missing_words_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "n.csv").write_text(
         '﻿Ticker,Title,Source,date_time\nAUSD,"Up, and ""away""\nnow",The Block,"2025-10-13 08:26:09"\n'
         'AUSD,N/A,X,2025-10-13 08:26:09\nBUSD, padded ,NaN,\n', encoding="utf-8")
-    news = files.read_news(spark, str(tmp_path))
+    news = files.read_news(spark, str(tmp_path), line_breaks=True)
     assert sorted(map(tuple, news.collect()), key=str) == sorted([
         ("AUSD", 'Up, and "away"\nnow', "The Block", "2025-10-13 08:26:09"), ("AUSD", None, "X", "2025-10-13 08:26:09"),
         ("BUSD", " padded ", None, None)], key=str)
@@ -126,3 +126,21 @@ def test_price_csv(spark, tmp_path):
     bars = spark.createDataFrame([(dt.date(2025, 1, 1), "A", 1.0, 2.0, 0.5, None, 3)], schemas.BARS)
     files.write_csv(bars, str(tmp_path / "p"))
     assert [tuple(r) for r in files.read_prices(spark, str(tmp_path / "p")).collect()] == [tuple(r) for r in bars.collect()]
+
+
+def test_a_ticker_may_be_called_ticker(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Ticker,Title,Source,Date/Time\nTicker,one\\, two,S,x\nTicker,Title,S,x\n")
+    (tmp_path / "b.csv").write_text("T,three,S,x\n")
+    rows = files.read_news_escaped(spark, str(tmp_path)).collect()
+    assert sorted((r.Ticker, r.Title) for r in rows) == [("T", "three"), ("Ticker", "Title"), ("Ticker", "one, two")]
+
+
+def test_only_the_first_line_is_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ticker,current_price,junk\nticker,current_price,fiat_currency\nA,1,USD\n")
+    with pytest.raises(files.HeaderMismatch):
+        files.read_csv_strict(spark, str(tmp_path), schemas.CRYPTO_PRICE_CSV, ["ticker", "current_price", "fiat_currency"])
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.csv").write_text("ticker,current_price,fiat_currency\nA,1,USD\n")
+    loaded = files.read_csv_strict(spark, str(good), schemas.CRYPTO_PRICE_CSV, ["ticker", "current_price", "fiat_currency"])
+    assert [tuple(r) for r in loaded.collect()] == [("A", "1", "USD")]

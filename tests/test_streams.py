@@ -49,16 +49,60 @@ def test_rsi_after_batch_takes_late_and_repeated_bars(spark, tmp_path):
         stream = messages.parse_bars(messages.consume_files(spark, path)).bars
         query = stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "log"))
         query.trigger(availableNow=True).start().awaitTermination()
-    close_to(rated(B.current(spark, str(tmp_path / "rsi"), schemas.BARS_WITH_RSI)), rated(rsi(bars)))
+    close_to(rated(B.current_rsi(spark, str(tmp_path / "rsi"))), rated(rsi(bars)))
     # A batch that is run again after a crash leaves the tables as they were.
     step(bars.filter(day >= 25), 2)
-    close_to(rated(B.current(spark, str(tmp_path / "rsi"), schemas.BARS_WITH_RSI)), rated(rsi(bars)))
+    close_to(rated(B.current_rsi(spark, str(tmp_path / "rsi"))), rated(rsi(bars)))
 
 
-def test_replayed_bars_are_dropped(spark, tmp_path):
-    bars, path = price_bars(spark), str(tmp_path / "in")
-    for _ in range(2):
-        messages.publish_to_files(bars, path)
-    stream = messages.parse_bars(messages.consume_files(spark, path)).bars.withColumn("ts", F.col("Date").cast("timestamp"))
-    B.drain(B.dedupe_bars(stream), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == bars.count()
+def after_batch(spark, tmp_path, rows, step):
+    path = str(tmp_path / "in")
+    messages.publish_to_files(rows, path)
+    stream = messages.parse_bars(messages.consume_files(spark, path)).bars
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "log"))
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_replayed_and_late_bars_are_kept_once(spark, tmp_path):
+    bars, out = price_bars(spark), str(tmp_path / "out")
+    day = F.date_diff("Date", F.lit(D0))
+    for part in (day >= 8, day < 12, day >= 0):
+        after_batch(spark, tmp_path, bars.filter(part), B.new_bars(out))
+    want = sorted(map(tuple, bars.select("Ticker", "Date", "Close").collect()))
+    assert sorted(map(tuple, B.read_bars(spark, out).select("Ticker", "Date", "Close").collect())) == want
+    B.new_bars(out)(bars.filter(day < 12), 1)  # run again after a crash
+    assert sorted(map(tuple, B.read_bars(spark, out).select("Ticker", "Date", "Close").collect())) == want
+
+
+def test_a_correction_can_take_back_an_rsi(spark, tmp_path):
+    def bar(i, close):
+        return (D0 + dt.timedelta(days=i), "A", 1.0, 2.0, 0.5, close, 1)
+
+    bars = spark.createDataFrame([bar(i, 5.0) for i in range(14)] + [bar(14, 6.0)], schemas.BARS)
+    right = spark.createDataFrame([bar(14, 5.0)], schemas.BARS)
+    rsi_path = str(tmp_path / "rsi")
+    step = B.rsi_after_batch(str(tmp_path / "bars"), rsi_path)
+    after_batch(spark, tmp_path, bars, step)
+    assert rated(B.current_rsi(spark, rsi_path)) == {("A", D0 + dt.timedelta(days=14)): 100.0}
+    after_batch(spark, tmp_path, right, step)
+    assert rated(B.current_rsi(spark, rsi_path)) == {}
+
+
+def test_late_bars_come_out_marked(spark, tmp_path):
+    bars = price_bars(spark).filter("Ticker = 'A'")
+    day = F.date_diff("Date", F.lit(D0))
+    for part in (day != 7, day == 7):
+        messages.publish_to_files(bars.filter(part), str(tmp_path / "in"))
+        stream = messages.parse_bars(messages.consume_files(spark, str(tmp_path / "in"))).bars
+        B.drain(B.stream_rsi(stream), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    late = spark.read.parquet(str(tmp_path / "out")).filter("late").collect()
+    assert [(r.Ticker, r.Date, r.RSI) for r in late] == [("A", D0 + dt.timedelta(days=7), None)]
+
+
+def test_weeks_close_and_roll(spark):
+    bars = price_bars(spark).withColumn("RSI", F.lit(75.0))
+    weekly = B.weekly_range(bars).collect()
+    assert sum(r.bars for r in weekly) == bars.count() == sum(r.overbought for r in weekly)
+    rolling = B.weekly_range(bars, "1 day")
+    assert rolling.agg(F.sum("bars")).first()[0] == 7 * bars.count()
+    assert "overbought" not in B.weekly_range(price_bars(spark)).columns

@@ -42,11 +42,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tickerloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the written table, and its path for :func:`discard`.
 
     Later jobs neither repeat the work nor depend on executors that may be lost.
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`staged`, for tables that results go on reading."""
+    return staged(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
