@@ -153,7 +153,8 @@ def training_rows(docs: DataFrame, text: str, label: str, row_id: str, per_langu
     least = named.filter(F.col("_hash") <= F.element_at(bounds, F.col("_lang")))
     chosen = least.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("_id").distinct()
     rows = able.select(F.col(row_id).alias("_id"), F.col(label).alias("lang"), F.col(text).alias("text"))
-    return rows.join(chosen, "_id", "left_semi").select("lang", "text")
+    # At most per_language ids of at most MOST_LANGUAGES languages: a bounded table, and no text is moved.
+    return rows.join(F.broadcast(chosen), "_id", "left_semi").select("lang", "text")
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str = "doc_id",
