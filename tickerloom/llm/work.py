@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 #: Rows that one block of :func:`running` holds about.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 
 
 def blocks(spread: Column, rows: int) -> Column:
