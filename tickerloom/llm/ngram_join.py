@@ -334,6 +334,7 @@ def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id", wor
     found, _ = stage(joined(docs, text, row_id, words, percent), "joined")
     row = F.struct(F.col(row_id).alias("_id"), F.col("_text").alias("_hash"))
     kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("kept"))
+    kept, _ = stage(kept, "kept")  # written, so that the join can split a component of very many copies
     gone = found.join(kept, "component").filter(~row.eqNullSafe(F.col("kept"))).select(row.alias("r")).select("r.*")
     gone, _ = stage(gone.distinct(), "copies")
     left = docs.join(gone, _same_row(F.col(row_id), F.col(text)), "left_anti")
