@@ -297,3 +297,30 @@ def test_trades_need_a_user_and_an_id_of_their_own(spark):
             (1, "user_id"), (2, "request_id repeats"), (3, "coins")]
         assert [int(r.transaction_id) for r in done.transactions.collect()] == [2]
         assert {r.user_id: int(r.amount) for r in done.wallet.collect()} == {1: left}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_swaps_equal_one_by_one(spark, seed):
+    """Coins gained in the batch are swapped on; one user makes a third of the requests."""
+    rng = random.Random(seed)
+    log = [(100 + i, rng.choice([1, 1, 2, 3]), rng.randrange(4), rng.choice(["buy", "buy", "sell"])) for i in range(40)]
+    asked = [(i, rng.choice([1, 2, 3, 4]), rng.randrange(5), rng.randrange(5) if seed else 9) for i in range(60)]
+    coin, want, refused = {i: (u, c) for i, u, c, kind in log if kind == "buy"}, {}, set()
+    for request, user, give, take in asked:
+        able = [i for i, held in coin.items() if held == (user, give)]
+        if able:
+            coin[min(able)] = (user, take)
+            want[min(able)] = take
+        else:
+            refused.add(request)
+    tx = spark.createDataFrame([(Decimal(i), u, c, Decimal(1), Decimal(1), Decimal(1), kind, at(0)) for i, u, c, kind in log],
+                               "transaction_id decimal(38,0), user_id bigint, crypto_price_id bigint, number_of_coins decimal(18,8), "
+                               "amount decimal(15,8), cost decimal(15,2), transaction_type string, created_at timestamp")
+    one = Decimal(1)
+    requests = spark.createDataFrame([(i, at(i // 2), u, g, t, one, one, one) for i, u, g, t in asked],
+                                     "request_id bigint, request_ts timestamp, user_id bigint, from_coin bigint, to_coin bigint, "
+                                     "from_qty decimal(18,8), from_price decimal(18,8), to_price decimal(18,8)")
+    done = M.swap(tx, requests)
+    got = {int(r.transaction_id): r.crypto_price_id for r in done.transactions.collect()}
+    assert got == {i: want.get(i, c) for i, _, c, _ in log}
+    assert {r.request_id for r in done.rejects.collect()} == refused

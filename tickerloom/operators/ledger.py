@@ -6,8 +6,11 @@ is keyed by ``transaction_id``; a request's ``request_id`` becomes the id of the
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import swap_quantity, swap_value, to_money, trade_amount, unit_cost
@@ -18,7 +21,7 @@ from tickerloom.operators.latest import first_one, latest_one
 from tickerloom.operators.ordered import rank_in_key, union_all
 from tickerloom.operators.settlement import AMOUNT, settle
 from tickerloom.schemas import PAYMENT_MODES
-from tickerloom.session import stage
+from tickerloom.session import stage, staged
 
 LOG = ("transaction_id", "user_id", "crypto_price_id", "number_of_coins", "amount", "cost",
        "transaction_type", "created_at")
@@ -296,26 +299,72 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
     return Outcome(apply_deltas(wallet, paid), new_tx, old.unionByName(opened), bad.unionByName(turned_down))
 
 
+def _swap_in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs down each user's buys and then requests, in order; a swapped row is at once a buy of its new coin."""
+    user, heaps = None, {}
+    for batch in batches:
+        out = []
+        for owner, kind, row, coin, request, to in zip(*(batch[c] for c in ("user_id", "kind", "row", "coin", "request", "to"))):
+            if owner != user:
+                user, heaps = owner, {}
+            if kind == 0:
+                heapq.heappush(heaps.setdefault(coin, []), row)
+                continue
+            if own := heaps.get(coin):
+                row = heapq.heappop(own)
+                heapq.heappush(heaps.setdefault(to, []), row)
+            out.append((request, row))
+        yield pd.DataFrame(out, columns=["request", "row"])
+
+
+def _matched_in_turn(ok: DataFrame, held: DataFrame) -> DataFrame:
+    """(request_id, transaction_id) for users whose requests give away a coin that others of theirs bring in."""
+    id_type, number = ok.schema["request_id"].dataType, "decimal(38,0)"
+    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+    buys = held.select(
+        "user_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(id_type).alias("order"),
+        text(None).alias("request"), F.col("transaction_id").cast(number).alias("row"), text("crypto_price_id").alias("coin"),
+        text(None).alias("to"),
+    )
+    asked = ok.select(
+        "user_id", F.lit(1).alias("kind"), F.col("request_ts").alias("at"), F.col("request_id").alias("order"),
+        text("request_id").alias("request"), F.lit(None).cast(number).alias("row"), text("from_coin").alias("coin"),
+        text("to_coin").alias("to"),
+    )
+    rows = buys.unionByName(asked).repartition("user_id").sortWithinPartitions("user_id", "kind", "at", "order").drop("at", "order")
+    told = rows.mapInPandas(_swap_in_turn, f"request string, row {number}")
+    return told.select(F.col("request").cast(id_type).alias("request_id"),
+                       F.col("row").cast(held.schema["transaction_id"].dataType).alias("transaction_id"))
+
+
 def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
     """requests: request_id, request_ts, user_id, from_coin, to_coin, from_qty, from_price, to_price.
 
-    A user's k-th swap of a coin rewrites that coin's k-th buy row by id, as the log stood before the batch.
+    A swap rewrites the user's buy row of the coin with the least id, as the log stands after the swaps before it. For most
+    users that is the k-th buy row for the k-th swap of a coin, matched for all at once. Only users who also swap away
+    coins that the batch brings them are followed in order; their rows stream through a task.
     """
-    ok, bad = validate(requests, [_positive("from_qty"), _positive("from_price"), _positive("to_price")])
-    ranked = rank_in_key(ok, ["user_id", "from_coin"], ["request_ts", "request_id"], "_k").select(
-        "user_id", F.col("from_coin").alias("crypto_price_id"), "_k", "request_id",
-        F.col("to_coin").alias("_coin"),
+    ok, bad = _checked_trades(requests, "from_qty", "from_price", "to_price")
+    pair = ["user_id", "crypto_price_id"]
+    given = ok.select("user_id", F.col("from_coin").alias("crypto_price_id")).distinct()
+    gained = ok.select("user_id", F.col("to_coin").alias("crypto_price_id")).distinct()
+    chained, _ = staged(given.join(gained, pair, "left_semi").select("user_id").distinct(), "chained")
+    held = tx.filter(F.col("transaction_type") == "buy").join(given, pair, "left_semi").select(*pair, "transaction_id")
+    held = held.distinct()  # rows that share an id are one row of the log
+    ranked = rank_in_key(
+        ok.join(chained, "user_id", "left_anti").select("user_id", F.col("from_coin").alias("crypto_price_id"), "request_ts", "request_id"),
+        pair, ["request_ts", "request_id"], "_k")
+    rows = rank_in_key(held.join(chained, "user_id", "left_anti"), pair, ["transaction_id"], "_k")
+    at_once = ranked.join(rows, [*pair, "_k"], "left").select("request_id", "transaction_id")
+    in_turn = _matched_in_turn(ok.join(chained, "user_id", "left_semi"), held.join(chained, "user_id", "left_semi"))
+    matched = stage(at_once.unionByName(in_turn), "swaps")
+    told = ok.join(matched.filter(F.col("transaction_id").isNotNull()), "request_id").select(
+        "transaction_id", "request_ts", "request_id", F.col("to_coin").alias("_coin"),
         swap_value(F.col("from_qty"), F.col("from_price")).alias("_value"),
         swap_quantity(F.col("from_qty"), F.col("from_price"), F.col("to_price")).alias("_coins"),
         F.col("to_price").cast(COIN).alias("_cost"),
     )
-    wanted = ok.select("user_id", F.col("from_coin").alias("crypto_price_id")).distinct()
-    held = tx.filter(F.col("transaction_type") == "buy").join(wanted, ["user_id", "crypto_price_id"], "left_semi")
-    held = rank_in_key(
-        held.select("user_id", "crypto_price_id", "transaction_id"), ["user_id", "crypto_price_id"], ["transaction_id"], "_k"
-    )
-    matched = stage(ranked.join(held, ["user_id", "crypto_price_id", "_k"], "left"), "swaps")
-    change = matched.filter(F.col("transaction_id").isNotNull()).select("transaction_id", "_coin", "_value", "_coins", "_cost")
+    change = latest_one(told, ["transaction_id"], ["request_ts", "request_id"]).drop("request_ts", "request_id")
     new_tx = (
         log_rows(tx)
         .join(change, "transaction_id", "left")

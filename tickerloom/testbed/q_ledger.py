@@ -8,7 +8,7 @@ from tickerloom.operators import ledger as M
 from tickerloom.operators.ordering import concat_all
 from tickerloom.testbed.q_rows import SIGN_UPS_SQL, _sign_ups
 from tickerloom.testbed.registry import moment, query
-from tickerloom.testbed.views import Views
+from tickerloom.testbed.views import Views, with_views
 
 MONEY = "decimal(18,8)"
 WALLET_SQL = """
@@ -207,18 +207,28 @@ def swap_requests(v: Views):
     )
 
 
-@query("m8_swap_log", "transactions", f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, crypto_price_id ORDER BY created_at, transaction_id) AS k
-           FROM transactions WHERE transaction_type IN ('buy', 'p2p-sell') AND cost > 0 AND line > 0),
-b AS (SELECT transaction_id, user_id, crypto_price_id, row_number() OVER (PARTITION BY user_id, crypto_price_id ORDER BY transaction_id) AS k
-      FROM transactions WHERE transaction_type = 'buy'),
-c AS (SELECT b.transaction_id, r.other_user AS coin, (r.number_of_coins::bigint::hugeint * (r.cost * 100)::hugeint) AS cents, r.line
-      FROM b JOIN r ON b.user_id = r.user_id AND b.crypto_price_id = r.crypto_price_id AND b.k = r.k)
+# One request of each user a step: it takes the user's least buy row of the coin as the log stands then.
+SWAPS_SQL = "WITH RECURSIVE" + with_views("transactions", body=f"""
+WITH r AS (SELECT user_id, crypto_price_id AS from_coin, other_user AS to_coin, (number_of_coins::bigint::hugeint * (cost * 100)::hugeint) AS cents, line,
+                  row_number() OVER (PARTITION BY user_id ORDER BY created_at, transaction_id) AS k
+           FROM (SELECT * FROM transactions WHERE transaction_type IN ('buy', 'p2p-sell')
+                 QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY created_at) = 1) WHERE cost > 0 AND line > 0),
+st(tx, owner, coin, step, via) USING KEY (tx) AS (
+  (SELECT transaction_id, user_id, crypto_price_id, 0::bigint, 0::bigint FROM transactions WHERE transaction_type = 'buy'
+   UNION ALL SELECT -1::hugeint, NULL, NULL, 0, 0)
+  UNION
+  (SELECT tx, NULL, NULL, step + 1, 0 FROM st WHERE tx = -1 AND step < (SELECT max(k) FROM r)
+   UNION ALL SELECT min(h.tx), r.user_id, any_value(r.to_coin), r.k, r.k FROM recurring.st h
+   JOIN r ON h.owner = r.user_id AND h.coin = r.from_coin JOIN st n ON n.tx = -1 AND r.k = n.step + 1 GROUP BY r.user_id, r.k)),
+c AS (SELECT tx, r.to_coin AS coin, cents, line FROM st JOIN r ON st.owner = r.user_id AND st.via = r.k WHERE via > 0)
 SELECT cast(t.transaction_id AS varchar) AS transaction_id, user_id, coalesce(coin, crypto_price_id) AS crypto_price_id,
        CASE WHEN coin IS NULL THEN number_of_coins::double ELSE ((2 * cents * 1000000 + c.line) // (2 * c.line))::double / 1e8 END AS number_of_coins,
        CASE WHEN coin IS NULL THEN amount::double ELSE cents::double / 100 END AS amount,
        CASE WHEN coin IS NULL THEN cost::double ELSE c.line::double END AS cost, transaction_type, {moment('created_at')} AS created_at
-FROM transactions t LEFT JOIN c ON c.transaction_id = t.transaction_id""")
+FROM transactions t LEFT JOIN c ON c.tx = t.transaction_id""")[len("WITH"):]
+
+
+@query("m8_swap_log", sql=SWAPS_SQL)
 def _(v):
     return M.swap(v.transactions(), swap_requests(v)).transactions
 
