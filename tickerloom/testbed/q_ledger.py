@@ -234,14 +234,13 @@ def _(v):
 
 
 @query("m9_set_status", "users", """
-WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'not verified' ELSE 'verified' END AS status FROM events
-           WHERE event_type IN ('signup', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+WITH e AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'not verified' WHEN 'error' THEN 'suspended' ELSE 'verified' END AS status
+           FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT user_id, name, coalesce(e.status, lower(trim(u.status))) AS status FROM users u LEFT JOIN e USING (user_id)""")
 def _(v):
-    events = v._table("events").filter(F.col("event_type").isin("signup", "purchase")).select(
-        "user_id", F.col("ts").alias("event_ts"), "event_id",
-        F.when(F.col("event_type") == "signup", "Not Verified ").otherwise("Verified").alias("status"),
-    )
+    kind = F.col("event_type")
+    status = F.when(kind == "signup", "Not Verified ").when(kind == "error", " Suspended").otherwise("Verified")
+    events = v._table("events").select("user_id", F.col("ts").alias("event_ts"), "event_id", status.alias("status"))
     return M.set_status(v.users(), events).select("user_id", "name", "status")
 
 
