@@ -4,21 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tickerloom.session import configure, work_path
+from tickerloom.session import configure, discard, staged as stage
 
-
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder; returns the written table and its path."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["blocks", "discard", "running", "stage", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
