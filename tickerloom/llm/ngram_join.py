@@ -183,8 +183,13 @@ def _same_row(row_id: Column, text: Column) -> Column:
     return row_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
 
 
-def shared_sets(docs: DataFrame, able: DataFrame, text: str, row_id: str, words: int) -> tuple[DataFrame, list[str]]:
-    """node, n, and the tokens that other nodes of ``able`` have too, with their numbers of texts, the rarest first."""
+def shared_sets(
+    docs: DataFrame, able: DataFrame, text: str, row_id: str, words: int, repeats: bool
+) -> tuple[DataFrame, list[str]]:
+    """node, n, and the tokens that other nodes of ``able`` have too, with their numbers of texts, the rarest first.
+
+    ``repeats`` tells that fully equal rows may occur.
+    """
     wanted = able.select(F.col("id").alias("_id"), F.col("_text").alias("_hash"), "node", "n")
     raw = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"),
                       F.xxhash64(F.col(row_id), F.xxhash64(F.col(text))).alias("_key"))
@@ -199,7 +204,7 @@ def shared_sets(docs: DataFrame, able: DataFrame, text: str, row_id: str, words:
             yield pd.DataFrame({"node": frame["node"], "n": frame["n"], "tokens": sets})
 
     # Fully equal rows give a node twice.
-    once = found.dropDuplicates(["node"])
+    once = found.dropDuplicates(["node"]) if repeats else found
     sets, path = stage(once.mapInPandas(cut, "node bigint, n bigint, tokens array<bigint>"), "token-sets")
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").cast("int").alias("texts")).filter("texts > 1")
@@ -277,12 +282,15 @@ def linked_pairs(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray |
 
 def verified(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join the nodes of each cluster as all links between them would."""
-    sized = sets.join(roots, "node").withColumn("held", F.size("tokens"))
+    # Narrow rows are joined first; the tokens then move to the tasks by way of one join, and only those of clusters.
+    sized = sets.select("node", F.size("tokens").alias("held")).join(roots, "node")
     per_root, path = stage(sized.groupBy("root").agg(F.count("*").alias("texts"), F.sum("held").alias("held")), "cluster-sizes")
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("held") / BLOCK_TOKENS)).cast("int")
     small = per_root.filter((F.col("texts") <= BLOCK_TEXTS) & (F.col("held") <= BLOCK_TOKENS)).agg(F.sum("held")).first()[0]
     batches = max(1, -(-(small or 0) // (BLOCK_TOKENS // 4)))
-    placed = sized.join(per_root.select("root", blocks.alias("blocks")), "root")
+    known, at_known = stage(sized.join(per_root.select("root", blocks.alias("blocks")), "root").drop("held"), "clustered")
+    member = bloom.filled(known.select(F.col("node").alias("_key")), known.count())
+    placed = bloom.passing(sets, member, "node").join(known, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A batch of small clusters is one group; a large one is a group for each pair of its blocks.
     group = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(batches)))
@@ -300,7 +308,7 @@ def verified(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     found, at = stage(rows.groupBy("group", "large", "i", "j").applyInPandas(verify, "a bigint, b bigint"), "links-found")
-    discard(sets.sparkSession, path)
+    discard(sets.sparkSession, path, at_known)
     return found
 
 
@@ -308,7 +316,8 @@ def joined(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: i
     """Per row: its id, _text (a hash of its text), n_shingles, component (a number) and component_id (its least id)."""
     rows, _ = stage(signed(docs, text, row_id, words, percent), "signed")
     able, held = stage(possible(rows, percent), "possible")
-    sets, paths = shared_sets(docs, able, text, row_id, words)
+    repeats = not rows.groupBy(row_id, "_text").count().filter("count > 1").isEmpty()
+    sets, paths = shared_sets(docs, able, text, row_id, words, repeats)
     roots, more = clusters(sets, percent)
     links = verified(sets, roots, percent)
     joins, _ = stage(components(links), "components")
