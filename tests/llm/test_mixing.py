@@ -93,3 +93,30 @@ def test_query(spark, folder):
     got = op9(spark, folder).collect()
     assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert all(r.release <= r.slot < r.deadline for r in got) and any(r.in_mix for r in got)
+
+
+def test_all_rows_stay_when_sources_run_out(spark, docs):
+    rows = docs(*[(i, "t" * 92, None, "big" if i >= 40 else f"s{i % 3}", 0) for i in range(400)], (1000, "x", None, None, 0))
+    options = {"block_bytes": 100, "period": 20}
+    got = M.schedule(rows, until_first=False, **options).collect()
+    assert len(got) == 401 and all(r.in_mix and r.release <= r.slot < r.deadline for r in got)
+    taken = {r.slot: (r.source, r.block) for r in got}
+    assert len(taken) == len({(r.source, r.block) for r in got}) and max(taken) < 401 + 4
+    order = [b for _, (s, b) in sorted(taken.items()) if s == "big"]
+    assert order == sorted(order)
+    assert M.mixed_rows(rows, **options).count() == 401
+    assert 0 < M.mixed_rows(rows, until_first=True, **options).count() < 401
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 5), st.integers(1, 60)), min_size=1, max_size=8), st.integers(8, 60))
+def test_phases_place_every_block_once(sources, period):
+    weights, held = {f"s{i}": w for i, (w, _) in enumerate(sources)}, {f"s{i}": n for i, (_, n) in enumerate(sources)}
+    planned, end = M.phases(weights, held, period, until_first=False)
+    slots = [p.start + M.slot_of(s, b - p.first[s], p.shares, p.slots)
+             for p in planned for s in p.shares for b in range(p.first[s], p.past[s])]
+    assert sorted(slots) == list(range(end)) and end == sum(held.values()) and len(planned) <= len(held)
+
+
+def test_query_keeps_all_rows(spark, folder):
+    assert all(r.in_mix for r in op9(spark, folder).collect())
