@@ -101,3 +101,39 @@ def test_query_equals_brute_force(spark, folder):
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [len(plain[k]) for k in PATTERNS]
         spans = [s.split(":") for s in row.spans.split(",")] if row.spans else []
         assert {(k, int(a), int(b)) for k, a, b in spans} >= {(k, a, b) for k, v in plain.items() for a, b in v}
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("4111 dash 1111 dash 1111 dash 1111", "card"), ("+1 415 dash 555 dash 0123", "phone"), ("+1 415 hyphen 555 hyphen 0123", "phone"),
+    ("four-one-one-one-one-one-one-one-one-one-one-one-one-one-one-one", "card"), ("+four-nine-one-seven-zero-one-two-three-four", "phone"),
+    ("+49 170 one two 34567", "phone"), ("“four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one.”", "card"),
+    ("at one.two.three.four", "ip"), ("bob@five five.com", "email"), ("call +49 170 ſix 1234567", "phone"),
+])
+def test_any_arc_opens_the_gate(text, kind):
+    assert P.disguised(text, P.found(text))[kind]
+
+
+_PIECES = ["one", "Two ", "fünf", "six-", "phone", "dash", " hyphen ", "dot", " at ", "(at)", "[dot]", "<point>", "plus ", "+", "@", "4",
+           "12", "111", ".", ",", " ", "-", "(", ")", "_", "x", "com", "é", "”", "\xad", "а", "ſ", "İ", "１", "\n"]
+
+
+def ungated(text):
+    gate, P.may_be_disguised = P.may_be_disguised, lambda _: True
+    try:
+        return P.disguised(text, P.found(text))
+    finally:
+        P.may_be_disguised = gate
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=40).map("".join))
+def test_gate_and_no_gate_give_equal_spans(text):
+    assert P.disguised(text, P.found(text)) == ungated(text)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["one", "two", "five", "1", "23", "4111"]), min_size=3, max_size=19).flatmap(
+    lambda words: st.lists(st.sampled_from([" ", "-", ", ", ".", " dash ", " hyphen ", "", ") ("]), min_size=len(words), max_size=len(words)).map(
+        lambda gaps: "".join(w + g for w, g in zip(words, gaps, strict=True)))), st.sampled_from(["", "+", "é +", "a@"]))
+def test_gate_and_no_gate_give_equal_spans_of_numbers(text, before):
+    assert P.disguised(before + text, P.found(before + text)) == ungated(before + text)

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -96,6 +97,7 @@ _LOOKALIKES = {
     "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "ο": "o", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "υ": "u",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ı": "i", "ɡ": "g", "ɑ": "a", "ﬁ": "fi", "‐": "-", "‑": "-", "–": "-", "−": "-", "․": ".", "。": ".",
+    "ſ": "s", "İ": "I", "\u212a": "K",
 }
 # Spelled digits and signs.
 _SPELLED = {
@@ -123,6 +125,8 @@ _ARCS = re.compile(
 )
 _SIGNS = {"at": "@", "dot": ".", "dash": "-", "plus": "+"}
 _DIGIT_WORDS = frozenset(_SPELLED)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_CUTS = {c: c if chr(c).isalpha() else " " for c in range(128)}
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|dot|punkt|point|punto){_SHUT}", re.IGNORECASE)
 
 
@@ -149,17 +153,35 @@ def _latin(text: str) -> bool:
         return False
 
 
+def _letter_runs(low: str) -> list:
+    """The runs of letters, as the arcs see them."""
+    if low.isascii():
+        return low.translate(_ASCII_CUTS).split()
+    return _LETTERS.findall(low)
+
+
+@lru_cache(maxsize=4096)
+def _beside_digits(words: frozenset[str]) -> re.Pattern:
+    """One of the digit words with nothing but signs and blanks between it and a digit or a digit word."""
+    own = "|".join(sorted(words, key=len, reverse=True))
+    return re.compile(rf"(?:{own})\W*+(?:[0-9]|{own})|[0-9]\W*+(?:{own})")
+
+
 def may_be_disguised(text: str) -> bool:
-    """False for a text that holds nothing to normalise into an identifier. Cheap, as most texts are plain."""
+    """False only for a text in which the transducer changes nothing that a find could hold. Cheap, as most texts are plain.
+
+    Without folds and without ``dot``, ``plus``, ``dash``, ``hyphen`` and bracketed signs only digit words are left. They
+    change an address only around an ``@``; in all other kinds they stand beside another digit.
+    """
     if not text.isascii() and not _latin(text) and not _FOLDED.isdisjoint(text):
         return True
     low = text.lower()
-    if "dot" in low or "plus" in low:
+    if "dot" in low or "plus" in low or "dash" in low or "hyphen" in low:
         return True
     if ("at" in low or "p" in low) and any(c in low for c in "([{<") and _BRACKETED.search(low):
         return True
-    words = low.split()
-    return not _DIGIT_WORDS.isdisjoint(words) and sum(w.strip(",.;:-") in _DIGIT_WORDS for w in words) >= 3
+    words = _DIGIT_WORDS.intersection(_letter_runs(low))
+    return bool(words) and ("@" in low or _beside_digits(words).search(low) is not None)
 
 
 @dataclass(frozen=True)
