@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,34 @@ def test_query_recall(spark, folder):
         assert own == sorted(own)
         for score, i in own:
             assert -score == pytest.approx((vectors[place[q]] * vectors[place[i]]).sum(), abs=1e-14)
+
+
+def test_rows_come_from_the_scan_alone(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((1200, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], SCHEMA)
+    got = got_of(A.nearest(frame, F.col("vec_id") % 20 == 0, k=10, probes=0.01))
+    want = brute(np.arange(1200), vectors.astype(float), np.arange(1200) % 20 == 0, 10)
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert all(len(got[q]) == 10 for q in want) and hits < 0.7 * 10 * len(want)  # one list of 17
+
+
+def test_recall_of_the_index_beyond_the_sample(spark, tmp_path):
+    rng, n = np.random.default_rng(10), 30_000
+    vectors = rng.standard_normal((n, 32)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(vectors)}).to_parquet(tmp_path / "v.parquet")
+    got = got_of(A.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 100 == 0))
+    hits = 0
+    for q in range(0, n, 100):
+        products = vectors @ vectors[q]
+        products[q] = -np.inf
+        hits += len({i for _, i in got[q]} & set(np.argpartition(-products, 20)[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hits >= 0.9 * 20 * (n // 100)
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    vectors = np.random.default_rng(12).standard_normal((40, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+    got = got_of(A.nearest(spark.createDataFrame(rows + rows * 30, SCHEMA), F.col("vec_id") == 0, k=5, probes=1.0, deviations=50.0))
+    assert got == brute(np.arange(40), vectors.astype(float), np.arange(40) == 0, 5)

@@ -7,7 +7,9 @@ many tasks. A query visits the lists of its nearest centroids (``probes``, a sha
 Scan: vectors are turned by a random rotation and laid out in column blocks. After each column block a hypothesis test
 compares a pair's partial product with what a pair as good as the query's threshold would show by now (mean and
 deviation under a random rotation): clearly worse pairs are abandoned. Their remaining dimensions are never read. The
-threshold starts as the query's k-th best product among the sample, which all are candidates, and rises during the scan.
+threshold starts as the query's k-th best product among those vectors of the sample (at most a FLOOR_SHARE-th of the table)
+that lie in its lists, and rises during the scan. The sample gives centroids and starting thresholds only: every row of
+the result comes from the scan, and so many candidates lie above a starting threshold that k are left.
 Products of the survivors are taken in double precision on the original vectors.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
@@ -33,6 +35,8 @@ COLUMNS = 16
 PROBES = 0.7
 #: Deviations below the expected partial product at which a pair is abandoned.
 DEVIATIONS = 2.75
+#: Starting thresholds come from one vector of so many at most.
+FLOOR_SHARE = 8
 #: Queries that meet one block of vectors in one task at most (about).
 QUERY_SLICE = 4096
 _SEED = 20240607
@@ -52,15 +56,16 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids, the rotation, and the sample with its ids."""
+    """Centroids, the rotation, and the sample for the thresholds with its ids and lists."""
 
     centroids: np.ndarray
     rotation: np.ndarray
     ids: np.ndarray
     vectors: np.ndarray
+    lists: np.ndarray
 
     @staticmethod
-    def fitted(ids: np.ndarray, vectors: np.ndarray, lists: int, rounds: int = 10) -> Index:
+    def fitted(ids: np.ndarray, vectors: np.ndarray, lists: int, floors: int, rounds: int = 10) -> Index:
         rng = np.random.default_rng(_SEED)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         centroids = unit[rng.choice(len(unit), lists, replace=False)]
@@ -72,7 +77,8 @@ class Index:
             sums[empty] = unit[rng.choice(len(unit), int(empty.sum()))]
             centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
         rotation = np.linalg.qr(rng.standard_normal((vectors.shape[1],) * 2))[0]
-        return Index(centroids, rotation, ids, vectors)
+        few = vectors[:floors]
+        return Index(centroids, rotation, ids[:floors], few, (few @ centroids.T).argmax(axis=1))
 
     def lists_of(self, vectors: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest lists of each vector, the nearest first."""
@@ -80,11 +86,6 @@ class Index:
         return np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, greatest score first, then smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 @dataclass(frozen=True)
 class Scan:
     """A block of vectors, turned and cut into column blocks."""
@@ -135,6 +136,7 @@ def scanned(block: Scan, queries: Scan, floors: np.ndarray, k: int, deviations:
         good = scores >= floors[q]
         own = pd.DataFrame({"q": q[good], "vec_id": few.ids[v[good]], "score": scores[good]})
         every = pd.concat([*found, own]).sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        every = every.drop_duplicates(["q", "vec_id"])  # rows that share an id are one item
         every = every[every.groupby("q").cumcount() < k]
         found = [every]
         # A full list of k raises the floor to its last entry.
@@ -170,7 +172,7 @@ def nearest(
                                    F.coalesce(queries, F.lit(False)).alias("asks"))
     ids, vectors = _sample(able.select("id", "vector"), widest["count"], sample)
     lists = max(1, min(len(ids) // 8, math.isqrt(widest["count"]) // 2))
-    shared = spark.sparkContext.broadcast(Index.fitted(ids, vectors, lists))
+    shared = spark.sparkContext.broadcast(Index.fitted(ids, vectors, lists, widest["count"] // FLOOR_SHARE))
     visits = max(1, math.ceil(lists * probes))
 
     def listed(frames):
@@ -188,7 +190,7 @@ def nearest(
     kind = placed.schema["vector"].dataType.simpleString()
 
     def asking(frames):
-        """Each query with its floor, once for every block it visits, and its best of the sample."""
+        """Each query with its floor and the blocks it visits."""
         index = shared.value
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -197,23 +199,18 @@ def nearest(
                 near = own @ index.vectors.T
                 out = []
                 for i, (query, visited) in enumerate(zip(few["id"], index.lists_of(own, visits), strict=True)):
-                    other = np.flatnonzero(index.ids != query)
+                    # only vectors that the scan meets: a floor must not hide what it cannot give
+                    other = np.flatnonzero((index.ids != query) & np.isin(index.lists, visited))
                     # a margin keeps ties at the edge, whose plain products may differ in the last digits
-                    edge = np.partition(near[i, other], -k)[-k] - 1e-9 if len(other) > k else -np.inf
-                    few_best = other[near[i, other] >= edge]
-                    score = exact_products(np.broadcast_to(own[i], (len(few_best), own.shape[1])), index.vectors[few_best])
-                    best = best_of(index.ids[few_best], score, k)
-                    floor = score[best[-1]] if len(best) == k else -np.inf
+                    floor = np.partition(near[i, other], -k)[-k] - 1e-9 if len(other) >= k else -np.inf
                     out.append({
                         "id": query, "vector": few["vector"].iloc[i], "floor": floor,
                         "at": [{"list": int(x), "block": b} for x in visited for b in range(blocks[x])],
-                        "near": [{"vec_id": int(index.ids[few_best[j]]), "score": float(score[j])} for j in best],
                     })
-                yield pd.DataFrame(out, columns=["id", "vector", "floor", "at", "near"])
+                yield pd.DataFrame(out, columns=["id", "vector", "floor", "at"])
 
     asks, _ = stage(placed.filter("asks").mapInPandas(
-        asking, f"id bigint, vector {kind}, floor double, at array<struct<list: int, block: int>>, "
-                "near array<struct<vec_id: bigint, score: double>>"), "queries")
+        asking, f"id bigint, vector {kind}, floor double, at array<struct<list: int, block: int>>"), "queries")
     slice_of = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")
     left = placed.select("list", F.pmod(F.xxhash64("id"), cuts).cast("int").alias("block"),
                          F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "id", "vector")
@@ -230,8 +227,7 @@ def nearest(
         return scanned(*turned, theirs["floor"].to_numpy(np.float64), k, deviations)
 
     met = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(scan, result)
-    near = asks.select(F.col("id").alias("query_id"), F.explode("near").alias("near")).select("query_id", "near.*")
-    every = met.unionByName(near).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    every = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
