@@ -120,3 +120,24 @@ def test_phases_place_every_block_once(sources, period):
 
 def test_query_keeps_all_rows(spark, folder):
     assert all(r.in_mix for r in op9(spark, folder).collect())
+
+
+def test_more_sources_than_slots(spark, docs):
+    rows = [(i, "t" * (i % 90), None, f"host{i % 1500}" if i < 3000 else "big", 0) for i in range(4500)]
+    got = M.schedule(docs(*rows), until_first=False, block_bytes=300).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4500))
+    assert all(r.in_mix and r.release <= r.slot < r.deadline for r in got)
+    assert M.mixed_rows(docs(*rows), block_bytes=300).count() == 4500
+
+
+def test_pools_hold_their_members_weights(spark, docs, monkeypatch):
+    monkeypatch.setattr(M, "ENTRIES", 6)
+    monkeypatch.setattr(M, "POOLS", 4)
+    rows = [(i, "t" * 92, None, f"s{i % 40}", 0) for i in range(8000)]
+    weights = {f"s{i}": 100.0 if i < 2 else 0.0 if i == 2 else 3.0 if i % 2 else 2.0 for i in range(40)}
+    got = M.schedule(docs(*rows), weights, block_bytes=200, period=100, until_first=False).collect()
+    assert {r.source for r in got if r.slot is None} == {"s2"} and len(got) == 8000
+    small = sorted((r for r in got if r.in_mix and r.source not in ("s0", "s1")), key=lambda r: r.slot)
+    early = [weights[r.source] for r in small[: len(small) // 3]]
+    heavy, light = early.count(3.0) / 19, early.count(2.0) / 18
+    assert 1.4 < heavy / light < 1.6
