@@ -106,3 +106,10 @@ def test_language_stage_rejects_only_what_has_no_letter(spark, folder, docs):
     rows = docs((1, "x"), (2, "%%% 123"), (3, "ñ"), (4, "mixed 中文 text"), (5, None))
     assert {r.doc_id for r in P.languages(spark, rows.withColumn("lang", F.lit("en")), folder).collect()} == {1, 3, 4}
     assert language.UNKNOWN == "und"
+
+
+@pytest.mark.parametrize("label", [None, "und"])
+def test_language_stage_keeps_lettered_rows_without_a_usable_label(spark, folder, docs, label):
+    rows = docs(*[(i, f"some words {i}") for i in range(20)], (21, "%%% 123"), (22, None))
+    rows = rows.withColumn("lang", F.lit(label).cast("string"))
+    assert {r.doc_id for r in P.languages(spark, rows, folder).collect()} == set(range(20))

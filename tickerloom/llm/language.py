@@ -178,6 +178,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str =
     return Model(languages, tables)
 
 
+def lettered(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) to the rows; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,10 +191,9 @@ def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFram
         names, shares = shared.value.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": names, "score": shares})
 
-    lettered = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    out = docs.withColumn("_lang", predict(F.col(text))).withColumn("_lettered", lettered)
+    out = docs.withColumn("_lang", predict(F.col(text))).withColumn("_lettered", lettered(text))
     return out.withColumns({
         "lang_pred": F.when(F.col("_lettered"), F.col("_lang.lang_pred")).otherwise(UNKNOWN),
         "score": F.when(F.col("_lettered"), F.col("_lang.score")).otherwise(0.0),
