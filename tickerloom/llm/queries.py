@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.llm import (
-    ann, decontamination, language, mixing, ngram_join, pii, sharding, token_counts, url_filter, warc,
+    ann, decontamination, language, mixing, ngram_join, pii, sharding, simhash, token_counts, url_filter, warc,
 )
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
@@ -152,6 +152,11 @@ def op5(spark, folder):
                        F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+@query("op13_simhash")
+def op13(spark, folder):
+    return simhash.near_copies(table(spark, folder, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)
+
+
 @query("op2_ngram_join")
 def op2(spark, folder):
     found = ngram_join.joined(table(spark, folder, "documents").select("doc_id", "text"), words=4, percent=85)

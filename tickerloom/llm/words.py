@@ -7,6 +7,7 @@ executor; two different shingles meet in one hash with a probability of about 2^
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,7 @@ ROUND_CHARS = 2_000_000
 ALNUM = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,3 +83,16 @@ def shingle_sets(texts: Sequence[str | bytes | None], k: int) -> Iterator[np.nda
                 yield np.unique(every[a : b - k + 1])
             else:
                 yield shingles(words[a:b], b - a) if b > a else words[:0]
+
+
+def portions(text: bytes | None, size: int = ROUND_CHARS) -> Iterator[list[bytes]]:
+    """The words of one text, A-Z lowered, in order; a long text comes in portions of about ``size`` bytes, cut at blanks."""
+    raw, start = text or b"", 0
+    while start < len(raw):
+        end = start + size
+        if end < len(raw):
+            # To the end of the word that lies there.
+            blank = _BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[start:end].lower().split()
+        start = end
