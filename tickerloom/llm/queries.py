@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tickerloom.llm import (
-    ann, decontamination, language, mixing, ngram_join, pii, sharding, simhash, token_counts, url_filter, warc,
+    ann, decontamination, language, mixing, ngram_join, periodic, pii, sharding, simhash, token_counts, url_filter, warc,
 )
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
@@ -152,6 +153,32 @@ def op5(spark, folder):
                        F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def _repeating(n, h):
+    """Places of the words of every tenth text: from some word on, the words of a first period over and over."""
+    if h % 10 or not n:
+        return None
+    g = int(h) // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % p)
+
+
+@query("op12_periodic_runs")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.periodic_runs(docs, order=_repeating, order_by=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                              (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    named = found.withColumns({"best": best, "lines": F.concat_ws("", lines)})
+    return named.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op13_simhash")
 def op13(spark, folder):
     return simhash.near_copies(table(spark, folder, "documents").select("doc_id", "text"), words=4, distance=4, seed=42)

@@ -85,8 +85,8 @@ def shingle_sets(texts: Sequence[str | bytes | None], k: int) -> Iterator[np.nda
                 yield shingles(words[a:b], b - a) if b > a else words[:0]
 
 
-def portions(text: bytes | None, size: int = ROUND_CHARS) -> Iterator[list[bytes]]:
-    """The words of one text, A-Z lowered, in order; a long text comes in portions of about ``size`` bytes, cut at blanks."""
+def portions(text: bytes | None, size: int = ROUND_CHARS, lower: bool = True) -> Iterator[list[bytes]]:
+    """The words of one text in order, with A-Z lowered; a long text comes in portions of about ``size`` bytes, cut at blanks."""
     raw, start = text or b"", 0
     while start < len(raw):
         end = start + size
@@ -94,5 +94,6 @@ def portions(text: bytes | None, size: int = ROUND_CHARS) -> Iterator[list[bytes
             # To the end of the word that lies there.
             blank = _BLANK.search(raw, end)
             end = blank.start() if blank else len(raw)
-        yield raw[start:end].lower().split()
+        part = raw[start:end]
+        yield (part.lower() if lower else part).split()
         start = end
