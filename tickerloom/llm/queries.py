@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickerloom.llm import (
-    ann, decontamination, language, mixing, ngram_join, periodic, pii, sharding, simhash, token_counts, url_filter, warc,
+    ann, collocations, decontamination, language, mixing, ngram_join, periodic, pii, sharding, simhash, token_counts, url_filter, warc,
 )
 from tickerloom.llm.registry import query
 from tickerloom.llm.work import table
@@ -153,6 +153,51 @@ def op5(spark, folder):
                        F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+@query(
+    "op11_collocations",
+    sql=r"""
+WITH t AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size
+),
+f AS (
+    SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*) AS n
+    FROM places GROUP BY ALL
+),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS words, n AS a FROM f WHERE size > 1 AND n >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, k, a, l.n AS l, r.n AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.n + r.n) AS BIGINT) AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.size = k AND l.phrase = array_to_string(list_slice(words, 1, k), ' ')
+    JOIN f r ON r.lang = cuts.lang AND r.size = cuts.size - k
+        AND r.phrase = array_to_string(list_slice(words, k + 1, cuts.size), ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, a, words, size, inner_size, unnest(range(1, size - inner_size + 2)) AS i
+    FROM c, (SELECT unnest([2, 3]) AS inner_size) WHERE inner_size < size
+),
+longest AS (
+    SELECT lang, array_to_string(list_slice(words, i, i + inner_size - 1), ' ') AS phrase, max(a) AS most FROM inside GROUP BY ALL
+),
+kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN longest USING (lang, phrase)
+    WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
+)
+def op11(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
 def _repeating(n, h):
     """Places of the words of every tenth text: from some word on, the words of a first period over and over."""
     if h % 10 or not n:
