@@ -26,6 +26,21 @@ def test_spans_cover_the_text(ranks, text):
         assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == [K._encoder(ranks)[0].decode([i]) for i in ids]
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\u3000", "\xa0 \r\n"])
+def test_runs_of_white_space_have_the_same_tokens_apart(ranks, blank):
+    encoder = K._encoder(ranks)[0]
+    for size in (999, 1000, 1001, 5000):
+        run = (blank * size)[:size]
+        for text in (run, "a" + run, run + "b", "a" + run + "b c", f"{run}é\n{run}1{run}", f"x{run}\x1c{run}y"):
+            assert K.encoded(text, ranks).tolist() == encoder.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\t" * 5_000_000 + "x", "a" + "\n" * 5_000_000, "q" * 5_000_000, "a " * 2_500_000])
+def test_very_long_runs(ranks, text):
+    starts, ends = K.token_spans(text, ranks)
+    assert starts[0] == 0 and ends[-1] == len(text) and (starts[1:] == ends[:-1]).all()
+
+
 def test_lines_cover_the_text():
     for text in ("", "\n", "a", "a\n", "\na", "a\n\nb"):
         parts = K.lines_of(text)
@@ -79,6 +94,31 @@ def test_given_sections_leave_the_rest_outside(spark, ranks):
     assert {r.section for r in got if r.doc_id == 2} == {-1}
 
 
+def test_query_equals_brute_force(spark, folder, ranks):
+    encoder, want = K._encoder(ranks)[0], set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        text = r.text or ""
+        begins = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+        spans, at = [], 0
+        for token in encoder.encode_ordinary(text):
+            size = len(encoder.decode_single_token_bytes(token))
+            spans.append((begins[at], begins[at + size - 1] + 1))
+            at += size
+        lines = text.split("\n")
+        edges = np.cumsum([0, *[len(x) + 1 for x in lines[:-1]], len(lines[-1])]).tolist()
+        sections = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b] or [(0, 0)]
+        owner = [[] for _ in sections]
+        first = 0
+        for s, e in spans:
+            while sections[first][1] <= s:
+                first += 1
+            own = [i for i in range(first, len(sections)) if sections[i][0] < e] if sections[first][1] < e else [first]
+            best = max(own, key=lambda i: (min(e, sections[i][1]) - max(s, sections[i][0]), -i))
+            owner[best].append(len(own) > 1)
+        want |= {(r.doc_id, i, a, b, len(owner[i]), sum(owner[i]), len(spans)) for i, (a, b) in enumerate(sections)}
+    assert {tuple(r) for r in op1(spark, folder).collect()} == want
+
+
 def test_query_adds_up(spark, folder, ranks):
     got = op1(spark, folder).toPandas()
     sums = got.groupby("doc_id").agg(n=("n_tokens", "sum"), doc=("doc_tokens", "first"), end=("char_end", "max"))

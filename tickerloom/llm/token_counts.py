@@ -10,13 +10,16 @@ binary search), and a token that touches several sections goes to one of them by
 So the sections' counts and the count outside of all sections add up to the document's.
 
 Cases: a null or empty text has no tokens and one empty section; a section without tokens has a row with 0; characters
-that several tokens share belong to each of them; repeated rows each get their rows; other columns are dropped.
+that several tokens share belong to each of them; repeated rows each get their rows; other columns are dropped; an empty table
+gives an empty table. Texts are encoded whole, of any length: runs of white space too long for the encoder's pattern are
+handed to it apart, cut where the pattern cuts them, so tokens are the same.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,22 +30,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: The pattern that cuts a text into the pieces of a byte-level BPE (fixed value of the public vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = "majority", "first", "last"
+# The white space of the pattern's engine (Unicode's White_Space).
+_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of white space from this length on are encoded apart.
+LONG_BLANK = 1_000
+_LONG = re.compile(rf"[{_BLANK}]{{{LONG_BLANK},}}")
 
 
 @functools.lru_cache(maxsize=4)
-def _encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder of a vocabulary file's content, and the bytes of each token."""
+def _encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray, tiktoken.Encoding]:
+    """The encoder of a vocabulary file's content, the bytes of each token, and an encoder of text that is one piece."""
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
     sizes = np.zeros(max(table.values()) + 1, dtype=np.int64)
     for piece, rank in table.items():
         sizes[rank] = len(piece)
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), sizes
+    coder = functools.partial(tiktoken.Encoding, mergeable_ranks=table, special_tokens={})
+    return coder("corpus", pat_str=PATTERN), sizes, coder("piece", pat_str=r"[\s\S]+")
+
+
+def encoded(text: str, ranks: bytes) -> np.ndarray:
+    """The tokens of a text."""
+    encoder, _, piece = _encoder(ranks)
+    out, at = [], 0
+    for run in _LONG.finditer(text):
+        # The pattern takes such a run as one piece, but for the last character if something follows.
+        end = run.end() - (run.end() < len(text))
+        out += [encoder.encode_ordinary(text[at : run.start()]), piece.encode_ordinary(text[run.start() : end])]
+        at = end
+    out.append(encoder.encode_ordinary(text[at:]))
+    return np.array([token for part in out for token in part] if len(out) > 1 else out[0], dtype=np.int64)
 
 
 def token_spans(text: str, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First character and end of each token; a token of some bytes of a character covers that character."""
-    encoder, sizes = _encoder(ranks)
-    ends = np.cumsum(sizes[np.asarray(encoder.encode_ordinary(text), dtype=np.int64)])
+    sizes = _encoder(ranks)[1]
+    ends = np.cumsum(sizes[encoded(text, ranks)])
     starts = np.r_[0, ends[:-1]][: len(ends)]
     if text.isascii():
         return starts, ends
@@ -125,5 +147,5 @@ def section_tokens(
 
 
 def default_vocabulary(spark: SparkSession) -> str:
-    """The path in the setting ``spark.tickerloom.vocabulary``, else the public byte-level BPE of this box."""
+    """The path, on the driver, in the setting ``spark.tickerloom.vocabulary``, else where this machine keeps a byte-level BPE."""
     return spark.conf.get("spark.tickerloom.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
