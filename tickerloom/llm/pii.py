@@ -6,8 +6,9 @@ spelled digits become digits, and spelled or bracketed ``at``, ``dot``, ``plus``
 of output knows the source characters it came from, so what is found in the normalised text maps back to a source
 span. Only finds that hold a changed piece count, and only where no plain find of the kind lies.
 
-A bare word `` at `` is a sign only before a host whose dot is spelled or bracketed too, and a bare `` dot `` only between
-two labels, so that ordinary sentences stay as they are.
+A bare word `` at `` is a sign only before a host whose dot is spelled or bracketed too and whose last label has two letters or
+more, and a bare `` dot `` only between two labels; a determiner ("at the dot on the map") begins no such host. So ordinary
+sentences stay as they are, and no list of top-level labels is needed.
 
 Cases: null and empty texts have no spans; texts of any length are searched whole, in time linear in their length; repeated
 rows each get their result; offsets count code points, ends are exclusive.
@@ -20,7 +21,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -110,13 +111,14 @@ _SPELLED = {
 _HIDDEN = frozenset("­​‌‍⁠﻿")
 _DIGIT_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _OPEN, _SHUT = r"[(\[{<]\s{0,3}", r"\s{0,3}[)\]}>]"
-# Last labels that make a spelled host plausible.
-_TLDS = ("ai app at au be biz br ca ch cn com de dev edu es eu fr gov info int io jp mil net nl org pl ru se uk us")
+# Words that begin no spelled host.
+_DETERMINERS = "a an the this that these those each every any some no my your his her its our their one"
 _DOT = rf"(?:\s{{0,3}}{_OPEN}(?:dot|punkt|point|punto){_SHUT}\s{{0,3}}|\s{{1,3}}dot\s{{1,3}})"
 #: Each alternative is one arc of the transducer; outside of these a character stands for itself.
 _ARCS = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}at{_SHUT}\s{{0,3}}|(?<=[a-z0-9_%+-])\s{{1,3}}at\s{{1,3}}"
-    rf"(?=[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{1,63}}){{0,4}}?{_DOT}(?:{_TLDS.replace(' ', '|')})\b))"
+    rf"(?!(?:{_DETERMINERS.replace(' ', '|')})\b)"
+    rf"(?=[a-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[a-z0-9-]{{1,63}}){{0,4}}?{_DOT}[a-z]{{2,63}}\b))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
     rf"|(?P<dash>(?<=[a-z0-9])\s{{1,3}}(?:dash|hyphen)\s{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus\s{{1,3}}(?=[0-9]|(?:{_DIGIT_WORD})\b))"
@@ -191,11 +193,15 @@ class Normalised:
     text: str
     pieces: list[tuple[int, int, int, int]]
 
+    @cached_property
+    def begins(self) -> list[int]:
+        return [p[0] for p in self.pieces]
+
     def source(self, start: int, end: int) -> tuple[Span, bool]:
         """The source span of a normalised span, and whether it holds a changed piece."""
-        begins = [p[0] for p in self.pieces]
-        first, last = bisect_right(begins, start) - 1, bisect_right(begins, end - 1) - 1
-        changed = any(p[0] < end and p[1] > start for p in self.pieces[max(0, first) : last + 1])
+        first, last = bisect_right(self.begins, start) - 1, bisect_right(self.begins, end - 1) - 1
+        # Pieces do not overlap: all between the first and the last lie inside.
+        changed = last > first or (last >= 0 and self.pieces[last][1] > start)
 
         def place(i: int, at: int, inside: int) -> int:
             if i < 0:
@@ -251,9 +257,11 @@ def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     if not norm.pieces:
         return out
     for kind, spans in found(norm.text).items():
+        ends = [y for _, y in plain[kind]]  # ascending, as plain finds do not overlap
         for start, end in spans:
             (a, b), changed = norm.source(start, end)
-            if changed and all(b <= x or a >= y for x, y in plain[kind]):
+            at = bisect_right(ends, a)
+            if changed and (at == len(ends) or b <= plain[kind][at][0]):
                 out[kind].append((a, b))
     return out
 
