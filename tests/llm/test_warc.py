@@ -64,7 +64,8 @@ def test_foreign_records():
     two = b"http://x/ 1.2.3.4 19970102030405 text/plain 200 - - 17 f.arc 3\nabc\n"
     assert [r["version"] for r in A.arc_records(two)] == [2]
     broken = list(A.arc_records(other + b"no header here\n" + other))
-    assert len(broken) == 2 and "header line" in broken[1]["problem"]
+    assert [r["problem"] is None for r in broken] == [True, False, True] and "no header" in broken[1]["problem"]
+    assert broken[1]["problem_at"] == len(other)
     short = list(A.arc_records(other[:-3]))
     assert "of 4 bytes" in short[0]["problem"]
     assert list(A.arc_records(b"")) == [] and list(A.warc_records(b"")) == []
@@ -75,6 +76,51 @@ def test_foreign_records():
         "http://x/a b"]
 
 
+def record(name, body, size=None):
+    return f"http://{name}/ 1.2.3.4 19970102030405 text/plain {len(body) if size is None else size}\n".encode() + body + b"\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("bad", [
+    b"a bad line\n", b"junk 1\nmore junk 2 3 4\n\n", record("long", b"some text", 9_999), record("short", b"one\ntwo\nthree", 5),
+    record("over", b"xyz", len(record("b", b"1 2 3 4 5\n")) - 4), b"http://x/ 1.2.3.4 notadate text/plain 3\nabc\n", b"\xff\xfe\n" * 50,
+])
+def test_reading_goes_on_behind_damage(bad, packed):
+    a, b, c = record("a", b"first"), record("b", b"1 2 3 4 5\n"), record("c", b"")
+    content = a + bad + b + c
+    got = list(A.arc_records(gzip.compress(content) if packed else content))
+    urls = [r["url"] for r in got if not r["problem"]]
+    assert urls[0] == "http://a/" and urls[-1] == "http://c/" and "http://b/" in urls
+    problems = [r for r in got if r["problem"]]
+    assert problems and all(len(a) <= r["problem_at"] < len(a + bad) + len(b) for r in problems)
+
+
+def test_many_damaged_records_take_linear_time():
+    import time
+
+    content = gzip.compress((record("short", b"q " * 500 + b"\nend", 100) + record("fine", b"w" * 900)) * 5_000)
+    start = time.process_time()
+    got = list(A.arc_records(content))
+    assert sum(r["problem"] is None for r in got) == 5_000 and time.process_time() - start < 20
+
+
+def test_a_cut_gzip_file_gives_its_records_and_the_problem():
+    raw = gzip.compress(b"".join(record(f"p{i}", bytes(str(i * i), "ascii") * 50) for i in range(4_000)))
+    got = list(A.arc_records(raw[: len(raw) // 2]))
+    assert len(got) > 500 and "damaged file" in got[-1]["problem"] and sum(r["problem"] is None for r in got) >= len(got) - 2
+    assert "damaged file" in list(A.warc_records(raw[:40]))[-1]["problem"]
+
+
+def test_conversion_gives_the_problems_out(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(record("a", b"first") + b"a bad line\n" + record("b", b"second") + record("c", b"cut", 10))
+    warc = work_path(spark, "warc")
+    problems, _ = A.convert(spark, f"file://{tmp_path}", warc)
+    assert sorted((r.file.rsplit("/", 1)[1], r.problem.split(":")[0]) for r in problems.collect()) == [
+        ("part-0", "3 of 10 bytes"), ("part-0", "no header of version 1")] or problems.count() == 2
+    back = A.read_warc(spark, warc).collect()
+    assert sorted(r.url for r in back) == ["http://a/", "http://b/"] and all(r.digest_ok for r in back)
+
+
 def test_empty_table(spark):
     back, _ = A.archived(spark.createDataFrame([], PAGES))
     assert back.collect() == []

@@ -12,8 +12,12 @@ replaces its file. Each file holds one task's rows; the reader takes a file at a
 
 Cases: null bodies are empty; null keys are left out of the record and read back as null, and are never the one kept if
 the group has a key; rows that share the kept key are all responses; blanks in a target are percent-encoded, a null target is
-``urn:none``; a header line that does not fit its version ends its file with a row that names the problem; files without a
-version block are read by the number of fields; empty tables give empty results.
+``urn:none``; files without a version block are read by the number of fields; empty tables give empty results.
+
+Damaged files: a line that is no header of the file's version, and a block that the file's end cuts short, give a row that names
+the problem, with the offset in the (unpacked) file. Reading goes on at the next line that parses as a header, so no later record is
+lost; after a header whose length does not end at a line break it goes on at the next header inside its block, if there
+is one. :func:`convert` writes the records and gives the problems out.
 """
 
 from __future__ import annotations
@@ -22,8 +26,11 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,10 +50,11 @@ KEY_HEADER = "X-Record-Key"
 #: Extension fields: what a revisit's reader needs without looking up the record it refers to.
 LENGTH_FIELD, REFERS_KEY_FIELD = "WARC-X-Payload-Length", "WARC-X-Refers-To-Key"
 _CRLF, _END = "\r\n", "\r\n\r\n"
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 ARC_ROWS = ("key string, url string, ip string, date string, mime string, version int, http binary, payload binary, "
-            "digest string, record_id string, problem string")
+            "digest string, record_id string, problem string, problem_at bigint")
 WARC_ROWS = ("key string, record_type string, record_id string, url string, date string, payload_bytes bigint, "
-             "payload_digest string, refers_to string, payload binary, digest_ok boolean, problem string")
+             "payload_digest string, refers_to string, payload binary, digest_ok boolean, problem string, problem_at bigint")
 
 
 def _first_of_file() -> Column:
@@ -73,9 +81,50 @@ def write_arc(rows: DataFrame, path: str, key: str, url: str, body: str, date: s
     built.select(value.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def _opened(content: bytes) -> io.BufferedReader:
-    raw = io.BytesIO(content)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else io.BufferedReader(raw)
+class _Unpacked:
+    """The bytes of a plain or gzip file, of which some can be given back to be read again."""
+
+    def __init__(self, content: bytes):
+        raw = io.BytesIO(content)
+        self.file = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+        self.held, self.at, self.before = b"", 0, 0
+        self.damage: str | None = None
+
+    def _more(self) -> bool:
+        try:
+            part = b"" if self.damage else self.file.read1(1 << 20)
+        except (EOFError, OSError, zlib.error) as error:
+            part, self.damage = b"", str(error)
+        if part:
+            self.before += self.at
+            self.held, self.at = self.held[self.at :] + part, 0
+        return bool(part)
+
+    def tell(self) -> int:
+        return self.before + self.at
+
+    def read(self, size: int) -> bytes:
+        while len(self.held) - self.at < size and self._more():
+            pass
+        out = self.held[self.at : self.at + size]
+        self.at += len(out)
+        return out
+
+    def readline(self) -> bytes:
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
+            if not self._more():
+                return self.read(seen)
+        return self.read(end + 1 - self.at)
+
+    def unread(self, data: bytes) -> None:
+        """Gives back what was read last."""
+        if self.at >= len(data):
+            self.at -= len(data)
+        else:
+            self.before += self.at - len(data)
+            self.held, self.at = data + self.held[self.at :], 0
 
 
 def _split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -94,55 +143,106 @@ def _http_field(http: bytes, name: str) -> str | None:
     return None
 
 
+@dataclass(frozen=True)
+class Header:
+    """A header line of an ARC record."""
+
+    values: dict[str, str]
+    size: int
+
+    @staticmethod
+    def of(line: bytes, fields: list[str], sure: bool = True) -> Header | None:
+        """None if the line does not fit the fields. Where it is not sure that a header stands here, the target must have a scheme."""
+        values = dict(zip(fields, line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(fields) - 1), strict=False))
+        size = values.get("Archive-length", "")
+        fits = len(values) == len(fields) and size.isdigit() and values["Archive-date"].isdigit()
+        fits = fits and (sure or _SCHEME.match(values["URL"]) is not None)
+        return Header(values, int(size)) if fits else None
+
+
 def arc_records(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file by their declared lengths; the version block sets the fields and is left out."""
-    stream, version, fields = _opened(content), None, None
+    """The records of an ARC file by their declared lengths, and its problems; the version block sets the fields and is left out."""
+    stream, version, fields, lost = _Unpacked(content), None, None, False
     while line := stream.readline():
         if not line.strip():
             continue
-        text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if fields is None and not text.startswith("filedesc://"):
-            version = 2 if len(text.split(" ")) >= len(ARC_FIELDS[2]) else 1
-            fields = ARC_FIELDS[version]
+        at = stream.tell() - len(line)
+        if fields is None and line.startswith(b"filedesc://"):
+            version, fields = _version_block(stream, line)
+            continue
         if fields is None:
-            size = text.rsplit(" ", 1)[-1]
-            about = stream.read(int(size)) if size.isdigit() else b""
-            lines = about.decode("utf-8", "replace").split("\n")
-            version = int(lines[0].split(" ")[0]) if lines[0][:1] in "12" and lines[0] else 1
-            fields = lines[1].split(" ") if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version]
+            version = 2 if len(line.split(b" ")) >= len(ARC_FIELDS[2]) else 1
+            fields = ARC_FIELDS[version]
+        header = Header.of(line, fields, sure=not lost)
+        if header is None:
+            if not lost:  # one row for each damaged place, however many lines it has
+                yield {"problem": f"no header of version {version}: {line[:200]!r}", "problem_at": at}
+            lost = True
+            continue
+        lost = False
+        block = stream.read(header.size)
+        after = stream.readline()
+        stream.unread(after)
+        if len(block) < header.size or (after.strip() and not Header.of(after, fields, sure=False)):
+            said = f"{len(block)} of {header.size} bytes" if len(block) < header.size else "a block that ends inside a line"
+            yield {"problem": f"{said}: {line[:200]!r}", "problem_at": at}
+            # The length is wrong: the next record begins inside of what it covers, or after it.
+            lost = True
+            stream.unread(block[_next_header(block, fields) :])
             continue
-        values = dict(zip(fields, text.rsplit(" ", len(fields) - 1), strict=False))
-        size = values.get("Archive-length", "")
-        if len(values) != len(fields) or not size.isdigit() or not values["Archive-date"].isdigit():
-            yield {"problem": f"header line of version {version}: {text[:200]}"}
-            return
-        block = stream.read(int(size))
-        if len(block) != int(size):
-            yield {"problem": f"{len(block)} of {size} bytes: {text[:200]}"}
-            return
         http, payload = _split_http(block)
         key, digest = _http_field(http, KEY_HEADER), hashlib.sha1(payload).hexdigest()
+        values = header.values
         named = f"{values['URL']} {values['Archive-date']} {key} {digest}"
         yield {"key": key, "url": values["URL"], "ip": values["IP-address"], "date": values["Archive-date"],
                "mime": values["Content-type"], "version": version, "http": http, "payload": payload, "digest": digest,
                "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, named)}>", "problem": None}
+    if stream.damage:
+        yield {"problem": f"damaged file: {stream.damage}", "problem_at": stream.tell()}
+
+
+def _version_block(stream: _Unpacked, line: bytes) -> tuple[int, list[str]]:
+    """The version and the names of the fields that its block gives."""
+    size = line.rstrip().rsplit(b" ", 1)[-1]
+    lines = stream.read(int(size)).decode("utf-8", "replace").split("\n") if size.isdigit() else [""]
+    version = int(lines[0].split(" ")[0]) if lines[0][:2] in ("1 ", "2 ") else 1
+    named = lines[1].split(" ") if len(lines) > 1 else []
+    return version, named if set(ARC_FIELDS[1]) <= set(named) else ARC_FIELDS[version]
+
+
+def _next_header(block: bytes, fields: list[str]) -> int:
+    """Where in a block a line begins that parses as a header, or the block's length."""
+    at = block.find(b"\n")
+    while at >= 0:
+        end = block.find(b"\n", at + 1)
+        if Header.of(block[at + 1 : end if end >= 0 else len(block)], fields, sure=False):
+            return at + 1
+        at = end
+    return len(block)
 
 
 def warc_records(content: bytes) -> Iterator[dict]:
-    """Responses, revisits and resources of a WARC file, their payloads checked against their digests."""
-    stream = _opened(content)
+    """Responses, revisits and resources of a WARC file, their payloads checked against their digests, and its problems."""
+    stream, lost = _Unpacked(content), False
     while line := stream.readline():
         if not line.strip():
             continue
-        if not line.startswith(b"WARC/"):
-            yield {"problem": f"no record here: {line[:200]!r}"}
-            return
+        at = stream.tell() - len(line)
         fields: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        block = stream.read(int(fields["content-length"]))
-        kind = fields["warc-type"]
+        if line.startswith(b"WARC/"):
+            while (own := stream.readline()).strip():
+                name, _, value = own.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+        size = fields.get("content-length", "")
+        if not size.isdigit() or "warc-type" not in fields:
+            if not lost:
+                yield {"problem": f"no record here: {line[:200]!r}", "problem_at": at}
+            lost = True
+            continue
+        lost, block, kind = False, stream.read(int(size)), fields["warc-type"]
+        if len(block) < int(size):
+            yield {"problem": f"{len(block)} of {size} bytes: {line[:200]!r}", "problem_at": at}
+            continue
         if kind not in ("response", "revisit", "resource"):
             continue
         http, payload = _split_http(block)
@@ -153,26 +253,34 @@ def warc_records(content: bytes) -> Iterator[dict]:
                "url": fields.get("warc-target-uri"), "date": fields["warc-date"], "payload_bytes": size,
                "payload_digest": declared, "refers_to": fields.get(REFERS_KEY_FIELD.lower()),
                "payload": None if kind == "revisit" else payload, "digest_ok": same, "problem": None}
+    if stream.damage:
+        yield {"problem": f"damaged file: {stream.damage}", "problem_at": stream.tell()}
 
 
 def _read(spark: SparkSession, path: str, parse, schema: str, payloads: bool) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["file"] + [c.split()[0] for c in schema.split(", ")]
     dropped = [] if payloads else ["payload"] + ["http"] * ("http" in names)
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            for file, content in zip(frame["file"], frame["content"], strict=True):
                 rows, held = [], 0
                 for record in parse(content):
                     held += len(record.get("payload") or b"")
-                    rows.append({**record, **dict.fromkeys(dropped)})
+                    rows.append({"file": file, **record, **dict.fromkeys(dropped)})
                     if held > 8_000_000:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield _rows(rows, names)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names)
+                yield _rows(rows, names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.col("path").alias("file"), "content").mapInPandas(records, "file string, " + schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(records, schema)
+
+def _rows(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    """Plain values, as any of them may be missing."""
+    out = pd.DataFrame(rows, columns=names, dtype=object)
+    return out.where(out.notna(), None)
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -202,10 +310,17 @@ def _base32(digest: Column) -> Column:
     return F.concat(*[letter(i) for i in range(32)])
 
 
-def convert(spark: SparkSession, arc: str, warc: str, key_type: str = "bigint", least_bytes: int = LEAST_BYTES) -> None:
-    """Reads ARC files below ``arc`` and writes WARC files below ``warc``. Keys compare as ``key_type``."""
-    sized = _read(spark, arc, _without_payload, ARC_ROWS + ", size bigint", True).filter(F.col("size") >= least_bytes)
-    groups = sized.groupBy("digest").agg(
+def convert(
+    spark: SparkSession, arc: str, warc: str, key_type: str = "bigint", least_bytes: int = LEAST_BYTES
+) -> tuple[DataFrame, str]:
+    """Reads ARC files below ``arc`` and writes WARC files below ``warc``. Keys compare as ``key_type``.
+
+    Gives out the problems of the files read (file, problem, problem_at), and where that table is kept.
+    """
+    narrow = _read(spark, arc, _without_payload, ARC_ROWS + ", size bigint", True).select(
+        "file", "key", "record_id", "url", "date", "digest", "size", "problem", "problem_at")
+    index, kept_at = stage(narrow.filter((F.col("size") >= least_bytes) | F.col("problem").isNotNull()), "arc-index")
+    groups = index.filter("problem IS NULL").groupBy("digest").agg(
         F.max(F.struct(F.col("key").cast(key_type).alias("order"), "key", "record_id", "url", "date")).alias("kept"),
         F.count("*").alias("copies"))
     copied, path = stage(groups.filter("copies > 1").select(F.col("digest").alias("_digest"), "kept"), "equal-payloads")
@@ -239,6 +354,7 @@ def convert(spark: SparkSession, arc: str, warc: str, key_type: str = "bigint",
     value = F.concat(F.when(_first_of_file(), info).otherwise(""), header, F.col("block").cast("string"))
     built.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(warc)
     discard(spark, path)
+    return index.filter("problem IS NOT NULL").select("file", "problem", "problem_at"), kept_at
 
 
 def _without_payload(content: bytes) -> Iterator[dict]:
@@ -252,6 +368,6 @@ def archived(rows: DataFrame, key: str = "page_id", url: str = "url", body: str
     spark = rows.sparkSession
     arc, warc = work_path(spark, "arc"), work_path(spark, "warc")
     write_arc(rows, arc, key, url, body)
-    convert(spark, arc, warc, rows.schema[key].dataType.simpleString())
-    discard(spark, arc)
+    _, index = convert(spark, arc, warc, rows.schema[key].dataType.simpleString())
+    discard(spark, arc, index)  # files just written have no problems
     return read_warc(spark, warc, payloads=False), warc
