@@ -5,8 +5,9 @@ character 4-grams that training saw (word ends count as characters), or if there
 single characters; a word without even those says nothing. A text's scores are the sums over all of its words, and its
 language is the one with the greatest sum (the first by name on a tie).
 
-The model is fitted on at most ``per_language`` labelled rows of each language, those with the least hash of their id, so
-its size is bounded; scoring reads whole texts of all rows.
+The model is fitted on at most ``per_language`` labelled rows of each of the ``MOST_LANGUAGES`` commonest labels (by name on a tie),
+those with the least hash of their id, and no more than an even share of ``TRAINING_BYTES`` a language, so its size is bounded; a
+row teaches whole or not at all. Scoring reads whole texts of all rows, long ones in pieces.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if no row is labelled; a text
 with no known word or character gets the first language with an even score; labels that are null teach nothing; repeated
@@ -16,23 +17,26 @@ rows each get their result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tickerloom.llm.words import rounds, shingles
+from tickerloom.llm.words import ROUND_CHARS, rounds, shingles
+from tickerloom.llm.work import lean, packed
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1000
-#: More different labels than this are no languages.
-MOST_LANGUAGES = 1000
+#: Languages that are learned, and bytes of text that teach, over all languages together.
+MOST_LANGUAGES, TRAINING_BYTES = 1000, 32_000_000
 LONGEST = 4
 #: Added to each count before the frequencies are taken.
 SMOOTHING = 0.5
 #: ASCII letters and all parts of other characters stay; the rest cuts words.
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -41,6 +45,16 @@ def held_out(row_id: Column) -> Column:
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def pieces(text: str | None, size: int) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut at blanks."""
+    start, text = 0, text or ""
+    while start < len(text):
+        blank = _BLANK.search(text, start + size)
+        end = blank.start() if blank else len(text)
+        yield text[start:end]
+        start = end
+
+
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, the number of each word in order, where each text's words begin)."""
     words: list[bytes] = []
@@ -106,16 +120,22 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and its share of the likelihood, for texts that have letters."""
-        names, shares = [], []
-        for lo, hi in rounds(texts):
-            kinds, codes, starts = words_of(texts[lo:hi])
+        # The more languages, the fewer characters at once.
+        size = max(4_000, ROUND_CHARS * 4 // max(4, len(self.languages)))
+        owner, parts = [], []
+        for i, text in enumerate(texts):
+            for part in pieces(text, size):
+                owner.append(i)
+                parts.append(part)
+        total, of = np.zeros((len(texts), len(self.languages))), np.array(owner, dtype=np.int64)
+        for lo, hi in rounds(parts, size):
+            kinds, codes, starts = words_of(parts[lo:hi])
             each = self.word_scores(kinds)[codes]
-            sums = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(each, axis=0)])
-            total = sums[starts[1:]] - sums[starts[:-1]]
-            best = total.argmax(axis=1)
-            names += [self.languages[b] for b in best]
-            shares.append(1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1))
-        return names, np.concatenate(shares) if shares else np.zeros(0)
+            some = np.flatnonzero(np.diff(starts))
+            if len(some):
+                np.add.at(total, of[lo:hi][some], np.add.reduceat(each, starts[some], axis=0))
+        names = [self.languages[b] for b in total.argmax(axis=1)]
+        return names, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,19 +160,21 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def training_rows(docs: DataFrame, text: str, label: str, row_id: str, per_language: int) -> DataFrame:
     """(lang, text) of at most ``per_language`` rows of each language that are not held out."""
     able = docs.filter(~held_out(F.col(row_id)) & F.col(label).isNotNull() & F.col(text).isNotNull())
-    named = able.select(F.col(row_id).alias("_id"), F.col(label).alias("_lang"), F.xxhash64(row_id).alias("_hash"))
-    counts = named.groupBy("_lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different labels: {label} names no languages")
+    named = able.select(F.col(row_id).alias("_id"), F.col(label).cast("string").alias("_lang"), F.xxhash64(row_id).alias("_hash"),
+                        F.octet_length(text).cast("bigint").alias("_bytes"))
+    counts = named.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
     if not counts:
-        return docs.limit(0).select(F.col(label).alias("lang"), F.col(text).alias("text"))
+        return docs.limit(0).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
+    share = TRAINING_BYTES // len(counts)
     # Only hashes below a bound that leaves some more than the wanted rows go through the ranking.
     margin = per_language + 6 * math.isqrt(per_language) + 10
     bounds = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 2.0**64 * margin / n - 2.0**63)])
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    least = named.filter(F.col("_hash") <= F.element_at(bounds, F.col("_lang")))
-    chosen = least.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("_id").distinct()
-    rows = able.select(F.col(row_id).alias("_id"), F.col(label).alias("lang"), F.col(text).alias("text"))
+    least = named.filter((F.col("_hash") <= F.element_at(bounds, F.col("_lang"))) & (F.col("_bytes") <= share))
+    ranked = least.withColumns({"_at": F.row_number().over(order), "_sum": F.sum("_bytes").over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    chosen = ranked.filter((F.col("_at") <= per_language) & (F.col("_sum") <= share)).select("_id").distinct()
+    rows = able.select(F.col(row_id).alias("_id"), F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
     # At most per_language ids of at most MOST_LANGUAGES languages: a bounded table, and no text is moved.
     return rows.join(F.broadcast(chosen), "_id", "left_semi").select("lang", "text")
 
@@ -161,7 +183,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str =
         per_language: int = PER_LANGUAGE) -> Model:
     """Learns from the labelled rows that are not held out."""
     rows = training_rows(docs, text, label, row_id, per_language)
-    counts = rows.mapInPandas(_counted, "size int, key bigint, lang string, n bigint")
+    counts = rows.mapInPandas(lean(_counted), "size int, key bigint, lang string, n bigint")
     summed = counts.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(summed["lang"].unique())
     tables = {}
@@ -182,19 +204,23 @@ def lettered(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to the rows; columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def prediction(spark: SparkSession, model: Model, text: str = "text") -> Column:
+    """A struct of lang_pred and score (0 to 1) of a text column."""
+    none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if not model.languages:
+        return none
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        names, shares = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": shares})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, shares = shared.value.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": shares})
 
-    if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    out = docs.withColumn("_lang", predict(F.col(text))).withColumn("_lettered", lettered(text))
-    return out.withColumns({
-        "lang_pred": F.when(F.col("_lettered"), F.col("_lang.lang_pred")).otherwise(UNKNOWN),
-        "score": F.when(F.col("_lettered"), F.col("_lang.score")).otherwise(0.0),
-    }).drop("_lang", "_lettered")
+    found = F.pandas_udf(lean(predict), "lang_pred string, score double")(F.col(text))
+    return F.when(lettered(text), found).otherwise(none)
+
+
+def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score to the rows; columns of these names are replaced, any others stay."""
+    named = docs.select(packed(docs, ("lang_pred", "score")), prediction(docs.sparkSession, model, text).alias("found"))
+    return named.select("row.*", "found.*")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 
 #: Characters that one round of vector work takes at most (a single longer text is taken whole).
-ROUND_CHARS = 2_000_000
+ROUND_CHARS = 1_000_000
 #: Turns every byte that is no digit, letter or part of a non-ASCII character into a blank (after lowering).
 ALNUM = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -31,12 +31,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rounds(texts: Sequence[str | bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ROUND_CHARS characters each."""
+def rounds(texts: Sequence[str | bytes | None], chars: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``chars`` (ROUND_CHARS) characters each."""
+    most = chars or ROUND_CHARS
     start = held = 0
     for i, text in enumerate(texts):
         size = len(text) if text else 0
-        if held and held + size > ROUND_CHARS:
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
         held += size
