@@ -199,6 +199,43 @@ def test_settlement_in_slices_equals_one_by_one(spark, monkeypatch, slice_rows,
     assert 1 <= len(rounds) <= most_rounds
 
 
+@pytest.mark.parametrize("window", [64, 3])
+def test_rounds_do_not_grow_with_the_batch_for_random_pairs(spark, monkeypatch, window):
+    """Accounts grow with the batch: far fewer rounds than slices, and the outcome of one after another."""
+    from tickerloom.operators import settlement
+
+    rng, rounds = random.Random(7), []
+    plain = settlement._round
+    monkeypatch.setattr(settlement, "_round", lambda *a: rounds.append(len(a[2])) or plain(*a))
+    monkeypatch.setattr(settlement, "WINDOW", window)
+    n, accounts, size = 6_000, 1_500, 250
+    requests = []
+    for i in range(n):
+        price = Decimal(rng.randrange(1, 10_000)) / 100
+        item = f"i{rng.randrange(n)}" if i % 3 else None
+        requests.append((at(i // 5), i, rng.randrange(accounts), rng.randrange(accounts), price, price, i % 9 != 0, item, None))
+    held = {a: Decimal(rng.randrange(0, 20_000)) / 100 for a in range(accounts)}
+    wallet = spark.createDataFrame(list(held.items()), "user_id bigint, balance decimal(38,8)")
+    got = settlement.settle(spark.createDataFrame(requests, SETTLE), wallet, size).collect()
+    assert {r.request_id: r.accepted for r in got} == in_turn(requests, held)
+    slices = rounds[0]
+    assert slices >= 20 and len(rounds) <= (slices // 2 if window > slices else slices)
+    assert sum(rounds) <= slices * len(rounds) // 2 + slices
+
+
+def test_amounts_finer_than_cents_and_too_large_for_64_bits(spark):
+    from tickerloom.operators import settlement
+
+    for scale in (Decimal("0.00000001"), Decimal("1e17")):
+        rng = random.Random(3)
+        requests = [(at(i), i, rng.randrange(4), rng.randrange(4), rng.randrange(1, 30) * scale, rng.randrange(1, 30) * scale, True, None, None)
+                    for i in range(80)]
+        held = {a: 40 * scale for a in range(3)}
+        wallet = spark.createDataFrame(list(held.items()), "user_id bigint, balance decimal(38,8)")
+        got = settlement.settle(spark.createDataFrame(requests, SETTLE), wallet, 30).collect()
+        assert {r.request_id: r.accepted for r in got} == in_turn(requests, held)
+
+
 def test_a_long_chain_is_one_round_a_slice(spark):
     """Two accounts pass the same money to and fro ten thousand times."""
     from tickerloom.operators import settlement

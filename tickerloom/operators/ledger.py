@@ -228,7 +228,9 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
             ("transaction_id", F.col("transaction_id").isNotNull()),
         ],
     )
-    owners = tx.select("transaction_id", F.col("user_id").alias("owner_id"), "number_of_coins")
+    # Rows that share an id are one row of the log.
+    owners = tx.groupBy("transaction_id").agg(F.min(F.struct("user_id", "number_of_coins")).alias("own")).select(
+        "transaction_id", F.col("own.user_id").alias("owner_id"), "own.number_of_coins")
     asked = ok.join(owners, "transaction_id", "left").withColumn(
         "amount", trade_amount(F.col("number_of_coins"), F.col("price"))
     )
