@@ -1,4 +1,5 @@
 from fractions import Fraction
+from math import ceil, floor
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -8,126 +9,158 @@ from tickerloom.llm import mixing as M, work
 from tickerloom.llm.queries import op9
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.floats(0.001, 5), min_size=1, max_size=12), st.integers(12, 300))
-def test_no_source_is_a_block_away_from_its_weight(weights, period):
-    shares = M.whole_shares({f"s{i}": w for i, w in enumerate(weights)}, period)
-    assert sum(shares.values()) == period and min(shares.values()) >= 1
-    slots = M.one_period(shares)
-    at = {slot: s for s, own in slots.items() for slot in own}
-    assert sorted(at) == list(range(period))
-    run = dict.fromkeys(shares, 0)
-    for slot in range(period):
-        run[at[slot]] += 1
-        for s, a in shares.items():
-            assert abs(Fraction(a * (slot + 1), period) - run[s]) < 1
-    for s, own in slots.items():
-        a = shares[s]
-        assert all(j * period // a <= slot < -(-(j + 1) * period // a) for j, slot in enumerate(own))
-
-
-def test_whole_shares():
-    assert M.whole_shares({"a": 1, "b": 1, "c": 0}, 10) == {"a": 5, "b": 5}
-    assert M.whole_shares({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
-    assert M.whole_shares({}, 10) == {}
-    with pytest.raises(ValueError):
-        M.whole_shares(dict.fromkeys(range(11), 1.0), 10)
-
-
-def brute(rows, shares, block_bytes):
-    """The order of each source's rows by their hash, then blocks and slots one after another."""
-    period, slots, out = sum(shares.values()), M.one_period(shares), {}
-    for s in {r.source for r in rows}:
+def brute_slots(weights, held, until_first=False):
+    """(slot, release, deadline) of each source's blocks: slot by slot, looking at every source."""
+    out, start, done = {s: [] for s in held}, 0, dict.fromkeys(held, 0)
+    left = {s: Fraction(weights[s]) for s in held if weights.get(s, 0) > 0 and held[s]}
+    while left and not (until_first and start):
+        total, slot, first = sum(left.values()), 0, dict(done)
+        while True:
+            able = []
+            for s, w in left.items():
+                j = done[s] - first[s]
+                release, deadline = floor(j * total / w), ceil((j + 1) * total / w)
+                if release <= slot:
+                    able.append((deadline, s, release))
+            deadline, s, release = min(able)
+            if done[s] == held[s]:
+                break
+            out[s].append((start + slot, start + release, start + deadline))
+            done[s] += 1
+            slot += 1
+        start += slot
+        left = {s: w for s, w in left.items() if done[s] < held[s]}
+    return out
+
+
+def brute(rows, weights, block_bytes, until_first):
+    """{doc_id: (block, release, deadline, slot)}: each source's rows by their hash, then blocks one after another."""
+    blocks, sums = {}, {}
+    for s in {r.source or "" for r in rows}:
         before = 0
-        for r in sorted((r for r in rows if r.source == s), key=lambda r: r.spread):
-            block = before // block_bytes
-            a = shares.get(s)
-            out[r.doc_id] = (block, None if a is None else block // a * period + slots[s][block % a])
+        for r in sorted((r for r in rows if (r.source or "") == s), key=lambda r: r.spread):
+            blocks[r.doc_id] = s, before // block_bytes
             before += r.size
+        sums[s] = before
+    weights = weights or M.flattened(sums)
+    slots = brute_slots(weights, {s: -(-n // block_bytes) for s, n in sums.items()}, until_first)
+    out = {}
+    for i, (s, block) in blocks.items():
+        slot, release, deadline = slots[s][block] if block < len(slots[s]) else (None,) * 3
+        out[i] = block, release, deadline, slot
     return out
 
 
-def test_schedule_equals_brute_force(spark, docs, monkeypatch):
+def keyed(docs):
+    return docs.select("doc_id", "source", M._spread("doc_id", "text").alias("spread"),
+                       (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("size")).collect()
+
+
+def placed(frame):
+    return {r.doc_id: (r.block, r.release, r.deadline, r.slot) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("sources", [3, 150, 300, 1500])
+def test_no_source_is_a_block_away_from_its_target_weight(sources):
+    weights = {f"s{i}": 1.0 if sources in (150, 300) else (i % 7 + 1) ** 1.3 for i in range(sources)}
+    plan = M.planned(weights, dict.fromkeys(weights, 40), until_first=True)
+    at = sorted((slot, s) for s, own in plan.items() for slot in own.slots)
+    assert [slot for slot, _ in at] == list(range(len(at))) and len(at) > 10 * sources
+    total = sum(Fraction(w) for w in weights.values())
+    run = dict.fromkeys(weights, 0)
+    for slot, s in at:
+        # A source is furthest ahead just after its block and furthest behind just before it.
+        share = Fraction(weights[s]) / total
+        assert run[s] - slot * share > -1
+        run[s] += 1
+        assert run[s] - (slot + 1) * share < 1
+    for s, n in run.items():
+        assert abs(n - len(at) * Fraction(weights[s]) / total) < 1
+    assert all(r <= slot < d for own in plan.values() for slot, r, d in zip(own.slots, own.releases, own.deadlines, strict=True))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 5), st.integers(1, 40)), min_size=1, max_size=8), st.booleans())
+def test_plan_equals_brute_force(sources, until_first):
+    weights, held = {f"s{i}": w for i, (w, _) in enumerate(sources)}, {f"s{i}": n for i, (_, n) in enumerate(sources)}
+    plan = M.planned(weights, held, until_first)
+    got = {s: list(zip(own.slots, own.releases, own.deadlines, strict=True)) for s, own in plan.items()}
+    assert got == brute_slots(weights, held, until_first)
+    if not until_first:
+        assert sorted(slot for own in plan.values() for slot in own.slots) == list(range(sum(held.values())))
+
+
+def test_weights_are_taken_exactly():
+    weights = {"a": 0.1, "b": 1 / 3, "c": 1e-9, "d": 0.0}
+    whole = M.whole_weights(weights)
+    assert set(whole) == {"a", "b", "c"}
+    assert all(Fraction(whole[s], whole["b"]) == Fraction(weights[s]) / Fraction(weights["b"]) for s in whole)
+
+
+def test_blocks_grow_so_that_the_plan_is_bounded(monkeypatch):
+    assert M.block_size(10**12, 65536) <= 2 * 10**12 / M.MOST_BLOCKS and M.block_size(10**9, 65536) == 65536
+    assert M.block_size(0, 5) == 5
+
+
+@pytest.mark.parametrize("until_first", [True, False])
+def test_schedule_equals_brute_force(spark, docs, monkeypatch, until_first):
     monkeypatch.setattr(work, "BLOCK_ROWS", 20)  # a source is many blocks of the running sum
-    rows = [(i, "t" * (i * 7 % 50), None, "big" if i % 3 else f"s{i % 4}", 0) for i in range(600)]
+    monkeypatch.setattr(work, "SUM_BITS", 1)
+    rows = docs(*[(i, "t" * (i * 7 % 50), None, "big" if i % 3 else f"s{i % 4}", 0) for i in range(600)])
     weights = {"big": 2.0, "s0": 1.0, "s1": 1.0, "s2": 0.5, "s3": 0.0, "elsewhere": 4.0}
-    got = M.schedule(docs(*rows), weights, block_bytes=300, period=20)
-    keyed = docs(*rows).select("doc_id", "source", M._spread("doc_id", "text").alias("spread"),
-                               (F.octet_length("text") + 8).alias("size")).collect()
-    shares = M.whole_shares({"big": 2.0, "s0": 1.0, "s1": 1.0, "s2": 0.5}, 20)
-    out = got.collect()
-    assert {r.doc_id: (r.block, r.slot) for r in out} == brute(keyed, shares, 300)
-    last = max(r.slot for r in out if r.in_mix)
-    mixed = {}
-    for r in out:
-        if r.in_mix:
-            mixed.setdefault(r.source, set()).add(r.block)
-        assert r.slot is None or r.release <= r.slot < r.deadline
-    assert not mixed.get("s3") and sum(map(len, mixed.values())) == last + 1
-    for s, a in shares.items():
-        assert abs(len(mixed[s]) - (last + 1) * a / 20) < 1
+    out = M.schedule(rows, weights, block_bytes=300, until_first=until_first)
+    want = brute(keyed(rows), weights, 300, until_first)
+    assert placed(out) == want
+    assert {r.doc_id for r in out.collect() if r.in_mix} == {i for i, w in want.items() if w[3] is not None}
+    assert any(w[3] is None for w in want.values())
+
+
+def test_query_equals_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = op9(spark, folder)
+    assert got.columns == ["doc_id", "source", "size", "block", "release", "deadline", "slot", "in_mix"]
+    assert placed(got) == brute(keyed(docs), None, M.BLOCK_BYTES, False)
+    assert all(r.in_mix and r.release <= r.slot < r.deadline for r in got.collect())
 
 
 def test_cases(spark, docs):
     rows = docs((1, None, None, None, 0), (2, "", None, "", 0), (3, "x" * 5000, None, "a", 0), (3, "x" * 5000, None, "a", 0),
-                (None, "y", None, "a", 0)).withColumns({"slot": F.lit("old"), "block": F.lit("old"), "size": F.lit("old")})
-    got = M.schedule(rows, block_bytes=100, period=10).collect()
-    assert len(got) == 5 and all(isinstance(r.slot, int) for r in got)
-    left = M.mixed_rows(rows, block_bytes=100, period=10)
-    assert left.columns == rows.columns and 0 < left.count() <= 5
+                (None, "y", None, "a", 0))
+    names = ("slot", "block", "size", "_source", "_block", "row", "source2", "entry", "at", "placed", "before", "spread")
+    rows = rows.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) for c in names})
+    got = M.schedule(rows, block_bytes=100, until_first=False).collect()
+    assert len(got) == 5 and all(isinstance(r.slot, int) and r["_source"] == f"_source of {r.doc_id or 0}" for r in got)
+    left = M.mixed_rows(rows, block_bytes=100)
+    assert left.columns == rows.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, rows.collect()))
+    assert 0 < M.mixed_rows(rows, block_bytes=100, until_first=True).count() <= 5
     assert M.schedule(rows.limit(0)).count() == 0 and M.mixed_rows(rows.limit(0)).count() == 0
     assert not any(r.in_mix for r in M.schedule(rows, {"a": 0.0}).collect())
-    with pytest.raises(ValueError):
-        M.schedule(docs(*[(i, "x", None, f"s{i}", 0) for i in range(12)]), period=10)
 
 
 def test_rows_come_in_the_order_of_their_slots(spark, docs):
     rows = [(i, "t" * 90, None, f"s{i % 3}", 0) for i in range(90)]
-    options = {"weights": {"s0": 2.0, "s1": 1.0, "s2": 1.0}, "block_bytes": 100, "period": 8}
-    slots = {r.doc_id: r.slot for r in M.schedule(docs(*rows), **options).collect()}
+    options = {"weights": {"s0": 2.0, "s1": 1.0, "s2": 1.0}, "block_bytes": 100}
+    slots = {r.doc_id: r.slot for r in M.schedule(docs(*rows), until_first=False, **options).collect()}
     order = [slots[r.doc_id] for r in M.mixed_rows(docs(*rows), **options).collect()]
-    assert order == sorted(order) and len(order) >= 50
-
-
-def test_query(spark, folder):
-    got = op9(spark, folder).collect()
-    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
-    assert all(r.release <= r.slot < r.deadline for r in got) and any(r.in_mix for r in got)
+    assert order == sorted(order) and len(order) == 90
 
 
 def test_all_rows_stay_when_sources_run_out(spark, docs):
     rows = docs(*[(i, "t" * 92, None, "big" if i >= 40 else f"s{i % 3}", 0) for i in range(400)], (1000, "x", None, None, 0))
-    options = {"block_bytes": 100, "period": 20}
-    got = M.schedule(rows, until_first=False, **options).collect()
+    got = M.schedule(rows, until_first=False, block_bytes=100).collect()
     assert len(got) == 401 and all(r.in_mix and r.release <= r.slot < r.deadline for r in got)
     taken = {r.slot: (r.source, r.block) for r in got}
-    assert len(taken) == len({(r.source, r.block) for r in got}) and max(taken) < 401 + 4
+    assert len(taken) == len({(r.source, r.block) for r in got}) == 401
     order = [b for _, (s, b) in sorted(taken.items()) if s == "big"]
     assert order == sorted(order)
-    assert M.mixed_rows(rows, **options).count() == 401
-    assert 0 < M.mixed_rows(rows, until_first=True, **options).count() < 401
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.floats(0.01, 5), st.integers(1, 60)), min_size=1, max_size=8), st.integers(8, 60))
-def test_phases_place_every_block_once(sources, period):
-    weights, held = {f"s{i}": w for i, (w, _) in enumerate(sources)}, {f"s{i}": n for i, (_, n) in enumerate(sources)}
-    planned, end = M.phases(weights, held, period, until_first=False)
-    slots = [p.start + M.slot_of(s, b - p.first[s], p.shares, p.slots)
-             for p in planned for s in p.shares for b in range(p.first[s], p.past[s])]
-    assert sorted(slots) == list(range(end)) and end == sum(held.values()) and len(planned) <= len(held)
-
-
-def test_query_keeps_all_rows(spark, folder):
-    assert all(r.in_mix for r in op9(spark, folder).collect())
+    assert M.mixed_rows(rows, block_bytes=100).count() == 401
+    assert 0 < M.mixed_rows(rows, block_bytes=100, until_first=True).count() < 401
 
 
-def test_more_sources_than_slots(spark, docs):
-    rows = [(i, "t" * (i % 90), None, f"host{i % 1500}" if i < 3000 else "big", 0) for i in range(4500)]
-    got = M.schedule(docs(*rows), until_first=False, block_bytes=300).collect()
-    assert sorted(r.doc_id for r in got) == list(range(4500))
-    assert all(r.in_mix and r.release <= r.slot < r.deadline for r in got)
-    assert M.mixed_rows(docs(*rows), block_bytes=300).count() == 4500
+def test_many_sources_equal_brute_force(spark, docs):
+    rows = docs(*[(i, "t" * (i % 90), None, f"host{i % 300}" if i < 1200 else "big", 0) for i in range(2000)])
+    assert placed(M.schedule(rows, until_first=False, block_bytes=100)) == brute(keyed(rows), None, 100, False)
 
 
 def test_pools_hold_their_members_weights(spark, docs, monkeypatch):
@@ -135,9 +168,12 @@ def test_pools_hold_their_members_weights(spark, docs, monkeypatch):
     monkeypatch.setattr(M, "POOLS", 4)
     rows = [(i, "t" * 92, None, f"s{i % 40}", 0) for i in range(8000)]
     weights = {f"s{i}": 100.0 if i < 2 else 0.0 if i == 2 else 3.0 if i % 2 else 2.0 for i in range(40)}
-    got = M.schedule(docs(*rows), weights, block_bytes=200, period=100, until_first=False).collect()
+    frame = docs(*rows)
+    got = M.schedule(frame, weights, block_bytes=200, until_first=False).collect()
     assert {r.source for r in got if r.slot is None} == {"s2"} and len(got) == 8000
+    assert all(r.release <= r.slot < r.deadline for r in got if r.in_mix)
     small = sorted((r for r in got if r.in_mix and r.source not in ("s0", "s1")), key=lambda r: r.slot)
     early = [weights[r.source] for r in small[: len(small) // 3]]
     heavy, light = early.count(3.0) / 19, early.count(2.0) / 18
     assert 1.4 < heavy / light < 1.6
+    assert M.mixed_rows(frame, weights, block_bytes=200).count() == 7800
