@@ -5,8 +5,8 @@ by counting: each round lays probes into the key intervals that still hold a wan
 every probe over all rows, and narrows the intervals, until each splitter meets its target within the tolerance. Only the
 counts of the probes reach the driver (at most ``shards * probes`` a round). Rows then go through one exchange.
 
-Equal texts stay in one shard unless no boundary beside their group is within the tolerance: a group larger than
-that is cut by the id's hash. DataFrame functions only.
+Equal texts stay in one shard: where a splitter would fall into a group of them, the boundary goes to the nearer end of the
+group. Only a group of more than ``WHOLE_SHARE`` of a shard's bytes by itself is cut, by the id's hash. DataFrame functions only.
 
 Cases: a null or empty text counts no bytes but its row's overhead; null ids are ordered by their text alone; fully equal
 rows have one key and share a shard; an empty table gives an empty table.
@@ -19,11 +19,13 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickerloom.llm.work import blocks, running, stage
+from tickerloom.llm.work import blocks, packed, running, scratch, stage
 
 ROW_BYTES = 8
 PROBES = 64
 TOLERANCE = 0.002
+#: Share of a shard's bytes up to which a group of equal texts is never cut.
+WHOLE_SHARE = 0.05
 _TOP = 2**63 - 1
 
 
@@ -92,9 +94,10 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
             cut.setdefault(straddling, []).append(t)
     if cut:
         groups = keys.filter(F.col("_key").isin([key for key, _ in cut]))
-        sizes = {r[0]: r[1] for r in groups.groupBy("_key").agg(F.countDistinct("_tie")).collect()}
+        held = groups.groupBy("_key").agg(F.countDistinct("_tie"), F.sum("_size")).collect()
+        large = {key for key, ties, size in held if ties > 1 and size > WHOLE_SHARE * total / shards}
     for (key, below), inside in cut.items():
-        if sizes[key] > 1:
+        if key in large:
             ties = _search(keys.filter(F.col("_key") == key), "_tie", below, inside, slack, probes)
             out |= {t: (key, tie) for t, (tie, at, _) in ties.items() if abs(at - t) < abs(found[t][1] - t)}
     return sorted(out[t] for t in targets)
@@ -116,13 +119,16 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
 def shard_by_bytes(
     docs: DataFrame, shards: int = 24, text: str = "text", row_id: str = "doc_id", tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """The rows with size (long), shard (0 to ``shards - 1``) and slot (gapless from 0 within a shard)."""
+    """The rows with size (long), shard (0 to ``shards - 1``) and slot (gapless from 0 within a shard).
+
+    Columns of these names are replaced; any others stay.
+    """
     plain = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns(
-        {"_key": _hash(plain), "_tie": _hash(F.col(row_id), plain), "_size": size_of(text)}
-    )
-    keys, _ = stage(keyed.select("_key", "_tie", "_size"), "shard-keys")
-    bounds = splitters(keys, shards, tolerance)
-    rows = keyed.withColumns({"shard": shard_of(bounds), "_block": blocks(F.col("_tie"), keys.count() // shards)})
+    keyed = docs.select(packed(docs, ("size", "shard", "slot")), _hash(plain).alias("_key"),
+                        _hash(F.col(row_id), plain).alias("_tie"), size_of(text).alias("_size"))
+    with scratch(docs.sparkSession):
+        keys, _ = stage(keyed.select("_key", "_tie", "_size"), "shard-keys")
+        bounds, count = splitters(keys, shards, tolerance), keys.count()
+    rows = keyed.withColumns({"shard": shard_of(bounds), "_block": blocks(F.col("_tie"), count // shards)})
     placed = running(rows, "shard", ["_tie", "_key"], "_block", "slot", F.lit(1).cast("bigint"))
-    return placed.withColumn("size", F.col("_size")).drop("_size", "_key", "_tie", "_block")
+    return placed.select("row.*", F.col("_size").alias("size"), "shard", "slot")
