@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.words import mixed
+from tickerloom.llm.work import lean
 
 #: Share of wrong keys that a filter lets through.
 LET_THROUGH = 0.05
@@ -67,8 +69,8 @@ def passing(rows: DataFrame, held: Filter, key: str = "_key") -> DataFrame:
     """The rows whose key (a long, not null) the filter lets through."""
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def kept(key: pd.Series) -> pd.Series:
-        return pd.Series(lets_through(key.to_numpy(), shared.value))
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for keys in batches:
+            yield pd.Series(lets_through(keys.to_numpy(), shared.value))
 
-    return rows.filter(kept(key))
+    return rows.filter(F.pandas_udf(lean(kept), "boolean")(key))

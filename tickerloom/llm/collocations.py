@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.llm import bloom
 from tickerloom.llm.words import mixed, portions, rounds
-from tickerloom.llm.work import stage
+from tickerloom.llm.work import lean, stage
 
 LONGEST, LEAST, SUBSUMED, BEST = 4, 30, 80, 2000
 SCALE = 2_000_000
@@ -192,7 +192,7 @@ def packed(rows: DataFrame, what: Pass, longest: int) -> DataFrame:
         if held:
             yield made()
 
-    return rows.mapInPandas(scan, _PACKED)
+    return rows.mapInPandas(lean(scan), _PACKED)
 
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:

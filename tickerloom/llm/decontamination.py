@@ -11,8 +11,8 @@ several such parts, each with a pass of its own, and the parts' hits are united.
 
 Cases: null texts and texts without words have no words, no hits and, as items, no windows; equal items of different ids
 each count, an item without an id counts for words only;
-repeated rows each get their own result; null ids are kept as they are. Columns of the documents are kept, but for
-those that bear the names of results.
+repeated rows each get their own result; null ids are kept as they are; an empty table gives an empty table. :func:`decontaminate`
+keeps all columns as they are, whatever their names; the other results hold the id and their own columns alone.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickerloom.llm.words import ALNUM, hashed_words, rounds, shingles
-from tickerloom.llm.work import stage
+from tickerloom.llm.work import lean, packed, stage
 
 WINDOW = 10
 SHINGLE = 4
@@ -167,7 +167,7 @@ def _matched(hits: DataFrame, index: Index, keys: list[str]) -> DataFrame:
                     items[d].append(i)
             yield frame[keys].assign(n_words=n, spans=spans, items=[sorted(x) for x in items])
 
-    return hits.mapInPandas(match, schema)
+    return hits.mapInPandas(lean(match), schema)
 
 
 def _united(parts: list[DataFrame], docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -233,7 +233,7 @@ def _part(rows: DataFrame, windows: DataFrame, keys: list[str], size: int) -> Da
             got = list(shingle_hits(frame["_raw"].tolist(), tokens))
             yield frame[keys].assign(n_words=[g[0] for g in got], places=[g[1] for g in got], values=[g[2] for g in got])
 
-    hits, _ = stage(rows.mapInPandas(scan, schema), "shingle-hits")
+    hits, _ = stage(rows.mapInPandas(lean(scan), schema), "shingle-hits")
     often = hits.select(F.explode("values").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     ranked = (
         numbered.select("window", "words", "tokens", F.posexplode("tokens").alias("offset", "token"))
@@ -265,7 +265,9 @@ def counted(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window, with their columns as they are."""
-    hit = benchmark_hits(docs, items, text, row_id, **options).filter(F.size("spans") > 0)
-    bad, _ = stage(hit.select(F.col(row_id).alias("_bad_id"), F.col("_text").alias("_bad_text")).distinct(), "contaminated")
-    same = F.col(row_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text)) == F.col("_bad_text"))
-    return docs.join(bad, same, "left_anti")
+    named = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
+    hit = benchmark_hits(named, items, "text", "id", **options).filter(F.size("spans") > 0)
+    bad, _ = stage(hit.select(F.col("id").alias("bad_id"), F.col("_text").alias("bad_text")).distinct(), "contaminated")
+    rows = docs.select(packed(docs), F.col(row_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_text"))
+    return rows.join(bad, same, "left_anti").select("row.*")

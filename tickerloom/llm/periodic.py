@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickerloom.llm.words import mixed, portions, rounds
+from tickerloom.llm.work import lean
 
 #: Least periods and least words of a run.
 EXPONENT, LENGTH = 4, 6
@@ -239,4 +240,4 @@ def periodic_runs(
                 own = pd.DataFrame(out, columns=["n_words", "runs", "collapsed"], index=frame.index[lo:hi])
                 yield pd.concat([frame[["id"]].iloc[lo:hi], own], axis=1)
 
-    return rows.mapInPandas(read, schema).withColumnRenamed("id", row_id)
+    return rows.mapInPandas(lean(read), schema).withColumnRenamed("id", row_id)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickerloom.llm.components import components
 from tickerloom.llm.words import portions
-from tickerloom.llm.work import discard, stage
+from tickerloom.llm.work import discard, lean, stage
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one task.
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", row_id: str = "doc_id", wo
             own = np.array([fingerprint(raw, words, seed) for raw in frame["raw"]], dtype=np.uint64)
             yield frame[["id"]].assign(print=own.view(np.int64))
 
-    return rows.mapInPandas(sign, schema)
+    return rows.mapInPandas(lean(sign), schema)
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,7 @@ def index_rows(prints: DataFrame, parts: list[Segment]) -> DataFrame:
                     less = near < values
                     yield pd.DataFrame({"key": part.keys(near[less]), "print": own[less], "asks": True})
 
-    return prints.select("print").mapInPandas(index, "key bigint, print bigint, asks boolean")
+    return prints.select("print").mapInPandas(lean(index), "key bigint, print bigint, asks boolean")
 
 
 def full_buckets(prints: DataFrame, parts: list[Segment]) -> DataFrame:
