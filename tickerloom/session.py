@@ -15,6 +15,8 @@ SETTINGS = {
     # Split a skewed join input even when a later operator then needs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Long texts count by bytes: what a Python worker holds at once must not grow with a row's size.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
