@@ -336,9 +336,21 @@ def test_trades_need_a_user_and_an_id_of_their_own(spark):
         assert {r.user_id: int(r.amount) for r in done.wallet.collect()} == {1: left}
 
 
+def test_a_wallet_given_out_is_taken_up_with_any_amount(spark):
+    held = spark.createDataFrame([(1, Decimal("12345678901234.5"))], "user_id bigint, amount decimal(38,8)")
+    more = spark.createDataFrame([(1, 1, 0.5)], "request_id bigint, user_id bigint, amount double")
+    assert amounts(M.deposit(held, more).wallet) == {1: Decimal("12345678901235")}
+
+
+@pytest.mark.parametrize("size", [None, 7, 1])
 @pytest.mark.parametrize("seed", range(2))
-def test_swaps_equal_one_by_one(spark, seed):
+def test_swaps_equal_one_by_one(spark, monkeypatch, seed, size):
     """Coins gained in the batch are swapped on; one user makes a third of the requests."""
+    if size:  # users of more than a few rows are followed in slices
+        from tickerloom.operators import swaps
+
+        monkeypatch.setattr(swaps, "USER_ROWS", 8)
+        monkeypatch.setattr(swaps, "SLICE", size + 6)
     rng = random.Random(seed)
     log = [(100 + i, rng.choice([1, 1, 2, 3]), rng.randrange(4), rng.choice(["buy", "buy", "sell"])) for i in range(40)]
     asked = [(i, rng.choice([1, 2, 3, 4]), rng.randrange(5), rng.randrange(5) if seed else 9) for i in range(60)]
@@ -361,3 +373,43 @@ def test_swaps_equal_one_by_one(spark, seed):
     got = {int(r.transaction_id): r.crypto_price_id for r in done.transactions.collect()}
     assert got == {i: want.get(i, c) for i, _, c, _ in log}
     assert {r.request_id for r in done.rejects.collect()} == refused
+
+
+def test_a_hot_users_swaps_are_tasks_of_even_size(spark, monkeypatch, tmp_path):
+    """One user holds and asks for a third of everything; no group is above twice the median."""
+    from tickerloom.operators import swaps
+
+    monkeypatch.setattr(swaps, "USER_ROWS", 60)
+    monkeypatch.setattr(swaps, "SLICE", 40)
+    sizes, plain = str(tmp_path / "sizes"), swaps._replayed
+
+    def noted(user):
+        own = plain(user)
+
+        def replay(rows):
+            with open(sizes, "a") as file:
+                file.write(f"{(rows['kind'] == swaps._ASKED).sum()} {len(rows)}\n")
+            return own(rows)
+
+        return replay
+
+    monkeypatch.setattr(swaps, "_replayed", noted)
+    rng, coin, want = random.Random(9), {}, {}
+    log = [(1000 + i, 1 if i < 150 else 2 + i % 60, rng.randrange(3)) for i in range(450)]
+    asked = [(i, 1 if i % 3 == 0 else 2 + rng.randrange(60), rng.randrange(4), rng.randrange(4)) for i in range(600)]
+    coin = {i: (u, c) for i, u, c in log}
+    for request, user, give, take in asked:
+        able = [i for i, held in coin.items() if held == (user, give)]
+        if able:
+            coin[min(able)] = (user, take)
+            want[min(able)] = take
+    one = Decimal(1)
+    rows = spark.createDataFrame([(Decimal(i), u, c, one, one, one, "buy", at(0)) for i, u, c in log], TX)
+    requests = spark.createDataFrame([(i, at(i), u, g, t, one, one, one) for i, u, g, t in asked],
+                                     "request_id bigint, request_ts timestamp, user_id bigint, from_coin bigint, to_coin bigint, "
+                                     "from_qty decimal(18,8), from_price decimal(18,8), to_price decimal(18,8)")
+    got = {int(r.transaction_id): r.crypto_price_id for r in M.swap(rows, requests).transactions.collect()}
+    assert got == {i: want.get(i, c) for i, _, c in log}
+    groups = sorted(tuple(map(int, line.split())) for line in open(sizes))
+    assert len(groups) >= 5 and max(n for n, _ in groups) <= 40
+    assert max(rows for _, rows in groups) <= 2 * groups[len(groups) // 2][1] <= 2 * 40 * 3

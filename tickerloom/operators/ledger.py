@@ -6,11 +6,8 @@ is keyed by ``transaction_id``; a request's ``request_id`` becomes the id of the
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom.functions.numbers import swap_quantity, swap_value, to_money, trade_amount, unit_cost
@@ -20,6 +17,7 @@ from tickerloom.operators.joins import left_join_known, price_id_for
 from tickerloom.operators.latest import first_one, latest_one
 from tickerloom.operators.ordered import rank_in_key, union_all
 from tickerloom.operators.settlement import AMOUNT, settle
+from tickerloom.operators.swaps import matched_in_turn
 from tickerloom.schemas import PAYMENT_MODES
 from tickerloom.session import stage, staged
 
@@ -30,17 +28,23 @@ UNVERIFIED, VERIFIED = "not verified", "verified"
 
 
 class Outcome(NamedTuple):
-    """New tables after a batch; a table the batch does not touch is None."""
+    """New tables after a batch; a table the batch does not touch is None.
+
+    ``logged`` are the rows that ``transactions`` has more than before, where the batch only adds rows.
+    """
 
     wallet: DataFrame | None = None
     transactions: DataFrame | None = None
     orders: DataFrame | None = None
     rejects: DataFrame | None = None
     users: DataFrame | None = None
+    logged: DataFrame | None = None
 
 
 def balances(wallet: DataFrame) -> DataFrame:
-    return wallet.select("user_id", to_money(F.col("amount")).cast(SUM).alias("amount"))
+    """The amounts as numbers; those of a wallet that a batch has given out are numbers already."""
+    amount = to_money(F.col("amount")) if dict(wallet.dtypes)["amount"] == "string" else F.col("amount")
+    return wallet.select("user_id", amount.cast(SUM).alias("amount"))
 
 
 def apply_deltas(wallet: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def buy(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
     ok, bad = _checked_trades(requests, "coins", "amount")
     new = _logged(ok, "buy", F.col("user_id"), F.col("coins"), F.col("amount"), unit_cost(F.col("amount"), F.col("coins")))
     paid = ok.select("user_id", (-F.col("amount")).cast(COIN).alias("delta"))
-    return Outcome(apply_deltas(wallet, paid), log_rows(tx).unionByName(new), rejects=bad)
+    return Outcome(apply_deltas(wallet, paid), log_rows(tx).unionByName(new), rejects=bad, logged=new)
 
 
 def sell(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
@@ -130,7 +134,7 @@ def sell(tx: DataFrame, wallet: DataFrame, requests: DataFrame) -> Outcome:
     earned = trade_amount(F.col("coins"), F.col("cost"))
     new = _logged(ok, "sell", F.col("user_id"), F.col("coins"), earned, F.col("cost"))
     got = ok.select("user_id", earned.cast(COIN).alias("delta"))
-    return Outcome(apply_deltas(wallet, got), log_rows(tx).unionByName(new), rejects=bad)
+    return Outcome(apply_deltas(wallet, got), log_rows(tx).unionByName(new), rejects=bad, logged=new)
 
 
 def buy_listed(tx: DataFrame, wallet: DataFrame, price: DataFrame, requests: DataFrame) -> Outcome:
@@ -210,6 +214,7 @@ def settle_p2p(orders: DataFrame, tx: DataFrame, wallet: DataFrame, price: DataF
         union_all([log_rows(tx), bought, sold]),
         remove_orders(orders, won.select("order_id")),
         done.filter(~F.col("accepted")).select(*requests.columns, "reject_reason"),
+        logged=bought.unionByName(sold),
     )
 
 
@@ -301,50 +306,12 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
     return Outcome(apply_deltas(wallet, paid), new_tx, old.unionByName(opened), bad.unionByName(turned_down))
 
 
-def _swap_in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs down each user's buys and then requests, in order; a swapped row is at once a buy of its new coin."""
-    user, heaps = None, {}
-    for batch in batches:
-        out = []
-        for owner, kind, row, coin, request, to in zip(*(batch[c] for c in ("user_id", "kind", "row", "coin", "request", "to"))):
-            if owner != user:
-                user, heaps = owner, {}
-            if kind == 0:
-                heapq.heappush(heaps.setdefault(coin, []), row)
-                continue
-            if own := heaps.get(coin):
-                row = heapq.heappop(own)
-                heapq.heappush(heaps.setdefault(to, []), row)
-            out.append((request, row))
-        yield pd.DataFrame(out, columns=["request", "row"])
-
-
-def _matched_in_turn(ok: DataFrame, held: DataFrame) -> DataFrame:
-    """(request_id, transaction_id) for users whose requests give away a coin that others of theirs bring in."""
-    id_type, number = ok.schema["request_id"].dataType, "decimal(38,0)"
-    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    buys = held.select(
-        "user_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(id_type).alias("order"),
-        text(None).alias("request"), F.col("transaction_id").cast(number).alias("row"), text("crypto_price_id").alias("coin"),
-        text(None).alias("to"),
-    )
-    asked = ok.select(
-        "user_id", F.lit(1).alias("kind"), F.col("request_ts").alias("at"), F.col("request_id").alias("order"),
-        text("request_id").alias("request"), F.lit(None).cast(number).alias("row"), text("from_coin").alias("coin"),
-        text("to_coin").alias("to"),
-    )
-    rows = buys.unionByName(asked).repartition("user_id").sortWithinPartitions("user_id", "kind", "at", "order").drop("at", "order")
-    told = rows.mapInPandas(_swap_in_turn, f"request string, row {number}")
-    return told.select(F.col("request").cast(id_type).alias("request_id"),
-                       F.col("row").cast(held.schema["transaction_id"].dataType).alias("transaction_id"))
-
-
 def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
     """requests: request_id, request_ts, user_id, from_coin, to_coin, from_qty, from_price, to_price.
 
     A swap rewrites the user's buy row of the coin with the least id, as the log stands after the swaps before it. For most
     users that is the k-th buy row for the k-th swap of a coin, matched for all at once. Only users who also swap away
-    coins that the batch brings them are followed in order; their rows stream through a task.
+    coins that the batch brings them are followed in order (:mod:`tickerloom.operators.swaps`).
     """
     ok, bad = _checked_trades(requests, "from_qty", "from_price", "to_price")
     pair = ["user_id", "crypto_price_id"]
@@ -358,7 +325,7 @@ def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
         pair, ["request_ts", "request_id"], "_k")
     rows = rank_in_key(held.join(chained, "user_id", "left_anti"), pair, ["transaction_id"], "_k")
     at_once = ranked.join(rows, [*pair, "_k"], "left").select("request_id", "transaction_id")
-    in_turn = _matched_in_turn(ok.join(chained, "user_id", "left_semi"), held.join(chained, "user_id", "left_semi"))
+    in_turn = matched_in_turn(ok.join(chained, "user_id", "left_semi"), held.join(chained, "user_id", "left_semi"))
     matched = stage(at_once.unionByName(in_turn), "swaps")
     told = ok.join(matched.filter(F.col("transaction_id").isNotNull()), "request_id").select(
         "transaction_id", "request_ts", "request_id", F.col("to_coin").alias("_coin"),

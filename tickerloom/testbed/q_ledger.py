@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickerloom.operators import ledger as M
+from tickerloom.operators.book import Book
 from tickerloom.operators.ordering import concat_all
+from tickerloom.session import work_path
 from tickerloom.testbed.q_rows import SIGN_UPS_SQL, _sign_ups
 from tickerloom.testbed.registry import moment, query
 from tickerloom.testbed.views import Views, with_views
@@ -16,6 +18,13 @@ SELECT user_id, (coalesce(w.amount::decimal(18,8), 0) + coalesce(d.delta, 0))::d
 FROM wallet w FULL JOIN (SELECT user_id, sum(delta) AS delta FROM deltas GROUP BY user_id) d USING (user_id)"""
 
 
+def _told(part: str, df, key: str, value: str):
+    text, number = F.col(value).cast("string"), F.lit(None).cast("double")
+    if part == "wallet":
+        text, number = F.lit(None).cast("string"), F.col(value).cast("double")
+    return df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), text.alias("value"), number.alias("amount"))
+
+
 def deposits(v: Views):
     """Every order's total comes in; suppliers' balances do too, for users without a wallet."""
     orders = v._table("orders").select(
@@ -108,6 +117,31 @@ def _(v):
     return M.sell(v.transactions(), v.wallet(), sales(v)).wallet
 
 
+@query("m3_batches_committed", "wallet transactions", f"""
+WITH t AS ({TRADES_SQL}), deltas AS (SELECT o_custkey AS user_id, o_totalprice::decimal(18,8) AS delta FROM orders
+  UNION ALL SELECT -1 - s_suppkey, s_acctbal::decimal(18,8) FROM supplier WHERE s_acctbal > 0
+  UNION ALL SELECT user_id, -o_totalprice::decimal(18,8) FROM t UNION ALL SELECT user_id, coins * o_totalprice::decimal(18,8) FROM t)
+SELECT 'wallet' AS part, user_id::varchar AS key, NULL AS value, amount FROM ({WALLET_SQL})
+UNION ALL SELECT 'log', transaction_id::varchar, transaction_type, NULL FROM transactions
+UNION ALL SELECT 'log', transaction_id, unnest(['buy', 'sell']), NULL FROM t
+UNION ALL SELECT 'reject', unnest([(o_orderkey::hugeint + 1000000000000000000000000000000000000::hugeint)::varchar,
+    (o_orderkey::hugeint + 1000000000000000000000000000000000000::hugeint)::varchar]), 'coins', NULL FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'reject', (-1 - s_suppkey)::varchar, 'amount', NULL FROM supplier WHERE s_acctbal <= 0""")
+def _(v):
+    """Deposits, buys and sales as batches of a versioned book, each sent twice."""
+    book = Book(v.spark, work_path(v.spark, "book"))
+    book.create(wallet=v.wallet(), transactions=v.transactions())
+    for _ in range(2):
+        book.apply("deposits", 1, M.deposit, "wallet", requests=deposits(v))
+        book.apply("trades", 1, M.buy, "transactions", "wallet", requests=trades(v))
+        book.apply("trades", 2, M.sell, "transactions", "wallet", requests=sales(v))
+    return concat_all([
+        _told("wallet", book.read("wallet"), "user_id", "amount"),
+        _told("log", book.read("transactions"), "transaction_id", "transaction_type"),
+        _told("reject", book.read("rejects"), "request_id", "reject_reason"),
+    ])
+
+
 def listed_requests(v: Views):
     """Every offered transaction is asked for by its line's other user; odd lines pay from the wallet."""
     offered = v.transactions().filter(F.col("transaction_type") == "p2p-sell")
@@ -154,13 +188,6 @@ def p2p_requests(v: Views):
     )
 
 
-def _told(part: str, df, key: str, value: str):
-    text, number = F.col(value).cast("string"), F.lit(None).cast("double")
-    if part == "wallet":
-        text, number = F.lit(None).cast("string"), F.col(value).cast("double")
-    return df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), text.alias("value"), number.alias("amount"))
-
-
 # A reduction over all requests in their order; its state is every balance, and who took each item (or which were accepted).
 # Amounts are whole cents, as those of the tables are.
 ACCOUNTS_SQL = """
