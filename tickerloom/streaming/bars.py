@@ -115,7 +115,8 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
     """RSI of each bar as it arrives. Per ticker the last ``period`` + 1 closes are kept.
 
     Bars should come in day order per ticker. One that is not newer than the last is given out with ``late`` set and
-    without RSI, for :func:`rsi_after_batch` to work its ticker out anew; repeats of the newest day are no late bars.
+    without RSI, for :func:`rsi_after_batch` to work its ticker out anew. So is another close for the newest day; a repeat
+    of the same one is dropped. :func:`tickerloom.streaming.revisions.revised_rsi` takes bars in any order.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -130,13 +131,15 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
         out = []
         for day, close in sorted(pending.items()):
             if seen is not None and str(day) <= seen:
-                if str(day) < seen:
+                last = closes[-1] if closes else None
+                same = (last is None and pd.isna(close)) or (last is not None and close == last)
+                if str(day) < seen or not same:
                     out.append((key[0], day, close, None, True))
                 continue
             seen = str(day)
             # The first bar's missing difference counts as no movement; so do missing closes.
             closes = (closes + [None if pd.isna(close) else float(close)])[-(period + 1):]
-            out.append((key[0], day, close, _rsi_of(closes, period), False))
+            out.append((key[0], day, close, rsi_of(closes, period), False))
         state.update((seen, closes))
         told = [row for row in out if row[3] is not None or row[4]]
         if told:
@@ -151,7 +154,7 @@ def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
     )
 
 
-def _rsi_of(closes: list, period: int) -> float | None:
+def rsi_of(closes: list, period: int) -> float | None:
     if len(closes) < period:
         return None
     moves = [0.0 if a is None or b is None else b - a for a, b in zip(closes, closes[1:])]

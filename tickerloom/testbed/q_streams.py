@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickerloom import schemas
 from tickerloom.session import work_path
 from tickerloom.sources import messages
-from tickerloom.streaming import bars as B
+from tickerloom.streaming import bars as B, revisions as R
 from tickerloom.testbed.q_groups import RSI_SQL
 from tickerloom.testbed.q_tables import BARS_SQL
 from tickerloom.testbed.registry import day, moment, query, rounded
@@ -113,6 +113,15 @@ def _(v):
     return rounded(v.spark.read.schema(B.RATED).parquet(out), 6, "RSI")
 
 
+@query("r4_revised_rsi", "rsi", RSI_SQL)
+def _(v):
+    """Late bars are taken up, and what they change is given out anew."""
+    path, out, log = (work_path(v.spark, n) for n in ("topic", "out", "checkpoint"))
+    _with_late_bars(v, path, lambda: B.drain(R.revised_rsi(_stream(v, path)), out, log).awaitTermination())
+    rated = R.newest(v.spark.read.schema(R.RATED).parquet(out), "Ticker", "Date").filter(F.col("RSI").isNotNull())
+    return rounded(rated.select("Ticker", "Date", "Close", "RSI"), 6, "RSI")
+
+
 @query("r5_dedupe_bars", "prices", f"""SELECT "Ticker", {day('"Date"')} AS "Date", "Close" FROM prices""")
 def _(v):
     """A producer that runs again, weeks later, and late bars in between."""
@@ -146,3 +155,19 @@ def _(v):
 @query("r6_rolling_week", "prices rsi", _weeks_sql(1))
 def _(v):
     return _weeks(v, "1 day")
+
+
+def _streamed_weeks(v: Views, slide: int) -> DataFrame:
+    path, out, log = (work_path(v.spark, n) for n in ("topic", "out", "checkpoint"))
+    _with_late_bars(v, path, lambda: B.drain(R.revised_weeks(_stream(v, path), slide), out, log).awaitTermination())
+    return R.newest(v.spark.read.schema(R.WEEKS).parquet(out), "Ticker", "week_start")
+
+
+@query("r6_streamed_weeks", "prices rsi", _weeks_sql(7))
+def _(v):
+    return _streamed_weeks(v, 7)
+
+
+@query("r6_streamed_rolling_weeks", "prices rsi", _weeks_sql(1))
+def _(v):
+    return _streamed_weeks(v, 1)
