@@ -74,6 +74,50 @@ def test_replayed_and_late_bars_are_kept_once(spark, tmp_path):
     assert sorted(map(tuple, B.read_bars(spark, out).select("Ticker", "Date", "Close").collect())) == want
 
 
+def test_many_batches_leave_few_parts_and_read_little(spark, tmp_path):
+    """A batch a day; each reads the days near its own, from few parts."""
+    from tickerloom.sources.versions import Store
+
+    bars_path, rsi_path, kept_path = (str(tmp_path / n) for n in ("bars", "rsi", "kept"))
+    step, keep = B.rsi_after_batch(bars_path, rsi_path), B.new_bars(kept_path)
+    rng, rows, read = random.Random(8), [], []
+    plain = Store.read
+
+    def noted(self, table, low=None, high=None):
+        read.append(sum(p.may_hold(None if low is None else str(low), None if high is None else str(high)) for p in self.parts(table)))
+        return plain(self, table, low, high)
+
+    for i in range(18):
+        day = [(D0 + dt.timedelta(days=10 * i), t, 1.0, 2.0, 0.5, rng.uniform(1, 9), 1) for t in ("A", "B")]
+        rows += day
+        batch = spark.createDataFrame(day, schemas.BARS)
+        step(batch, i)
+        Store.read = noted
+        try:
+            keep(batch, i)
+        finally:
+            Store.read = plain
+    bars = spark.createDataFrame(rows, schemas.BARS)
+    close_to(rated(B.current_rsi(spark, rsi_path)), rated(rsi(bars)))
+    assert B.read_bars(spark, kept_path).count() == len(rows)
+    for path in (bars_path, rsi_path, kept_path):
+        store = Store(spark, path)
+        assert len(store.parts(store.tables()[0])) <= 3 * 3 and store.version == 18
+    assert max(read) <= 1  # a new day touches no part
+
+
+def test_tickers_with_few_bars_are_looked_up_further_back(spark, tmp_path):
+    """A ticker of monthly bars has less than 14 in a quarter of a year."""
+    rows = [(D0 + dt.timedelta(days=30 * i), "A", 1.0, 2.0, 0.5, float(i * 7 % 5), 1) for i in range(40)]
+    rows += [(D0 + dt.timedelta(days=i), "B", 1.0, 2.0, 0.5, float(i * 3 % 7), 1) for i in range(1, 1200, 3)]
+    rsi_path = str(tmp_path / "rsi")
+    step = B.rsi_after_batch(str(tmp_path / "bars"), rsi_path)
+    late = lambda r: r[0] in (D0 + dt.timedelta(days=600), D0 + dt.timedelta(days=1141))
+    for i, part in enumerate(([r for r in rows[:-30] if not late(r)], rows[-30:], [r for r in rows if late(r)])):
+        step(spark.createDataFrame(part, schemas.BARS), i)
+    close_to(rated(B.current_rsi(spark, rsi_path)), rated(rsi(spark.createDataFrame(rows, schemas.BARS))))
+
+
 def test_a_correction_can_take_back_an_rsi(spark, tmp_path):
     def bar(i, close):
         return (D0 + dt.timedelta(days=i), "A", 1.0, 2.0, 0.5, close, 1)

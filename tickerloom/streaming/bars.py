@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom import schemas
 from tickerloom.functions.numbers import OVERBOUGHT, OVERSOLD
 from tickerloom.operators.indicators import rsi, unique_bars
-from tickerloom.session import stage
+from tickerloom.session import discard, staged
+from tickerloom.sources.versions import Store
 
 BATCH = "batch"
+#: Days before a batch's first that are looked through for the bars before it; tickers with fewer bars there are looked up further back.
+NEAR_DAYS = 92
 RATED = "Ticker string, Date date, Close double, RSI double, late boolean"
 
 
@@ -30,36 +34,40 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     )
 
 
-def _months(rows: DataFrame) -> list:
-    """The months that a batch touches; at most one for each month of the calendar."""
-    return [r[0] for r in rows.select(F.date_format("Date", "yyyy-MM")).distinct().collect()]
+TABLE = "bars"
+_DAY = "Date"
 
 
 def new_bars(path: str):
     """A ``foreachBatch`` function that keeps one bar of each (ticker, day), however late a repeated one comes.
 
-    The table at ``path`` has a part for each batch and month. A batch is compared with the earlier parts of its own
-    months only, and writes its parts anew when it is repeated. No bar is lost to a watermark.
+    The table is a :class:`~tickerloom.sources.versions.Store` at ``path``. A batch is compared with the parts, and in them the row
+    groups, that hold days between its first and its last. A batch that is run again changes nothing, no bar is lost to
+    a watermark, and parts are merged in tiers, so that many batches leave few of them.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, own = batch.sparkSession, f"{path}/{BATCH}={batch_id}"
-        once = unique_bars(batch).withColumn("month", F.date_format("Date", "yyyy-MM"))
-        once.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(own)
-        if not batch_id:
+        store = Store(batch.sparkSession, path)
+        if store.applied(TABLE) >= batch_id:
             return
-        parts = spark.read.schema(f"{schemas.BARS}, {BATCH} bigint, month string").parquet(path)
-        fresh = parts.filter(F.col(BATCH) == batch_id)
-        known = parts.filter((F.col(BATCH) < batch_id) & F.col("month").isin(_months(fresh)))
-        left = fresh.join(known.select("Ticker", "Date"), ["Ticker", "Date"], "left_anti").drop(BATCH)
-        stage(left, "new-bars").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(own)
+        once, at = staged(unique_bars(batch), "batch")
+        first, last = once.agg(F.min(_DAY), F.max(_DAY)).first()
+        fresh = once
+        if store.version and first is not None:
+            known = store.read(TABLE, first, last).select("Ticker", _DAY)
+            fresh = once.join(known, ["Ticker", _DAY], "left_anti").select(once.columns)
+        change = store.change()
+        change.append(TABLE, fresh, _DAY)
+        change.merge(TABLE)
+        change.commit(TABLE, batch_id)
+        discard(batch.sparkSession, at)
 
     return run
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """What :func:`new_bars` has kept so far."""
-    return spark.read.schema(f"{schemas.BARS}, {BATCH} bigint, month string").parquet(path).drop(BATCH, "month")
+    return Store(spark, path).read(TABLE)
 
 
 def weekly_range(bars: DataFrame, slide: str = "7 days") -> DataFrame:
@@ -78,9 +86,12 @@ def weekly_range(bars: DataFrame, slide: str = "7 days") -> DataFrame:
 
 
 def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table kept in one part per batch: of each (ticker, day) the row of the newest batch."""
-    parts = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
-    return unique_bars(parts, prefer=[BATCH]).drop(BATCH)
+    """A table of :func:`rsi_after_batch`: of each (ticker, day) the row of the newest batch, in the columns of ``schema``."""
+    store = Store(spark, path)
+    if not store.version:
+        return spark.createDataFrame([], schema)
+    rows = unique_bars(store.read(store.tables()[0]), prefer=[BATCH])
+    return rows.select(*[f.name for f in T.StructType.fromDDL(schema)])
 
 
 def current_rsi(spark: SparkSession, path: str) -> DataFrame:
@@ -88,29 +99,61 @@ def current_rsi(spark: SparkSession, path: str) -> DataFrame:
     return current(spark, path, schemas.BARS_WITH_RSI).filter(F.col("RSI").isNotNull())
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return unique_bars(rows, prefer=[BATCH])
+
+
 def rsi_after_batch(bars_path: str, rsi_path: str, period: int = 14):
     """A ``foreachBatch`` function that adds a batch's bars, and the RSI of its tickers from its first day on.
 
-    Each batch owns one part of each table and writes it anew when it is repeated, so a replay changes nothing. Days
-    that have no RSI (any more) are written as well, so that a correction can take one back.
+    Both tables are stores whose rows carry the number of their batch; a batch that is run again changes nothing. Of a ticker's history
+    only the bars from the batch's first day on and the ``period`` before are read: those of a quarter of a year, and further ones
+    of tickers that have too few there. Days that have no RSI (any more) are written as well, so that a correction can take one back.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        part = f"{BATCH}={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{bars_path}/{part}")
-        added = spark.read.schema(schemas.BARS).parquet(f"{bars_path}/{part}")
-        touched = added.groupBy("Ticker").agg(F.min("Date").alias("_from"))
-        earlier = F.col(BATCH) <= batch_id
-        bars = spark.read.schema(f"{schemas.BARS}, {BATCH} bigint").parquet(bars_path).filter(earlier)
-        history = unique_bars(bars.join(touched.select("Ticker"), "Ticker", "left_semi"), prefer=[BATCH]).drop(BATCH)
-        rated = rsi(history, period).select("Ticker", "Date", "RSI")
-        days = history.join(touched, "Ticker").filter(F.col("Date") >= F.col("_from")).drop("_from")
-        days.join(rated, ["Ticker", "Date"], "left").write.mode("overwrite").parquet(f"{rsi_path}/{part}")
+        bars = Store(spark, bars_path)
+        if bars.applied(TABLE) < batch_id:
+            change = bars.change()
+            change.append(TABLE, batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")), _DAY)
+            change.merge(TABLE, _newest)
+            change.commit(TABLE, batch_id)
+        rated = Store(spark, rsi_path)
+        if rated.applied("rsi") >= batch_id:
+            return
+        touched, at = staged(batch.groupBy("Ticker").agg(F.min(_DAY).alias("_from")), "touched")
+        history, paths = _history(bars, touched, period, batch_id)
+        rows = history.join(rsi(history, period).select("Ticker", _DAY, "RSI"), ["Ticker", _DAY], "left")
+        days = rows.join(touched, "Ticker").filter(F.col(_DAY) >= F.col("_from")).drop("_from")
+        change = rated.change()
+        change.append("rsi", days.withColumn(BATCH, F.lit(batch_id).cast("bigint")), _DAY)
+        change.merge("rsi", _newest)
+        change.commit("rsi", batch_id)
+        discard(spark, at, *paths)
 
     return run
 
 
+def _history(bars: Store, touched: DataFrame, period: int, batch_id: int) -> tuple[DataFrame, list[str]]:
+    """Each touched ticker's bars from its ``_from`` on, and at least ``period`` before or all there are."""
+    first = touched.agg(F.min("_from")).first()[0]
+    if first is None:
+        return bars.read(TABLE).drop(BATCH), []
+    near = first - dt.timedelta(days=NEAR_DAYS)
+
+    def own(tickers: DataFrame, low=None, high=None) -> DataFrame:
+        # Batches that came later than a repeated one do not count for it.
+        return _newest(bars.read(TABLE, low, high).filter(F.col(BATCH) <= batch_id).join(tickers.select("Ticker"), "Ticker", "left_semi"))
+
+    recent, at = staged(own(touched, near), "history")
+    if not bars.reaches(TABLE, near - dt.timedelta(days=1)):
+        return recent.drop(BATCH), [at]
+    before = recent.join(touched, "Ticker").filter(F.col(_DAY) < F.col("_from")).groupBy("Ticker").count()
+    short = touched.join(before, "Ticker", "left").filter(F.coalesce("count", F.lit(0)) < period)
+    return recent.unionByName(own(short, None, near - dt.timedelta(days=1))).drop(BATCH), [at]
+
+
 def stream_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
     """RSI of each bar as it arrives. Per ticker the last ``period`` + 1 closes are kept.
 
