@@ -30,7 +30,7 @@ UNVERIFIED, VERIFIED = "not verified", "verified"
 class Outcome(NamedTuple):
     """New tables after a batch; a table the batch does not touch is None.
 
-    ``logged`` are the rows that ``transactions`` has more than before, where the batch only adds rows.
+    ``transactions`` is the log without the rows of ``retracted`` (as they stood, None for none) and with those of ``logged``.
     """
 
     wallet: DataFrame | None = None
@@ -39,6 +39,7 @@ class Outcome(NamedTuple):
     rejects: DataFrame | None = None
     users: DataFrame | None = None
     logged: DataFrame | None = None
+    retracted: DataFrame | None = None
 
 
 def balances(wallet: DataFrame) -> DataFrame:
@@ -156,18 +157,21 @@ def buy_listed(tx: DataFrame, wallet: DataFrame, price: DataFrame, requests: Dat
     )
     ok = price_id_for(ok, price).withColumn("_total", trade_amount(F.col("number_of_coins"), F.col("_price")))
     new = _logged(ok, "buy", F.col("buyer_id"), F.col("number_of_coins"), F.col("amount"), F.col("_total"))
-    sold = ok.select("transaction_id", F.lit(True).alias("_sold")).distinct()
+    sold, _ = staged(ok.select("transaction_id", F.lit(True).alias("_sold")).distinct(), "sold")
     retyped = (
         log_rows(tx)
         .join(sold, "transaction_id", "left")
         .withColumn("transaction_type", F.when(F.col("_sold"), "sell").otherwise(F.col("transaction_type")))
         .select(*LOG)
     )
+    before = log_rows(tx).join(sold, "transaction_id", "left_semi").select(*LOG)
+    after = before.withColumn("transaction_type", F.lit("sell"))
     debit = ok.filter(F.col("payment_type") == "wallet").select(
         F.col("buyer_id").alias("user_id"), (-F.col("_total")).cast(COIN).alias("delta")
     )
     kept = [*requests.columns, "reject_reason"]
-    return Outcome(apply_deltas(wallet, debit), retyped.unionByName(new), rejects=bad.select(*kept))
+    return Outcome(apply_deltas(wallet, debit), retyped.unionByName(new), rejects=bad.select(*kept),
+                   logged=after.unionByName(new), retracted=before)
 
 
 def settle_p2p(orders: DataFrame, tx: DataFrame, wallet: DataFrame, price: DataFrame, requests: DataFrame) -> Outcome:
@@ -261,9 +265,10 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
         F.max(F.when(F.col("listing"), F.struct("request_ts", "request_id", "price", "amount"))).alias("_list"),
         F.max(F.when(buying, seq)).alias("_bought"),
     )
+    last, _ = staged(last, "listed-last")
+    touched = log_rows(tx).join(last, "transaction_id", "left")
     new_tx = (
-        log_rows(tx)
-        .join(last, "transaction_id", "left")
+        touched
         .withColumns(
             {
                 "cost": F.coalesce(F.col("_list.price").cast(COIN), F.col("cost")),
@@ -303,7 +308,10 @@ def list_or_buy(orders: DataFrame, tx: DataFrame, wallet: DataFrame, requests: D
         ))
     ).filter(F.col("delta") != 0)
     turned_down = done.filter(~F.col("accepted")).select(*requests.columns, "reject_reason")
-    return Outcome(apply_deltas(wallet, paid), new_tx, old.unionByName(opened), bad.unionByName(turned_down))
+    ids = last.select("transaction_id")
+    return Outcome(apply_deltas(wallet, paid), new_tx, old.unionByName(opened), bad.unionByName(turned_down),
+                   logged=new_tx.join(ids, "transaction_id", "left_semi").select(*LOG),
+                   retracted=log_rows(tx).join(ids, "transaction_id", "left_semi").select(*LOG))
 
 
 def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
@@ -333,7 +341,7 @@ def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
         swap_quantity(F.col("from_qty"), F.col("from_price"), F.col("to_price")).alias("_coins"),
         F.col("to_price").cast(COIN).alias("_cost"),
     )
-    change = latest_one(told, ["transaction_id"], ["request_ts", "request_id"]).drop("request_ts", "request_id")
+    change, _ = staged(latest_one(told, ["transaction_id"], ["request_ts", "request_id"]).drop("request_ts", "request_id"), "swapped")
     new_tx = (
         log_rows(tx)
         .join(change, "transaction_id", "left")
@@ -349,7 +357,9 @@ def swap(tx: DataFrame, requests: DataFrame) -> Outcome:
     )
     unmet = ok.join(matched.filter(F.col("transaction_id").isNull()).select("request_id"), "request_id", "left_semi")
     rejects = bad.unionByName(unmet.withColumn("reject_reason", F.lit("no buy to swap")).select(*bad.columns))
-    return Outcome(transactions=new_tx, rejects=rejects)
+    ids = change.select("transaction_id")
+    return Outcome(transactions=new_tx, rejects=rejects, logged=new_tx.join(ids, "transaction_id", "left_semi").select(*LOG),
+                   retracted=log_rows(tx).join(ids, "transaction_id", "left_semi").select(*LOG))
 
 
 def set_status(users: DataFrame, events: DataFrame) -> DataFrame:

@@ -15,13 +15,17 @@ def _of(df: DataFrame, user_id) -> DataFrame:
     return df if user_id is None else lookup(df, user_id=user_id)
 
 
-def portfolio(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
+def _held(tx: DataFrame | None, user_id, held: DataFrame | None) -> DataFrame:
+    return _of(held, user_id) if held is not None else A.held_per_price(_of(tx, user_id))
+
+
+def portfolio(tx: DataFrame | None, price: DataFrame, user_id=None, held: DataFrame | None = None) -> DataFrame:
     """Coins held per (user, ticker, price) with net cost and market value, positive holdings only.
 
-    Holdings whose price is no number are worth 0.
+    Holdings whose price is no number are worth 0. ``held`` may give kept sums (``Book.held``) instead of the log.
     """
     coins = price.select("crypto_price_id", "ticker", "current_price")
-    held = with_price(A.held_per_price(_of(tx, user_id)), coins)
+    held = with_price(_held(tx, user_id, held), coins)
     valued = positive(A.valuation(held, "user_id", "ticker"), "remaining_coins")
     return valued.withColumn("market_value", F.coalesce("market_value", F.lit(0).cast("decimal(38,8)")))
 
@@ -30,10 +34,10 @@ def portfolio_totals(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame
     return A.portfolio_total(portfolio(tx, price, user_id), "user_id")
 
 
-def sellable(tx: DataFrame, price: DataFrame, user_id=None) -> DataFrame:
-    """Positive holdings per (user, ticker) with the newest transaction id."""
+def sellable(tx: DataFrame | None, price: DataFrame, user_id=None, held: DataFrame | None = None) -> DataFrame:
+    """Positive holdings per (user, ticker) with the newest transaction id; ``held`` as for :func:`portfolio`."""
     coins = price.select("crypto_price_id", "ticker")
-    held = A.summed_holdings(with_price(A.held_per_price(_of(tx, user_id)), coins), "user_id", "ticker")
+    held = A.summed_holdings(with_price(_held(tx, user_id, held), coins), "user_id", "ticker")
     return positive(held, "remaining_coins").select("user_id", "ticker", "remaining_coins", "transaction_id")
 
 

@@ -142,6 +142,39 @@ def _(v):
     ])
 
 
+def _traded(v: Views) -> Book:
+    book = Book(v.spark, work_path(v.spark, "book"))
+    book.create(wallet=v.wallet(), transactions=v.transactions())
+    book.apply("trades", 1, M.buy, "transactions", "wallet", requests=trades(v))
+    book.apply("trades", 2, M.sell, "transactions", "wallet", requests=sales(v))
+    return book
+
+
+TRADED_SQL = f"""
+WITH t AS ({TRADES_SQL}), every AS (
+  SELECT user_id, crypto_price_id, transaction_id::varchar AS id, number_of_coins::decimal(38,8) AS coins, amount::decimal(38,8) AS amount,
+         cost::decimal(38,8) AS cost, transaction_type AS kind FROM transactions
+  UNION ALL SELECT user_id, crypto_price_id, transaction_id, coins::decimal(38,8), o_totalprice::decimal(38,8),
+         ((2 * cents * 1000000 + coins) // (2 * coins))::decimal(30,0) * 0.00000001::decimal(9,8), 'buy' FROM t
+  UNION ALL SELECT user_id, crypto_price_id, transaction_id, coins::decimal(38,8), coins * o_totalprice::decimal(18,8), o_totalprice::decimal(38,8), 'sell' FROM t)"""
+
+
+@query("a2_holdings_kept", "transactions", f"""{TRADED_SQL}
+SELECT user_id, crypto_price_id, coalesce(sum(coins) FILTER (kind = 'buy'), 0)::double AS bought, coalesce(sum(coins) FILTER (kind = 'sell'), 0)::double AS sold,
+       round(coalesce(sum(cost) FILTER (kind = 'buy'), 0) - coalesce(sum(cost) FILTER (kind = 'sell'), 0), 2)::double AS spent,
+       max(id::hugeint)::varchar AS newest FROM every GROUP BY user_id, crypto_price_id""")
+def _(v):
+    """Holdings of a book after two batches, from the batches' deltas."""
+    return _traded(v).held().withColumn("newest", F.col("newest").cast("string"))
+
+
+@query("a8_balances_kept", "transactions", f"""{TRADED_SQL}
+SELECT user_id, (coalesce(sum(amount) FILTER (kind IN ('buy', 'p2p-buy')), 0) - coalesce(sum(amount) FILTER (kind IN ('sell', 'p2p-sell')), 0))::double AS balance
+FROM every GROUP BY user_id""")
+def _(v):
+    return _traded(v).balances()
+
+
 def listed_requests(v: Views):
     """Every offered transaction is asked for by its line's other user; odd lines pay from the wallet."""
     offered = v.transactions().filter(F.col("transaction_type") == "p2p-sell")
