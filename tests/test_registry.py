@@ -17,8 +17,9 @@ def duck():
     return check.duck(FOLDER)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_queries_without_sql_are_known():
+    # A fitted model: tests/test_learned.py holds it against a plain fit and held-out labels.
+    assert set(QUERIES) - set(ORACLES) == {"u4_learned_scorer"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,14 +44,15 @@ def sentiment_from_logits(logits: Column) -> Column:
 
 def word_logits(text: Column, bullish=BULLISH_WORDS, bearish=BEARISH_WORDS) -> Column:
     """Default scorer: the share of the text's words that are on the bearish and on the bullish list."""
-    low = F.lower(text)
-    words = F.size(F.split(low, r"[^\p{L}]+")).cast("double")
 
-    def share(vocabulary) -> Column:
-        listed = "|".join(map(re.escape, vocabulary))
-        return F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{listed})(?!\p{{L}})")).cast("double") / words
+    def shares(words: Column) -> Column:
+        # The text is cut once; each word is looked up in a hashed set.
+        count = F.size(words).cast("double")
+        share = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double") / count
+        return F.array(share(bearish), F.lit(0.0), share(bullish))
 
-    return F.array(share(bearish), F.lit(0.0), share(bullish))
+    return F.when(text.isNotNull(), _let(F.split(F.lower(text), r"[^\p{L}]+"), shares)).otherwise(
+        F.array(F.lit(None).cast("double"), F.lit(0.0), F.lit(None).cast("double")))
 
 
 def sentiment_label(score: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickerloom.functions import numbers as N, sentiment as S, text as X
+from tickerloom.functions import learned as L, numbers as N, sentiment as S, text as X
 from tickerloom.operators.indicators import rsi
 from tickerloom.testbed.registry import day, moment, query, rounded
 
@@ -276,3 +276,16 @@ SELECT doc_id, ticker, (exp(l2) - exp(l0)) / (exp(l0) + 1 + exp(l2)) AS score FR
 def _(v):
     score = S.sentiment_from_logits(prose_logits(F.col("title")))
     return rounded(v.news_data().select("doc_id", score.alias("score")), 6, "score")
+
+
+@query("u4_learned_scorer")
+def _(v):
+    """Labelled documents as titles: low quality is class 0, the rest class 2; a quarter is held out. Scores of all, both scorers."""
+    rows = v._table("documents").join(v._table("labels"), "doc_id").select(
+        "doc_id", "text", F.when(F.col("quality") == 0, 0).otherwise(2).alias("label"),
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"))
+    model = L.fit(rows.filter(~F.col("held_out")), "text")
+    learned, listed = L.learned_logits(v.spark, model), S.word_logits
+    scored = rows.select("doc_id", "label", "held_out", *[
+        S.sentiment_from_logits(scorer(F.col("text"))).alias(name) for name, scorer in (("score", learned), ("list_score", listed))])
+    return rounded(scored, 6, "score", "list_score")
