@@ -1,0 +1,82 @@
+import csv
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tickerloom import schemas
+from tickerloom.sources import files, records as R
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def text_of(rng):
+    parts = ["rise", "fall", '"', '""', ",", "\n", "\n\n", "é", " ", "x" * rng.randrange(1, 40), "N/A", "a,b\nc", '"\n"']
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(0, 7)))
+
+
+def write(path, rng, rows, breaks=True):
+    with open(path, "w", newline="") as file:
+        out = csv.writer(file, lineterminator="\n", quoting=rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL]))
+        out.writerow(["Ticker", "Title", "Source", "date_time"])
+        told = []
+        for i in range(rows):
+            row = [f"T{i}", text_of(rng) or "x", text_of(rng) or "y", "2025-01-01"]
+            if not breaks:
+                row = [c.replace("\n", " ") for c in row]
+            out.writerow(row)
+            told.append(tuple(row))
+    return told
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_equal_those_of_a_whole_read(spark, tmp_path, small_blocks, seed):
+    rng, want = random.Random(seed), []
+    for i in range(3):
+        want += write(tmp_path / f"{i}.csv", rng, rng.choice([0, 5, 60]), breaks=i != 1)
+    got = R.read_quoted(spark, str(tmp_path), schemas.NEWS_CSV, **files._QUOTED)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_the_news_reader_takes_many_tasks_and_gives_the_same(spark, tmp_path, small_blocks):
+    rng = random.Random(11)
+    write(tmp_path / "a.csv", rng, 300)
+    plain = spark.read.schema(schemas.NEWS_CSV).csv(str(tmp_path), multiLine=True, **files._QUOTED)
+    got = files.read_news(spark, str(tmp_path), na_values=(), line_breaks=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    lines = R._lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 20 and plain.rdd.getNumPartitions() == 1
+    assert lines.select("block").distinct().count() > 20
+
+
+def test_a_record_over_many_blocks(spark, tmp_path, small_blocks):
+    long = "\n".join(["some line, with a comma"] * 200)
+    (tmp_path / "a.csv").write_text(f'Ticker,Title,Source,date_time\nA,"{long}",s,d\nB,"{long}""{long}",s,d\nC,c,s,d\n')
+    got = R.read_quoted(spark, str(tmp_path), schemas.NEWS_CSV, **files._QUOTED)
+    assert sorted((r.Ticker, r.Title) for r in got.collect()) == [("A", long), ("B", f'{long}"{long}'), ("C", "c")]
+
+
+def test_a_quote_inside_of_a_plain_field_opens_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Ticker,Title,Source,date_time\nA,5" disk,s,d\nB,"a\nb",s,d\nC,it"s,s,d\n\n  \n')
+    got = R.read_quoted(spark, str(tmp_path), schemas.NEWS_CSV, **files._QUOTED)
+    assert sorted((r.Ticker, r.Title) for r in got.collect()) == [("A", '5" disk'), ("B", "a\nb"), ("C", 'it"s')]
+
+
+def test_functions_put_together_in_any_grouping():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        lines = rng.integers(0, 2, (rng.integers(1, 12), 2))
+        ends = []
+        for state in (0, 1):
+            for line in lines:
+                state = int(line[state])
+            ends.append(state)
+        assert R._put_together(lines[:, 0], lines[:, 1]) == tuple(ends)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom import schemas
 from tickerloom.functions.text import NA_WORDS, na_to_null
+from tickerloom.sources.records import read_quoted
 
 # Text fields keep their blanks and may hold quotes.
 _QUOTED = dict(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
@@ -25,9 +26,9 @@ def read_news(
 ) -> DataFrame:
     """Quoted news CSV; words that stand for a missing value become NULL in every field.
 
-    ``line_breaks`` allows them inside quoted fields; each file is then read by one task.
+    ``line_breaks`` allows them inside quoted fields; a file is read by many tasks all the same.
     """
-    raw = spark.read.schema(schema).csv(path, multiLine=line_breaks, **_QUOTED)
+    raw = read_quoted(spark, path, schema, **_QUOTED) if line_breaks else spark.read.schema(schema).csv(path, **_QUOTED)
     return raw.select(*[na_to_null(F.col(c), na_values).alias(c) for c in raw.columns])
 
 
