@@ -32,9 +32,13 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 RULES = "majority", "first", "last"
 # The white space of the pattern's engine (Unicode's White_Space).
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs of white space from this length on are encoded apart.
-LONG_BLANK = 1_000
-_LONG = re.compile(rf"[{_BLANK}]{{{LONG_BLANK},}}")
+#: Runs of white space from this length on are encoded apart. The pattern's engine takes several times as many.
+LONG_BLANK = 100_000
+
+
+@functools.lru_cache(maxsize=4)
+def _long_blank(size: int) -> re.Pattern:
+    return re.compile(rf"[{_BLANK}]{{{size},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,11 +52,13 @@ def _encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray, tiktoken.Enco
     return coder("corpus", pat_str=PATTERN), sizes, coder("piece", pat_str=r"[\s\S]+")
 
 
-def encoded(text: str, ranks: bytes) -> np.ndarray:
+def encoded(text: str, ranks: bytes, long_blank: int = LONG_BLANK) -> np.ndarray:
     """The tokens of a text."""
     encoder, _, piece = _encoder(ranks)
+    if len(text) < long_blank:
+        return np.asarray(encoder.encode_ordinary(text), dtype=np.int64)
     out, at = [], 0
-    for run in _LONG.finditer(text):
+    for run in _long_blank(long_blank).finditer(text):
         # The pattern takes such a run as one piece, but for the last character if something follows.
         end = run.end() - (run.end() < len(text))
         out += [encoder.encode_ordinary(text[at : run.start()]), piece.encode_ordinary(text[run.start() : end])]
