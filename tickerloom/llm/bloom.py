@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickerloom.llm.words import mixed
 from tickerloom.llm.work import lean
@@ -65,12 +65,24 @@ def filled(keys: DataFrame, count: int, salt: int = 0) -> Filter:
     return Filter(out, bits, probes, salt)
 
 
-def passing(rows: DataFrame, held: Filter, key: str = "_key") -> DataFrame:
-    """The rows whose key (a long, not null) the filter lets through."""
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+def may_hold(spark: SparkSession, held: Filter, key: Column) -> Column:
+    """Whether the filter lets a key (a long, not null) through."""
+    shared = spark.sparkContext.broadcast(held)
 
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for keys in batches:
             yield pd.Series(lets_through(keys.to_numpy(), shared.value))
 
-    return rows.filter(F.pandas_udf(lean(kept), "boolean")(key))
+    return F.pandas_udf(lean(kept), "boolean")(key)
+
+
+def passing(rows: DataFrame, held: Filter, key: str = "_key") -> DataFrame:
+    """The rows whose key (a long, not null) the filter lets through."""
+    return rows.filter(may_hold(rows.sparkSession, held, F.col(key)))
+
+
+def without(rows: DataFrame, gone: DataFrame, own_key: Column, gone_key: Column, same: Column) -> DataFrame:
+    """The rows that are the ``same`` as none of ``gone``. Only those that a filter takes for such move to a join."""
+    held = filled(gone.select(gone_key.alias("_key")), gone.count())
+    may = may_hold(rows.sparkSession, held, own_key)
+    return rows.filter(~may).unionByName(rows.filter(may).join(gone, same, "left_anti"))

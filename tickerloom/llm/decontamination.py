@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tickerloom.llm import bloom
 from tickerloom.llm.words import ALNUM, hashed_words, rounds, shingles
 from tickerloom.llm.work import lean, packed, stage
 
@@ -270,4 +271,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", row_id:
     bad, _ = stage(hit.select(F.col("id").alias("bad_id"), F.col("_text").alias("bad_text")).distinct(), "contaminated")
     rows = docs.select(packed(docs), F.col(row_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_text"))
-    return rows.join(bad, same, "left_anti").select("row.*")
+    return bloom.without(rows, bad, F.xxhash64("id", "hash"), F.xxhash64("bad_id", "bad_text"), same).select("row.*")

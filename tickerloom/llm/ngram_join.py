@@ -34,8 +34,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickerloom.llm import bloom
 from tickerloom.llm.components import components
-from tickerloom.llm.words import mixed, shingle_sets
-from tickerloom.llm.work import discard, stage
+from tickerloom.llm.words import mixed, rounds, shingle_sets
+from tickerloom.llm.work import discard, lean, packed, scratch, stage
+from tickerloom.session import staged
 
 #: Texts that a token may lie in to be a key by itself.
 RARE = 32
@@ -44,7 +45,7 @@ PAIR_SIZE = 512
 #: Texts and tokens that one side of a verifying task holds about.
 BLOCK_TEXTS, BLOCK_TOKENS = 500, 1_000_000
 #: Tokens that are counted together in one task.
-CHUNK_TOKENS, BUCKET_TOKENS = 4_000_000, 1_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_000_000
 _BITS = 40
 _PLACE = np.uint64(24)
 _SHARED = -1  # stands for "several texts of this task" where a node is given
@@ -94,7 +95,7 @@ def signed(docs: DataFrame, text: str, row_id: str, words: int, percent: int) ->
             own = pd.DataFrame(out, columns=["node", "n", "prefix"], index=frame.index)
             yield frame[[row_id, "_text"]].join(own.astype({"node": "Int64"}))
 
-    return rows.mapInPandas(sign, schema)
+    return rows.mapInPandas(lean(sign), schema)
 
 
 def _counted_in_task(nodes: np.ndarray, prefixes: list[bytes], bits: int) -> pd.DataFrame:
@@ -157,8 +158,8 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, prefixes, held = [], [], 0
         for frame in frames:
-            for at in range(0, len(frame), 2000):
-                part = frame.iloc[at : at + 2000]
+            for at in range(0, len(frame), 200):
+                part = frame.iloc[at : at + 200]
                 nodes.append(part["node"].to_numpy(np.int64))
                 prefixes += part["prefix"].tolist()
                 held += part["prefix"].map(len).sum() // 5
@@ -169,7 +170,7 @@ def possible(rows: DataFrame, percent: int) -> DataFrame:
             yield _counted_in_task(np.concatenate(nodes), prefixes, bits)
 
     given = rows.filter("node IS NOT NULL")
-    entries = given.select("node", "prefix").mapInPandas(counted, "bucket int, tokens binary, nodes binary, counts binary")
+    entries = given.select("node", "prefix").mapInPandas(lean(counted), "bucket int, tokens binary, nodes binary, counts binary")
     shared = entries.groupBy("bucket").applyInPandas(_counted_in_bucket, "node bigint, shared bigint")
     total = shared.groupBy("node").agg(F.sum("shared").alias("shared"))
     least = F.expr(f"(n * {percent} + 99) div 100")
@@ -195,23 +196,27 @@ def shared_sets(
                       F.xxhash64(F.col(row_id), F.xxhash64(F.col(text))).alias("_key"))
     # A filter of the wanted rows turns most texts away before the join moves them.
     held = bloom.filled(able.select(F.xxhash64("id", "_text").alias("_key")), able.count())
-    found = bloom.passing(raw, held).join(wanted, _same_row(F.col("id"), F.col("text"))).select(
+    # Texts are cut behind an exchange (merge), so no task needs a Python worker for the filter and one for the cut.
+    found = bloom.passing(raw, held).join(wanted.hint("merge"), _same_row(F.col("id"), F.col("text"))).select(
         "node", "n", F.col("text").cast("binary").alias("raw"))
 
     def cut(frames):
         for frame in frames:
-            sets = [s.view(np.int64) for s in shingle_sets(frame["raw"].tolist(), words)]
-            yield pd.DataFrame({"node": frame["node"], "n": frame["n"], "tokens": sets})
+            raw = frame["raw"].tolist()
+            for lo, hi in rounds(raw):
+                sets = [s.view(np.int64) for s in shingle_sets(raw[lo:hi], words)]
+                yield frame.iloc[lo:hi][["node", "n"]].assign(tokens=sets)
 
     # Fully equal rows give a node twice.
     once = found.dropDuplicates(["node"]) if repeats else found
-    sets, path = stage(once.mapInPandas(cut, "node bigint, n bigint, tokens array<bigint>"), "token-sets")
-    each = sets.select("node", "n", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").cast("int").alias("texts")).filter("texts > 1")
-    kept = each.join(often, "token").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("own"))
-    out, at = stage(kept.select("node", "n", F.col("own.token").alias("tokens"), F.col("own.texts").alias("texts")),
-                    "shared-tokens")
+    sets, path = stage(once.mapInPandas(lean(cut), "node bigint, n bigint, tokens array<bigint>"), "token-sets")
+    # Dealt out by token once: the counts and the join with them read the same exchange (a token has one row a text at most,
+    # a small part of all rows even if every text has it).
+    each = sets.filter("node IS NOT NULL").select("node", F.explode("tokens").alias("token")).repartition("token")
+    often = each.groupBy("token").agg(F.count("node").cast("int").alias("texts")).filter("texts > 1")
+    kept = each.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("own"))
+    out, at = stage(kept.join(sets.select("node", "n"), "node").select(
+        "node", "n", F.col("own.token").alias("tokens"), F.col("own.texts").alias("texts")), "shared-tokens")
     return out, [path, at]
 
 
@@ -245,7 +250,7 @@ def clusters(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
                     for n, t, c in zip(frame["n"], frame["tokens"], frame["texts"], strict=True)]
             yield pd.DataFrame({"node": frame["node"], "keys": keys})
 
-    rows = sets.mapInPandas(index, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
+    rows = sets.mapInPandas(lean(index), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
     keyed, path = stage(rows, "keys")
     least, at = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("texts"))
                       .filter("texts > 1").select("key", "pivot"), "pivots")
@@ -338,15 +343,27 @@ def joined(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: i
 def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that another of their component stands for: the one with the least id stays.
 
-    Rows without shingles all stay, but for repeats of fully equal rows.
+    Rows without shingles all stay, but for repeats. Of rows of the same id and text the one with the least hash of all its
+    columns stays. Columns stay as they are, whatever their names.
     """
-    found, _ = stage(joined(docs, text, row_id, words, percent), "joined")
-    row = F.struct(F.col(row_id).alias("_id"), F.col("_text").alias("_hash"))
-    kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("kept"))
-    kept, _ = stage(kept, "kept")  # written, so that the join can split a component of very many copies
-    gone = found.join(kept, "component").filter(~row.eqNullSafe(F.col("kept"))).select(row.alias("r")).select("r.*")
-    gone, _ = stage(gone.distinct(), "copies")
-    left = docs.join(gone, _same_row(F.col(row_id), F.col(text)), "left_anti")
-    repeats = found.groupBy(row_id, "_text").count().filter("count > 1").join(gone, F.col(row_id).eqNullSafe(F.col("_id"))
-                                                                              & (F.col("_text") == F.col("_hash")), "left_anti")
-    return left if repeats.isEmpty() else left.dropDuplicates([row_id, text])
+    spark = docs.sparkSession
+    named = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
+    row = F.struct("id", "_text")
+    with scratch(spark):
+        found, _ = stage(joined(named, "text", "id", words, percent).select("id", "_text", "component"), "joined")
+        kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("kept"))
+        kept, _ = stage(kept, "kept")  # written, so that the join can split a component of very many copies
+        gone = found.join(kept, "component").filter(~row.eqNullSafe(F.col("kept"))).select(
+            F.col("id").alias("gone_id"), F.col("_text").alias("gone_text"))
+        gone, _ = staged(gone.distinct(), "copies")
+        repeats = found.groupBy("id", "_text").count().filter("count > 1").join(gone, _is_gone("_text"), "left_anti")
+        repeated = not repeats.isEmpty()
+    rows = docs.select(packed(docs), F.col(row_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"))
+    left = bloom.without(rows, gone, F.xxhash64("id", "hash"), F.xxhash64("gone_id", "gone_text"), _is_gone("hash"))
+    if repeated:
+        left = left.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return left.select("row.*")
+
+
+def _is_gone(text: str) -> Column:
+    return F.col("id").eqNullSafe(F.col("gone_id")) & (F.col(text) == F.col("gone_text"))
