@@ -8,6 +8,10 @@ and so on until a level lets nothing wrong through. A key is listed if the first
 Filters are built by Spark (bits are OR-ed by word) and hold at most SEGMENT_KEYS listed keys each, so their size is bounded;
 a longer list is cut into segments by key hash, each with its own cascade and its own pass over its share of the rows.
 Keys are 64-bit hashes; should a listed and an unlisted key share one, another salt is taken.
+
+Cases: a null URL, and one without ``://``, has an empty host and an empty path, which rules of the empty host alone could fit; a null
+key is not listed; of rules of equal length the later one counts; repeated rows are judged alike, each for itself; an empty table,
+an empty list and a list of all keys are as any other; columns named like a result are replaced, all others stay.
 """
 
 from __future__ import annotations
