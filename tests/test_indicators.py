@@ -159,3 +159,17 @@ def test_trailing_week_counts_from_the_last_date(spark):
 def test_latest_prices(spark):
     got = {tuple(r) for r in latest_prices(bars(spark, {"BTC-USD": [1.0, 2.125], "X": [3.0]})).collect()}
     assert got == {("BTC", "2.12", "USD"), ("X", "3.0", "UNKNOWN")}
+
+
+def test_series_that_are_not_daily_go_by_ranges(spark):
+    rows = [(k, i, None if i % 7 == 3 else float(1 + (i * i) % 11)) for k in "ab" for i in range(90)]
+    ticks = spark.createDataFrame(rows, "Ticker string, seq bigint, Close double")
+    days = ticks.withColumn("seq", F.date_add(F.lit("2020-01-01").cast("date"), F.col("seq").cast("int")))
+    for run, column in ((I.rsi, "RSI"), (I.pct_change, "percentage_change")):
+        by_ranges, plain = run(ticks, order="seq"), run(days, order="seq")
+        at = F.date_diff("seq", F.lit("2020-01-01").cast("date"))
+        want = {(r.Ticker, r["at"]): r[column] for r in plain.withColumn("at", at).collect()}
+        got = {(r.Ticker, r.seq): r[column] for r in by_ranges.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+    small = {(r.Ticker, r.seq): r.percentage_change for r in I.pct_change_by_ranges(ticks, order=("seq",), parts=30).collect()}
+    assert small.keys() == want.keys() and all(abs(small[k] - want[k]) < 1e-9 for k in want)

@@ -1,13 +1,13 @@
 """Price indicators per ticker.
 
 Bars are unique per (ticker, day) once :func:`unique_bars` ran, so a ticker's window holds at most one row per
-calendar day and the plain window forms below are bounded. Series ordered by a timestamp have no such bound;
-use :func:`rsi_by_ranges` for them.
+calendar day and the plain window forms below are bounded. Series ordered by anything but a date have no such bound:
+:func:`rsi` and :func:`pct_change` take them by ranges of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tickerloom.functions.numbers import nan_to_null
 from tickerloom.operators.ordered import CHUNK, range_chunks, with_previous_rows
@@ -50,8 +50,14 @@ def _with_rsi(df: DataFrame, w: WindowSpec, period: int, value: str) -> DataFram
     return means.withColumn("RSI", rsi_value(F.col("_gain"), F.col("_loss"))).drop("_delta", "_gain", "_loss")
 
 
+def _daily(df: DataFrame, order: str) -> bool:
+    return isinstance(df.schema[order].dataType, T.DateType)
+
+
 def rsi(df: DataFrame, period: int = 14, key: str = "Ticker", order: str = "Date", value: str = "Close") -> DataFrame:
     """Relative strength index over simple moving averages; rows without a value are dropped."""
+    if not _daily(df, order):
+        return rsi_by_ranges(df, period, key, (order,), value)
     w = Window.partitionBy(key).orderBy(order)
     return _with_rsi(df, w, period, value).filter(F.col("RSI").isNotNull())
 
@@ -74,8 +80,28 @@ def pct_change(df: DataFrame, key: str = "Ticker", order: str = "Date", value: s
 
     The first row of a key, and rows without a change, are dropped.
     """
+    if not _daily(df, order):
+        return pct_change_by_ranges(df, key, (order,), value, name)
     w = Window.partitionBy(key).orderBy(order)
     known = F.last(nan_to_null(F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     filled = df.withColumn("_known", known)
     change = F.try_divide(F.col("_known"), F.lag("_known").over(w)) - 1
     return filled.withColumn(name, change).filter(F.col(name).isNotNull()).drop("_known")
+
+
+def pct_change_by_ranges(
+    df: DataFrame, key: str = "Ticker", order: tuple[str, ...] = ("ts",), value: str = "Close",
+    name: str = "percentage_change", parts: int | None = None,
+) -> DataFrame:
+    """The same change for series of any length: ranges of rows, each told the last known value before it."""
+    chunks = range_chunks(df, [key], list(order), parts).withColumn("_value", nan_to_null(F.col(value)))
+    newest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    ends = chunks.groupBy(key, CHUNK).agg(newest.alias("_end"))
+    # One row for each range of a key.
+    earlier = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    w = Window.partitionBy(key, CHUNK).orderBy(*order)
+    known = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    filled = chunks.join(carried, [key, CHUNK]).withColumn("_known", F.coalesce(known, "_carried"))
+    change = F.try_divide(F.col("_known"), F.coalesce(F.lag("_known").over(w), "_carried")) - 1
+    return filled.withColumn(name, change).filter(F.col(name).isNotNull()).drop("_known", "_carried", "_value", CHUNK)

@@ -133,6 +133,17 @@ def _(v):
     return rounded(rated.select("event_id", "Ticker", "RSI"), 6, "RSI")
 
 
+@query("w4_pct_change_by_ranges", "ticks", """
+SELECT event_id, "Ticker", round(known / lag(known) OVER w - 1, 6) AS percentage_change FROM (
+  SELECT *, last_value(CASE WHEN event_id % 5 > 0 THEN "Close" END IGNORE NULLS) OVER (PARTITION BY "Ticker" ORDER BY ts, event_id) AS known FROM ticks)
+WINDOW w AS (PARTITION BY "Ticker" ORDER BY ts, event_id) QUALIFY known / lag(known) OVER w IS NOT NULL AND lag(known) OVER w <> 0""")
+def _(v):
+    """Every fifth value is missing; the last known one counts, over range borders too."""
+    gaps = v.ticks().withColumn("Close", F.when(F.col("event_id") % 5 > 0, F.col("Close")))
+    changed = I.pct_change_by_ranges(gaps, order=("ts", "event_id"), parts=16)
+    return rounded(changed.select("event_id", "Ticker", "percentage_change"), 6, "percentage_change")
+
+
 def _by_day():
     return Window.partitionBy("Ticker").orderBy("Date")
 
