@@ -76,6 +76,17 @@ def test_tests_abandon_most_and_lose_few():
     assert kept.sum() < 0.2 * kept.size and (kept & good).sum() > 0.97 * good.sum()
 
 
+def test_clustered_vectors_visit_few_lists_and_plain_ones_most():
+    rng = np.random.default_rng(3)
+    plain = rng.standard_normal((4000, 32))
+    centres = rng.standard_normal((60, 32))
+    clustered = centres[rng.integers(0, 60, 4000)] + 0.15 * rng.standard_normal((4000, 32))
+    ids = np.arange(4000)
+    visits = [A.visits_for(A.Index.fitted(ids, v, 50, 500), ids, v, 20) for v in (clustered, plain)]
+    assert visits[0] <= 5 and 20 < visits[1] <= 50
+    assert A.visits_for(A.Index.fitted(ids[:1], plain[:1], 1, 1), ids[:1], plain[:1], 20) == 1
+
+
 def test_query_recall(spark, folder):
     frame = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
     vectors, ids = np.stack(frame["embedding"]).astype(float), frame["vec_id"].to_numpy()

@@ -2,7 +2,10 @@
 
 Index: spherical k-means on a bounded sample (``SAMPLE`` vectors) gives the lists; every vector goes into the list of its
 nearest centroid. Lists are cut into blocks of about ``BLOCK`` vectors, so a list that holds a third of all vectors still is
-many tasks. A query visits the lists of its nearest centroids (``probes``, a share of all lists).
+many tasks. A query visits the lists of its nearest centroids. How many is measured on the sample: so many that they hold a share of
+``RECALL`` of the nearest neighbours which vectors of the sample have among the others of it. These are farther away than the
+nearest of the whole table, so the measure errs on the safe side. Vectors in clusters need few lists, however large the table;
+vectors without any structure need most. (``probes`` may give a share of the lists instead.)
 
 Scan: vectors are turned by a random rotation and laid out in column blocks. After each column block a hypothesis test
 compares a pair's partial product with what a pair as good as the query's threshold would show by now (mean and
@@ -31,8 +34,8 @@ from tickerloom.llm.work import stage
 SAMPLE = 8192
 BLOCK = 4096
 COLUMNS = 16
-#: Share of the lists that a query visits.
-PROBES = 0.7
+#: Share of near neighbours that the visited lists are to hold, and vectors of the sample that are asked for theirs.
+RECALL, ASKED = 0.97, 512
 #: Deviations below the expected partial product at which a pair is abandoned.
 DEVIATIONS = 2.75
 #: Starting thresholds come from one vector of so many at most.
@@ -86,6 +89,23 @@ class Index:
         return np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
 
+def visits_for(index: Index, ids: np.ndarray, vectors: np.ndarray, k: int) -> int:
+    """How many of its nearest lists a vector of the sample must visit for RECALL of its k nearest others there."""
+    own = index.lists_of(vectors, 1)[:, 0]
+    few = vectors[:ASKED]
+    near = few @ vectors.T
+    near[ids[: len(few), None] == ids[None, :]] = -np.inf
+    k = min(k, len(ids) - 1)
+    if k < 1:
+        return len(index.centroids)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    order = index.lists_of(few, len(index.centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
+    return int(needed[math.ceil(RECALL * len(needed)) - 1])
+
+
 @dataclass(frozen=True)
 class Scan:
     """A block of vectors, turned and cut into column blocks."""
@@ -157,7 +177,7 @@ def _sample(rows: DataFrame, count: int, most: int) -> tuple[np.ndarray, np.ndar
 
 def nearest(
     rows: DataFrame, queries: Column, k: int = 20, row_id: str = "vec_id", vector: str = "embedding",
-    probes: float = PROBES, deviations: float = DEVIATIONS, block: int = BLOCK, sample: int = SAMPLE,
+    probes: float | None = None, deviations: float = DEVIATIONS, block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that meets ``queries`` its k nearest other rows."""
     spark = rows.sparkSession
@@ -172,8 +192,9 @@ def nearest(
                                    F.coalesce(queries, F.lit(False)).alias("asks"))
     ids, vectors = _sample(able.select("id", "vector"), widest["count"], sample)
     lists = max(1, min(len(ids) // 8, math.isqrt(widest["count"]) // 2))
-    shared = spark.sparkContext.broadcast(Index.fitted(ids, vectors, lists, widest["count"] // FLOOR_SHARE))
-    visits = max(1, math.ceil(lists * probes))
+    index = Index.fitted(ids, vectors, lists, widest["count"] // FLOOR_SHARE)
+    visits = visits_for(index, ids, vectors, k) if probes is None else max(1, math.ceil(lists * probes))
+    shared = spark.sparkContext.broadcast(index)
 
     def listed(frames):
         for frame in frames:
