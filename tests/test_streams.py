@@ -87,7 +87,7 @@ def test_many_batches_leave_few_parts_and_read_little(spark, tmp_path):
         read.append(sum(p.may_hold(None if low is None else str(low), None if high is None else str(high)) for p in self.parts(table)))
         return plain(self, table, low, high)
 
-    for i in range(18):
+    for i in range(10):
         day = [(D0 + dt.timedelta(days=10 * i), t, 1.0, 2.0, 0.5, rng.uniform(1, 9), 1) for t in ("A", "B")]
         rows += day
         batch = spark.createDataFrame(day, schemas.BARS)
@@ -102,7 +102,7 @@ def test_many_batches_leave_few_parts_and_read_little(spark, tmp_path):
     assert B.read_bars(spark, kept_path).count() == len(rows)
     for path in (bars_path, rsi_path, kept_path):
         store = Store(spark, path)
-        assert len(store.parts(store.tables()[0])) <= 3 * 3 and store.version == 18
+        assert len(store.parts(store.tables()[0])) <= 3 * 3 and store.version == 10
     assert max(read) <= 1  # a new day touches no part
 
 

@@ -57,7 +57,7 @@ def test_the_second_of_two_writers_fails(spark, tmp_path):
 
 
 def test_parts_are_merged_in_tiers_and_ranges_read_few_of_them(spark, tmp_path):
-    count = 3 * FAN * FAN + 2
+    count = FAN * FAN + FAN + 1
     for i in range(count):
         store = Store(spark, str(tmp_path))
         change = store.change()
