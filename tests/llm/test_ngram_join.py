@@ -81,6 +81,34 @@ def test_linked_sets_share_a_key(monkeypatch, percent):
     assert linked or percent == 100
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_bitmaps_rule_out_no_link_and_most_others(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**62, rng.integers(5, 700))
+        for _ in range(4):
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) > 0.06], rng.integers(0, 2**62, rng.integers(0, 9))]))
+    # Every set shares one key with all others, and holds some tokens that no other has.
+    frame = J.pd.DataFrame({"key": 1, "node": np.arange(len(sets)), "n": [len(s) for s in sets], "held": [len(s) for s in sets],
+                            "bits": [J.bitmap(s) for s in sets]})
+    told = J._may_link(frame, percent)
+    label = J.united(np.arange(len(sets)), told["a"].to_numpy(), told["b"].to_numpy())
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            assert label[a] == label[b]
+    assert len(set(label.tolist())) >= 12
+
+
+@pytest.mark.parametrize("crowd", [1, 256])
+def test_clusters_hold_all_links(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(J, "KEY_TEXTS", crowd)  # with 1 every key joins all its texts
+    monkeypatch.setattr(J, "MAP_PAIRS", 7)
+    rows = list(enumerate(near_copies(9)))
+    assert pairs(J.joined(docs(*rows), words=3, percent=70).select("doc_id", "n_shingles", "component_id")) == sorted(brute(rows, 3, 70))
+
+
 def test_spanning_links_join_what_all_links_join():
     rng = np.random.default_rng(5)
     tokens = [np.unique(rng.integers(0, 30, 14)) for _ in range(60)]

@@ -13,8 +13,10 @@ tokens in one order that all texts share, two linked texts share e tokens of the
    extended by one, as partners that share no rare token must then share two frequent ones: pairs of those are keys.
    (Texts of more than ``PAIR_SIZE`` shingles take single tokens there, and those near that size take both.) Keys also
    hold the size class; two sets that can link have one in common.
-5. Texts that keys join, over any number of steps, form a cluster. Clusters are verified exactly, a batch of small ones or
-   a pair of blocks of a large one in a task, which gives out the links of a spanning forest, never all pairs.
+5. Texts that share a key are candidates, unless their sizes and bitmaps of their tokens (which bound what they share) rule a link out;
+   a key gives out a star of those it joins. Texts that candidate pairs join, over any number of steps, form a cluster. Clusters
+   are verified exactly, a batch of small ones or a pair of blocks of a large one in a task, which gives out the links of a
+   spanning forest, never all pairs.
 6. Components of those links, with the copies of each node, give every document its component.
 
 Intersections are taken on 64-bit hashes of shingles.
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickerloom.llm import bloom
 from tickerloom.llm.components import components
+from tickerloom.llm.simhash import united
 from tickerloom.llm.words import mixed, rounds, shingle_sets
 from tickerloom.llm.work import discard, lean, packed, scratch, stage
 from tickerloom.session import staged
@@ -46,6 +49,10 @@ PAIR_SIZE = 512
 BLOCK_TEXTS, BLOCK_TOKENS = 500, 1_000_000
 #: Tokens that are counted together in one task.
 CHUNK_TOKENS, BUCKET_TOKENS = 500_000, 1_000_000
+#: Bits of a set's map, pairs of maps compared in one step, and nodes of a key up to which its pairs are compared.
+MAP_BITS, MAP_PAIRS, KEY_TEXTS = 1024, 100_000, 256
+#: Rows of keys that one task compares about, and groups of keys at least.
+GROUP_ROWS, LEAST_GROUPS = 50_000, 64
 _BITS = 40
 _PLACE = np.uint64(24)
 _SHARED = -1  # stands for "several texts of this task" where a node is given
@@ -241,8 +248,51 @@ def keys_of(n: int, tokens: np.ndarray, texts: np.ndarray, percent: int) -> np.n
     return np.concatenate([mixed(out ^ np.uint64(level)), mixed(out ^ np.uint64(level + 1))])
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each of MAP_BITS shares of all tokens: set if the set holds some of the share."""
+    bits = np.zeros(MAP_BITS, dtype=np.uint8)
+    bits[mixed(tokens.view(np.uint64) + np.uint64(4)) % np.uint64(MAP_BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _may_link(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): links that join the nodes of each key as all pairs would that may be linked by size and bitmaps.
+
+    Sets differ by one token at least for each bit in which their bitmaps do, which bounds what they share.
+    """
+    frame = frame.sort_values("key", kind="stable")
+    nodes, first, place = np.unique(frame["node"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    own = frame.iloc[first]
+    bits = np.frombuffer(b"".join(own["bits"]), dtype=np.uint64).reshape(len(nodes), -1)
+    n, held = own["n"].to_numpy(np.int64), own["held"].to_numpy(np.int64)
+    keys = frame["key"].to_numpy(np.int64)
+    span = np.searchsorted(keys, keys, "right") - np.arange(len(keys)) - 1
+    label = np.arange(len(nodes))
+    todo = np.flatnonzero(span)
+    total, start = np.cumsum(span[todo]), 0
+    while start < len(todo):
+        done = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, done + MAP_PAIRS, "right")))
+        rows, count = todo[start:end], span[todo[start:end]]
+        other = np.repeat(rows + 1 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        a, b = place[np.repeat(rows, count)], place[other]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        shared = (held[a] + held[b] - differ) // 2
+        near = 100 * shared >= percent * (n[a] + n[b] - shared)
+        label = united(label, a[near], b[near])
+        start = end
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return pd.DataFrame({"a": nodes[away], "b": nodes[label[away]]})
+
+
 def clusters(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """(node, root) of nodes that keys join, over any number of steps."""
+    """(node, root) of nodes that candidate pairs join, over any number of steps.
+
+    Nodes that share a key are a candidate pair if their bitmaps do not rule a link out; those of a key with very many nodes are all
+    taken for candidates.
+    """
 
     def index(frames):
         for frame in frames:
@@ -250,11 +300,24 @@ def clusters(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
                     for n, t, c in zip(frame["n"], frame["tokens"], frame["texts"], strict=True)]
             yield pd.DataFrame({"node": frame["node"], "keys": keys})
 
+    def mapped(frames):
+        for frame in frames:
+            tokens = [np.asarray(t, dtype=np.int64) for t in frame["tokens"]]
+            yield frame[["node", "n"]].assign(held=[len(t) for t in tokens], bits=[bitmap(t) for t in tokens])
+
     rows = sets.mapInPandas(lean(index), "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
     keyed, path = stage(rows, "keys")
     least, at = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("texts"))
-                      .filter("texts > 1").select("key", "pivot"), "pivots")
-    links = keyed.join(least, "key").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+                      .filter("texts > 1").select("key", "pivot", "texts"), "pivots")
+    held, crowded = least.agg(F.sum(F.when(F.col("texts") <= KEY_TEXTS, F.col("texts"))), F.max("texts")).first()
+    maps = sets.mapInPandas(lean(mapped), "node bigint, n bigint, held int, bits binary")
+    groups = max(LEAST_GROUPS, (held or 0) // GROUP_ROWS)
+    few = keyed.join(least.filter(F.col("texts") <= KEY_TEXTS).select("key"), "key").join(maps, "node")
+    few = few.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    links = few.groupBy("group").applyInPandas(lambda frame: _may_link(frame, percent), "a bigint, b bigint")
+    if (crowded or 0) > KEY_TEXTS:
+        many = keyed.join(least.filter(F.col("texts") > KEY_TEXTS), "key")
+        links = links.unionByName(many.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     roots, kept = stage(components(links), "clusters")
     discard(sets.sparkSession, path, at)
     return roots, [kept]
