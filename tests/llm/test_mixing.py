@@ -177,3 +177,10 @@ def test_pools_hold_their_members_weights(spark, docs, monkeypatch):
     heavy, light = early.count(3.0) / 19, early.count(2.0) / 18
     assert 1.4 < heavy / light < 1.6
     assert M.mixed_rows(frame, weights, block_bytes=200).count() == 7800
+
+
+def test_blocks_are_as_long_at_any_size(spark, docs, monkeypatch):
+    monkeypatch.setattr(M, "MOST_BLOCKS", 4)
+    rows = docs(*[(i, "t" * (i % 90), None, f"s{i % 3}", 0) for i in range(300)])
+    assert M.block_size(10**15, 65536) == 65536
+    assert placed(M.schedule(rows, until_first=False, block_bytes=100)) == brute(keyed(rows), None, 100, False)
