@@ -8,7 +8,7 @@ Each stage takes the rows that the one before kept. All but the last return the
 3. ``decontamination``: rows that hold ten consecutive words of a benchmark item (or a whole shorter one) go.
 4. ``mixture``: sources are mixed to flattened shares of their bytes, in schedule order; when one runs out
    the others go on, so all rows stay.
-5. ``shards``: adds size, shard (24 of near equal bytes) and slot.
+5. ``shards``: adds size, shard (24 of near equal bytes) and slot; the slots of a shard go in the order that the mixture wrote.
 
 Cases: what each operator's module states for null, empty and very long texts, ties, repeated rows and empty tables. Any other
 columns of the documents pass all stages with their values, whatever their names; only the last stage puts its size, shard and
@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(docs, SHARDS)
+    return sharding.shard_by_bytes(docs, SHARDS, in_order=True)
 
 
 STAGES = [

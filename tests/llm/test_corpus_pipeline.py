@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from tickerloom.llm import language, registry
+from tickerloom.llm import language, mixing, registry
 from tickerloom.llm.work import stage
 
 CLASHING = ["size", "shard", "slot", "node", "lang_pred", "score", "block", "items", "_key", "_source", "_id", "_hash", "_size", "_lang",
@@ -118,3 +118,14 @@ def test_language_stage_keeps_lettered_rows_without_a_usable_label(spark, folder
     rows = docs(*[(i, f"some words {i}") for i in range(20)], (21, "%%% 123"), (22, None))
     rows = rows.withColumn("lang", F.lit(label).cast("string"))
     assert {r.doc_id for r in P.languages(spark, rows, folder).collect()} == set(range(20))
+
+
+def test_shards_keep_the_order_of_the_mixture(spark, folder, docs):
+    rows = docs(*[(i, f"{i} " + "t" * 9_000, "en", "big" if i % 8 else f"s{i % 3}", 0) for i in range(400)])
+    slots = {r.doc_id: r.slot for r in mixing.schedule(rows, until_first=False).collect()}
+    mixed, _ = stage(P.mixture(spark, rows, folder), "mixed")
+    got = {}
+    for r in sorted(P.shards(spark, mixed, folder).collect(), key=lambda r: (r.shard, r.slot)):
+        got.setdefault(r.shard, []).append(slots[r.doc_id])
+        assert r.slot == len(got[r.shard]) - 1
+    assert all(own == sorted(own) for own in got.values()) and len(set(slots.values())) > 40 and len(got) == 24

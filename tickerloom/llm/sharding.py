@@ -19,7 +19,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickerloom.llm.work import blocks, packed, running, scratch, stage
+from tickerloom.llm.work import BLOCK_ROWS, blocks, packed, running, scratch, stage
 
 ROW_BYTES = 8
 PROBES = 64
@@ -116,19 +116,31 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
     return at
 
 
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """The number of a row's file (files are numbered in the order of the tasks that wrote them) and its place in the file."""
+    at = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint")), F.coalesce(at["row_index"], F.lit(0).cast("bigint"))
+
+
 def shard_by_bytes(
-    docs: DataFrame, shards: int = 24, text: str = "text", row_id: str = "doc_id", tolerance: float = TOLERANCE
+    docs: DataFrame, shards: int = 24, text: str = "text", row_id: str = "doc_id", tolerance: float = TOLERANCE, in_order: bool = False
 ) -> DataFrame:
     """The rows with size (long), shard (0 to ``shards - 1``) and slot (gapless from 0 within a shard).
 
-    Columns of these names are replaced; any others stay.
+    Slots go by the hashes, or with ``in_order`` by the rows' places in the files that ``docs`` is read from, so that a table written
+    in an order keeps it within each shard. Columns of the results' names are replaced; any others stay.
     """
+    file, line = _place(docs) if in_order else (F.lit(0).cast("bigint"),) * 2
     plain = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(packed(docs, ("size", "shard", "slot")), _hash(plain).alias("_key"),
-                        _hash(F.col(row_id), plain).alias("_tie"), size_of(text).alias("_size"))
+                        _hash(F.col(row_id), plain).alias("_tie"), size_of(text).alias("_size"), file.alias("_file"), line.alias("_line"))
     with scratch(docs.sparkSession):
         keys, _ = stage(keyed.select("_key", "_tie", "_size"), "shard-keys")
         bounds, count = splitters(keys, shards, tolerance), keys.count()
-    rows = keyed.withColumns({"shard": shard_of(bounds), "_block": blocks(F.col("_tie"), count // shards)})
-    placed = running(rows, "shard", ["_tie", "_key"], "_block", "slot", F.lit(1).cast("bigint"))
+    # Of a file, as many rows a block as leave each shard about BLOCK_ROWS of them.
+    of_file = F.col("_file") * F.lit(2**32) + F.expr(f"_line div {BLOCK_ROWS * shards}L")
+    block = of_file if in_order else blocks(F.col("_tie"), count // shards)
+    rows = keyed.withColumns({"shard": shard_of(bounds), "_block": block})
+    placed = running(rows, "shard", ["_line", "_tie", "_key"] if in_order else ["_tie", "_key"], "_block", "slot", F.lit(1).cast("bigint"))
     return placed.select("row.*", F.col("_size").alias("size"), "shard", "slot")
