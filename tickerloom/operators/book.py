@@ -36,7 +36,7 @@ class Book:
             for name, rows in tables.items():
                 change.replace(name, log_rows(rows) if name == "transactions" else rows)
             if "transactions" in tables:
-                log = log_rows(tables["transactions"])
+                log = change.read("transactions")  # as written: what made it is not run again
                 change.replace(HELD, deltas(log, None, log, 0))
             change.commit()
         return store.version
@@ -64,12 +64,16 @@ class Book:
             if rows is not None:
                 change.replace(name, rows) if name != "users" else change.append(name, rows)
         if done.transactions is not None:
+            logged = done.logged
             if done.retracted is None:
-                change.append("transactions", done.logged)
-                change.merge("transactions")
+                logged = change.append("transactions", logged)
+                log = logged  # not read
             else:
                 change.replace("transactions", done.transactions)
-            change.append(HELD, deltas(done.logged, done.retracted, done.transactions, store.version))
+                log = change.read("transactions")
+            change.append(HELD, deltas(logged, done.retracted, log, store.version))
+            if done.retracted is None:
+                change.merge("transactions")
             change.merge(HELD, folded)
         if done.rejects is not None:
             told = done.rejects.select(
