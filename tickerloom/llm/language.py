@@ -184,14 +184,18 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", row_id: str =
     """Learns from the labelled rows that are not held out."""
     rows = training_rows(docs, text, label, row_id, per_language)
     counts = rows.mapInPandas(lean(_counted), "size int, key bigint, lang string, n bigint")
-    summed = counts.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(summed["lang"].unique())
+    # As Arrow columns: an object a value would take many times their bytes on the driver.
+    summed = counts.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
+    sizes, hashes, times = (summed[c].to_numpy() for c in ("size", "key", "n"))
+    named = summed["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(named.dictionary.to_pylist())
+    of = np.array([languages.index(x) for x in named.dictionary.to_pylist()], dtype=np.int64)[named.indices.to_numpy(zero_copy_only=False)]
     tables = {}
     for size in range(LONGEST + 1):
-        own = summed[summed["size"] == size]
-        keys, place = np.unique(own["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        own = sizes == size
+        keys, place = np.unique(hashes[own].astype(np.int64).view(np.uint64), return_inverse=True)
         table = np.zeros((len(keys), len(languages)))
-        table[place, np.searchsorted(languages, own["lang"].to_numpy(str))] = own["n"].to_numpy()
+        table[place, of[own]] = times[own]
         if size == 0:  # words seen once are left to their n-grams
             often = table.sum(axis=1) > 1
             keys, table = keys[often], table[often]
