@@ -27,14 +27,27 @@ _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+|\d+")
 def features(text: str | None, bits: int) -> tuple[np.ndarray, float]:
     """The places of a text's features (ascending, each once) and the value that all of them have."""
     words = _TOKEN.findall((text or "").lower())
-    grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-    places = np.unique(np.fromiter((zlib.crc32(g.encode()) & ((1 << bits) - 1) for g in grams), np.int64, len(grams)))
-    return places, 1 / np.sqrt(len(places)) if len(places) else 0.0
-
-
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(r) for r in rows], dtype=np.int64)
-    return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
+    own = {w: zlib.crc32(w.encode()) for w in set(words)}
+    # A pair's checksum ("a b") goes on from that of its first word.
+    tails = {w: f" {w}".encode() for w in own}
+    pairs = map(zlib.crc32, [tails[w] for w in words[1:]], [own[w] for w in words])
+    places = np.array([*own.values(), *pairs], np.uint32) & np.uint32((1 << bits) - 1)
+    places.sort()
+    places = places[np.r_[True, places[1:] != places[:-1]]] if len(places) else places
+    return places, float(_scale(len(places)))
+
+
+def _scale(sizes):
+    """The value of each feature of titles that have so many."""
+    return np.where(np.asarray(sizes) > 0, 1 / np.sqrt(np.maximum(sizes, 1)), 0.0)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs that follow each other; empty ones give 0."""
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 @dataclass(frozen=True)
@@ -43,15 +56,14 @@ class Model:
     weights: np.ndarray  # a row for each place, a column for each class
     base: np.ndarray
 
-    def logits(self, places: list[np.ndarray], values: np.ndarray) -> np.ndarray:
-        flat, of = _flat(places)
-        out = np.tile(self.base, (len(places), 1))
-        np.add.at(out, of, self.weights[flat] * values[of][:, None])
-        return out
+    def logits(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of titles whose places follow each other in ``flat``, so many for each."""
+        own = np.ascontiguousarray(self.weights.T)
+        return np.stack([_sums(w[flat], sizes) for w in own], axis=1) * _scale(sizes)[:, None] + self.base
 
     def score(self, texts: list[str]) -> np.ndarray:
-        found = [features(t, self.bits) for t in texts]
-        return self.logits([p for p, _ in found], np.array([v for _, v in found]))
+        found = [features(t, self.bits)[0] for t in texts]
+        return self.logits(np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(p) for p in found], np.int64))
 
 
 def _odds(logits: np.ndarray) -> np.ndarray:
@@ -59,6 +71,10 @@ def _odds(logits: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
+def _packed(bits: int) -> np.dtype:
+    return np.dtype("<u2" if bits <= 16 else "<u4")
+
+
 def _gradient(rows: DataFrame, model: Model, weights: np.ndarray) -> pd.DataFrame:
     """Sums by place (-1 for the classes' own weights)."""
     shared = rows.sparkSession.sparkContext.broadcast((model, weights))
@@ -67,20 +83,21 @@ def _gradient(rows: DataFrame, model: Model, weights: np.ndarray) -> pd.DataFram
         model, weights = shared.value
         total, base = np.zeros((1 << model.bits, CLASSES)), np.zeros(CLASSES)
         for frame in frames:
-            places = frame["places"].tolist()
-            values, label = frame["value"].to_numpy(), frame["label"].to_numpy()
-            wrong = _odds(model.logits(places, values))
+            flat = np.frombuffer(b"".join(frame["places"]), _packed(model.bits))
+            sizes, label = frame["size"].to_numpy(), frame["label"].to_numpy()
+            wrong = _odds(model.logits(flat, sizes))
             wrong[np.arange(len(label)), label] -= 1
             wrong *= weights[label][:, None]
-            flat, of = _flat(places)
-            np.add.at(total, flat, wrong[of] * values[of][:, None])
             base += wrong.sum(axis=0)
+            wrong *= _scale(sizes)[:, None]
+            for c in range(CLASSES):
+                total[:, c] += np.bincount(flat, np.repeat(wrong[:, c], sizes), len(total))
         held = np.flatnonzero(np.abs(total).sum(axis=1))
         out = np.vstack([total[held], base])
         yield pd.DataFrame({"place": np.r_[held, -1], **{f"g{c}": out[:, c] for c in range(CLASSES)}})
 
     told = rows.mapInPandas(sums, "place bigint, " + ", ".join(f"g{c} double" for c in range(CLASSES)))
-    out = told.groupBy("place").agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in range(CLASSES)]).toPandas()
+    out = told.groupBy("place").agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in range(CLASSES)]).toArrow().to_pandas()
     shared.unpersist()
     return out
 
@@ -90,11 +107,11 @@ def fit(titles: DataFrame, text: str = "Title", label: str = "label", bits: int
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [features(t, bits) for t in frame["text"]]
-            yield pd.DataFrame({"label": frame["label"], "places": [p for p, _ in found], "value": [v for _, v in found]})
+            found = [features(t, bits)[0].astype(_packed(bits)) for t in frame["text"]]
+            yield pd.DataFrame({"label": frame["label"], "places": [p.tobytes() for p in found], "size": [len(p) for p in found]})
 
     given = titles.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter(F.col("label").between(0, CLASSES - 1))
-    rows, path = staged(given.mapInPandas(cut, "label int, places array<bigint>, value double"), "title-features")
+    rows, path = staged(given.mapInPandas(cut, "label int, places binary, size bigint"), "title-features")
     counts = np.zeros(CLASSES)
     for r in rows.groupBy("label").count().collect():
         counts[r[0]] = r[1]
