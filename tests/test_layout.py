@@ -1,5 +1,6 @@
 import datetime as dt
 
+import __spark_entry__  # noqa: F401  registers the queries
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,10 @@ from tickerloom.operators import aggregates as A
 from tickerloom.operators.filters import trailing_days
 from tickerloom.operators.joins import orders_with_seller
 from tickerloom.sources import layout as L
+from tickerloom.session import LEDGER_SETTINGS
 from tickerloom.sources.versions import Store
+from tickerloom.testbed.registry import QUERIES
+from tickerloom.testbed.views import Views
 
 D0 = dt.date(2024, 1, 1)
 
@@ -94,3 +98,28 @@ def test_another_session_opens_the_table(spark, tables):
     assert rows(again) == rows(plain["users"])
     assert "Exchange" not in plan(again.groupBy("user_id").count())
     other.sql("DROP TABLE opened_users")
+
+
+def line_items(spark, folder, orders=300, lines=6000):
+    spark.range(orders).select(F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey")).write.parquet(f"{folder}/orders.parquet")
+    spark.range(lines).select(
+        (F.col("id") % orders).alias("l_orderkey"), (F.col("id") * 7 % 211).alias("l_partkey"), (F.col("id") % 11).alias("l_suppkey"),
+        (F.col("id") % 5).cast("int").alias("l_linenumber"), (F.col("id") % 9 + 1).cast("double").alias("l_quantity"),
+        F.lit(12.5).alias("l_extendedprice"), F.lit("N").alias("l_returnflag"), F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("l_linestatus"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_a_longer_log_is_summed_in_more_parts(spark, tmp_path, monkeypatch):
+    line_items(spark, tmp_path)
+    spark.range(211).select(F.col("id").alias("p_partkey"), F.lit(2.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    size = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    for name, value in size.items():
+        monkeypatch.setitem(LEDGER_SETTINGS, name, value)
+    try:
+        assert len(QUERIES["a9_portfolio_total"](spark, str(tmp_path)).collect()) == 90  # applies the settings
+        log = Views(spark, str(tmp_path)).transactions()
+        short, whole = (A.held_per_price(tx).rdd.getNumPartitions() for tx in (log.filter("line = 0"), log))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) < whole and 3 * short < whole
+    finally:
+        for name in (*size, *LEDGER_SETTINGS):
+            spark.conf.unset(name)

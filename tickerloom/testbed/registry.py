@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickerloom.session import configure
+from tickerloom.session import LEDGER_SETTINGS, configure
 from tickerloom.testbed.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ def query(name: str, views: str = "", sql: str | None = None):
 
     def add(fn: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return portable(fn(Views(configure(spark), folder)))
+            return portable(fn(Views(configure(spark, **LEDGER_SETTINGS), folder)))
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
