@@ -109,6 +109,17 @@ def line_items(spark, folder, orders=300, lines=6000):
         F.lit(dt.datetime(2024, 1, 1)).alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
 
 
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    assert [L.buckets_for(*n) for n in ((0,), (3, 8_000_000), (8_000_001, 5), (216_000_000,))] == [16, 16, 17, 432]
+    monkeypatch.setattr(L, "BUCKET_ROWS", 200)
+    line_items(spark, tmp_path)
+    made, save = [], L.save_by_user
+    monkeypatch.setattr(L, "save_by_user", lambda rows, name, path, buckets: made.append(buckets) or save(rows, name, path, buckets))
+    got = QUERIES["a2_holdings_laid_out"](spark, str(tmp_path))
+    assert made == [30] and "Exchange" not in plan(got)
+    assert rows(got) == rows(QUERIES["a2_holdings"](spark, str(tmp_path)).select(got.columns))
+
+
 def test_a_longer_log_is_summed_in_more_parts(spark, tmp_path, monkeypatch):
     line_items(spark, tmp_path)
     spark.range(211).select(F.col("id").alias("p_partkey"), F.lit(2.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.sources.versions import Store
 
+#: Rows of a bucket, on average.
+BUCKET_ROWS = 500_000
+
 
 def load_by_day(store: Store, table: str, rows: DataFrame, date: str = "Date", ranges: int = 64) -> int:
     """Adds rows so that a file holds a range of days, which the manifest tells."""
@@ -32,6 +35,11 @@ def on_last_day(store: Store, table: str) -> DataFrame:
     return trailing_days(store, table, 0)
 
 
+def buckets_for(*counts: int, least: int = 16) -> int:
+    """Buckets for tables that are joined or summed together, of so many rows each: a task reads one bucket, and must hold it."""
+    return max(least, -(-max(counts) // BUCKET_ROWS))
+
+
 def save_by_user(rows: DataFrame, name: str, path: str, buckets: int = 64, key: str = "user_id") -> DataFrame:
     """Writes a table in buckets of users, one sorted file each.
 

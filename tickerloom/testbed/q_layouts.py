@@ -13,7 +13,7 @@ from tickerloom.testbed.q_groups import HOLDINGS_SQL
 from tickerloom.testbed.registry import day, query, rounded
 
 
-def _by_user(v, rows, buckets: int = 16):
+def _by_user(v, rows, buckets: int):
     name = f"by_user_{uuid.uuid4().hex}"
     return layout.save_by_user(rows, name, work_path(v.spark, name), buckets)
 
@@ -28,10 +28,12 @@ def _(v):
 
 @query("j4_orders_laid_out", "p2p_orders users", "SELECT order_id, user_id, name AS user_name, email FROM p2p_orders JOIN users USING (user_id)")
 def _(v):
-    orders, users = _by_user(v, v.p2p_orders().drop("transaction_id")), _by_user(v, v.users())
+    buckets = layout.buckets_for(v.p2p_orders().count(), v.users().count())
+    orders, users = _by_user(v, v.p2p_orders().drop("transaction_id"), buckets), _by_user(v, v.users(), buckets)
     return J.orders_with_seller(orders, users).select("order_id", "user_id", "user_name", "email")
 
 
 @query("a2_holdings_laid_out", "transactions", HOLDINGS_SQL)
 def _(v):
-    return A.holdings(_by_user(v, v.transactions()), "user_id", "crypto_price_id")
+    # Each line is a transaction; counting lines reads no data.
+    return A.holdings(_by_user(v, v.transactions(), layout.buckets_for(v._table("lineitem").count())), "user_id", "crypto_price_id")
