@@ -177,3 +177,38 @@ def test_another_close_of_the_newest_day_is_given_out_as_late(spark, tmp_path):
     parts = [spark.createDataFrame([(day, "A", 1.0, 2.0, 0.5, c, 1)], schemas.BARS) for c in closes]
     got = streamed(spark, tmp_path, parts, B.stream_rsi, B.RATED).collect()
     assert [(r.Date, r.Close, r.RSI, r.late) for r in got] == [(day, 150.0, None, True)] * 2
+
+
+class HeldForMany(Held):
+    def getValue(self, key):
+        return self.values.get(key)
+
+
+def test_a_group_of_tickers_is_revised_at_once(monkeypatch):
+    monkeypatch.setattr(R, "ROWS_IN", 70)
+    given = {t: random_bars(seed, 60) for seed, t in enumerate(["A", None, "", "B"])}
+    dealt = sorted(((t, *row) for t, rows in given.items() for row in rows), key=lambda r: (r[1], r[2:4]))
+    for slide in (None, 1, 7):
+        own = R._Grouped(14, slide)
+        own.months, own.index = HeldForMany(), HeldForMany()
+        frames = [pd.DataFrame(dealt[i : i + 40], columns=["Ticker", "Date", *R.FIELDS]) for i in range(0, len(dealt), 40)]
+        told = list(own.handleInputRows((5,), iter(frames), None))
+        assert len(told) <= -(-len(frames) // 2)  # a frame for two of the given ones, not one for each ticker
+        got = {(t, r[0 if slide else 1]): tuple(r) for f in told for t, r in zip(f["Ticker"], f.itertuples(index=False))}
+        for t, rows in given.items():
+            alone = processor(slide)
+            at = [[row for tt, *row in dealt[i : i + 80] if tt == t] for i in range(0, len(dealt), 80)]
+            out = [f for part in at for f in alone.handleInputRows((t,), iter([frame(part)]), None)]
+            want = {r[0 if slide else 1]: tuple(r) for f in out for r in f.itertuples(index=False)}
+            assert {k: str(v) for (tt, k), v in got.items() if tt is t or tt == t} == {k: str(v) for k, v in want.items()} and want
+
+
+def test_a_stream_takes_bars_without_a_ticker(spark, tmp_path):
+    bars = table(spark).withColumn("Ticker", F.when(F.col("Ticker") == "A", F.col("Ticker")))
+    for i in range(2):
+        bars.filter(F.pmod(F.xxhash64("Date", "Close"), F.lit(2)) == i).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "in"))
+        B.drain(R.revised_weeks(stream, 7), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = R.newest(spark.read.schema(R.WEEKS).parquet(str(tmp_path / "out")), "Ticker", "week_start").drop("overbought", "oversold")
+    want = B.weekly_range(unique_bars(bars))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.filter("Ticker IS NULL").count()

@@ -1,6 +1,7 @@
 """Bars in any order, late and corrected ones too, as streams of revised results.
 
 State is kept by ticker and month: a batch reads the months of its own days and their neighbours, however long a ticker's history is.
+Tickers are dealt to groups, so that what a call costs (rows and results that cross to Python and back) is shared by a group's tickers.
 Every change gives out what it changes, as rows with a rising ``revision``: an RSI that is new, corrected or (NULL) taken back, a
 week's range. Of each (ticker, day) or (ticker, week) the row of the greatest revision counts (:func:`newest`), and those rows are
 what the batch forms give for all bars so far, whatever their order and split into batches. Of differing bars of a day the greatest
@@ -13,6 +14,7 @@ import datetime as dt
 import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 FIELDS = ("Open", "High", "Low", "Close", "Volume")
 _DAY_ZERO, _WEEK = dt.date(1970, 1, 1), 7
 _HIGH, _LOW, _CLOSE, _RSI = 1, 2, 3, 5  # places in a day's values
+#: Groups of tickers; rows of a group that are taken up at once, and results that are given out at once.
+GROUPS, ROWS_IN, ROWS_OUT = 1024, 100_000, 50_000
 
 
 class History:
@@ -35,17 +39,19 @@ class History:
 
     def __init__(self, months, index):
         self._months, self._index, self._loaded, self._touched = months, index, {}, set()
-        known = index.get() if index.exists() else None
+        known = index.get()
         self.months, self.revision = (json.loads(known[0]), int(known[1])) if known else ([], 0)
+        self._kept = set(self.months)
 
     @staticmethod
+    @lru_cache(4096)
     def month_of(day: int) -> int:
         date = _DAY_ZERO + dt.timedelta(days=day)
         return date.year * 12 + date.month
 
     def days(self, month: int) -> dict[int, list]:
         if month not in self._loaded:
-            held = self._months.getValue((month,)) if self._months.containsKey((month,)) else None
+            held = self._months.getValue((month,)) if month in self._kept else None
             self._loaded[month] = {day: values for day, *values in json.loads(held[0])} if held else {}
         return self._loaded[month]
 
@@ -87,6 +93,25 @@ class History:
         self._index.update((json.dumps(self.months), self.revision))
 
 
+class _Own:
+    """What maps over many tickers hold for one: as a map by the rest of the key, or as a value."""
+
+    def __init__(self, held, ticker: str | None):
+        self._held, self._key = held, (ticker or "", ticker is not None)  # a key holds no null
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self._held.getValue((*self._key, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._held.updateValue((*self._key, *key), value)
+
+    def get(self) -> tuple | None:
+        return self.getValue(())
+
+    def update(self, value: tuple) -> None:
+        self.updateValue((), value)
+
+
 def _plain(value):
     return None if value is None or value != value else float(value)
 
@@ -96,12 +121,13 @@ def _order(values: list) -> tuple:
     return tuple((v is not None, v or 0.0) for v in values[: len(FIELDS)])
 
 
-def take(history: History, rows: Iterator[pd.DataFrame]) -> set[int]:
+def take(history: History, rows: Iterator[pd.DataFrame | dict]) -> set[int]:
     """Adds bars; the days that are new or have another bar now."""
     changed = set()
     for frame in rows:
         for date, *fields in zip(frame["Date"], *[frame[f] for f in FIELDS], strict=True):
-            day, values = (pd.Timestamp(date).date() - _DAY_ZERO).days, [_plain(v) for v in fields]
+            date = date if type(date) is dt.date else pd.Timestamp(date).date()
+            day, values = (date - _DAY_ZERO).days, [_plain(v) for v in fields]
             known = history.get(day)
             if known is None or _order(values) > _order(known):
                 history.put(day, [*values, known[_RSI] if known else None])
@@ -174,6 +200,8 @@ def weeks(history: History, days: set[int], slide: int) -> list[tuple]:
 
 
 class _Revised(StatefulProcessor):
+    """One ticker a call."""
+
     def __init__(self, period: int, slide: int | None):
         self.period, self.slide = period, slide
 
@@ -182,39 +210,83 @@ class _Revised(StatefulProcessor):
         self.index = handle.getValueState("index", "months string, revision bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        history = History(self.months, self.index)
+        out = self._revised(key[0], History(self.months, self.index), rows)
+        if out is not None:
+            yield self._frame(out)
+
+    def _revised(self, ticker: str | None, history: History, rows: Iterator) -> list[tuple] | None:
+        """What the rows change; None if nothing."""
         changed = take(history, rows)
         if not changed:
-            return
+            return None
         rated = rate(history, changed, self.period)
         history.revision += 1
-        yield self._rows(key[0], history, changed, rated) if self.slide is None else self._weeks(key[0], history, changed | set(rated))
         history.save()
+        return self._rows(ticker, history, changed, rated) if self.slide is None else self._weeks(ticker, history, changed | set(rated))
 
-    def _rows(self, ticker: str, history: History, changed: set[int], rated: dict[int, float | None]) -> pd.DataFrame:
+    def _rows(self, ticker: str | None, history: History, changed: set[int], rated: dict[int, float | None]) -> list[tuple]:
         out = []
         for day in sorted(changed | set(rated)):
             values = history.get(day)
             # A bar that has no RSI and had none says nothing.
             if values[_RSI] is not None or rated.get(day) is not None:
                 out.append((ticker, _DAY_ZERO + dt.timedelta(days=day), values[_CLOSE], values[_RSI], history.revision))
-        return pd.DataFrame(out, columns=["Ticker", "Date", "Close", "RSI", "revision"], dtype=object)
+        return out
+
+    def _weeks(self, ticker: str | None, history: History, days: set[int]) -> list[tuple]:
+        return [(s, ticker, *rest, history.revision) for s, *rest in weeks(history, days, self.slide)]
 
-    def _weeks(self, ticker: str, history: History, days: set[int]) -> pd.DataFrame:
-        own = weeks(history, days, self.slide)
-        out = [(pd.Timestamp(_DAY_ZERO + dt.timedelta(days=s)), ticker, *rest, history.revision) for s, *rest in own]
-        frame = pd.DataFrame(out, columns=["week_start", "Ticker", "high", "low", "bars", "overbought", "oversold", "revision"])
-        return frame.astype({"week_start": "datetime64[ns]", "high": "float64", "low": "float64"})
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        if self.slide is None:
+            return pd.DataFrame(rows, columns=["Ticker", "Date", "Close", "RSI", "revision"], dtype=object)
+        frame = pd.DataFrame(rows, columns=["week_start", "Ticker", "high", "low", "bars", "overbought", "oversold", "revision"])
+        starts = frame["week_start"].to_numpy("int64").astype("datetime64[D]").astype("datetime64[ns]")
+        return frame.assign(week_start=starts).astype({"high": "float64", "low": "float64"})
 
     def close(self) -> None:
         pass
 
 
+class _Grouped(_Revised):
+    """A group of tickers a call: a ticker's rows are taken up together as far as they come within ``ROWS_IN`` rows."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.months = handle.getMapState("months", "ticker string, named boolean, month int", "days string")
+        self.index = handle.getMapState("index", "ticker string, named boolean", "months string, revision bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in rows:
+            held.append(frame)
+            size += len(frame)
+            if size >= ROWS_IN:
+                yield from self._given(pd.concat(held))
+                held, size = [], 0
+        if held:
+            yield from self._given(pd.concat(held))
+
+    def _given(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        of, tickers = pd.factorize(frame["Ticker"], use_na_sentinel=False)
+        order = np.argsort(of, kind="stable")
+        columns = {c: frame[c].to_numpy()[order].tolist() for c in ("Date", *FIELDS)}
+        ends, out = np.cumsum(np.bincount(of, minlength=len(tickers))).tolist(), []
+        for ticker, first, last in zip(tickers, [0, *ends], ends):
+            ticker = None if pd.isna(ticker) else ticker
+            history = History(_Own(self.months, ticker), _Own(self.index, ticker))
+            out += self._revised(ticker, history, iter([{c: v[first:last] for c, v in columns.items()}])) or []
+            if len(out) >= ROWS_OUT:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+
+
 def _revised(stream: DataFrame, schema: str, period: int, slide: int | None) -> DataFrame:
     # State by (ticker, month) needs the store that keeps maps.
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE)
     rows = stream.select("Ticker", "Date", *[F.col(f).cast("double").alias(f) for f in FIELDS])
-    return rows.groupBy("Ticker").transformWithStateInPandas(_Revised(period, slide), schema, "Append", "None")
+    grouped = rows.withColumn("bucket", F.pmod(F.xxhash64("Ticker"), F.lit(GROUPS))).groupBy("bucket")
+    return grouped.transformWithStateInPandas(_Grouped(period, slide), schema, "Append", "None")
 
 
 def revised_rsi(stream: DataFrame, period: int = 14) -> DataFrame:
