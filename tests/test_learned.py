@@ -1,5 +1,6 @@
 import os
 import random
+import re
 import zlib
 
 import __spark_entry__ as entry
@@ -78,6 +79,45 @@ def test_cases(spark):
     assert [r.l for r in got] == [[0.0, 0.0, 0.0]] * 3
 
 
+ODD = ["", " ", "one", "a a a a", "Größe STRASSE 日本語 3.5 %% — İ", "😀 up 😀 up", "a1b2 c", "x" * 23 + " " + "y" * 24 + " " + "z" * 25 + "é" * 90, None]
+
+
+@pytest.mark.parametrize("bits", [8, 16, 20])
+def test_places_are_checksums_of_words_and_pairs(bits, monkeypatch):
+    def plain(text):
+        words = re.findall(r"[^\W\d_]+|[^\w\s]+|\d+", (text or "").lower())
+        return sorted({zlib.crc32(f.encode()) % (1 << bits) for f in [*words, *map(" ".join, zip(words, words[1:]))]})
+
+    texts = [*ODD, *(t for t, _ in titles(5, 50)), "", "end"]
+    assert [L.features(t, bits)[0].tolist() for t in texts] == [plain(t) for t in texts]
+    monkeypatch.setattr(L, "BLOCK", 20)
+    model = L.Model(bits, np.random.default_rng(1).random((1 << bits, 3)), np.arange(3.0))
+    want = [model.weights[plain(t)].sum(axis=0) / max(len(plain(t)), 1) ** 0.5 + model.base for t in texts]
+    assert np.allclose(model.score(texts), want)
+
+
+def test_titles_are_kept_in_blocks_of_a_class(spark, monkeypatch):
+    kept, staged = [], L.staged
+    monkeypatch.setattr(L, "staged", lambda df, name: kept.append(staged(df, name)) or kept[0])
+    monkeypatch.setattr(L, "discard", lambda *_: None)
+    rows = [*titles(4, 600), ("", 0), ("", 0)]
+    L.fit(frame(spark, rows), rounds=1)
+    blocks = kept[0][0].collect()
+    assert len(blocks) <= 9  # three tasks, three classes
+    assert all(sum(b.titles for b in blocks if b.label == c) == sum(r[1] == c for r in rows) for c in range(3))
+
+
+def test_query_deals_the_texts_of_one_row_group_to_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{('good', 'bad')[i % 2]} {rng.getrandbits(40):x}" for _ in range(6_000)), i % 2) for i in range(48)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1 - r[2], 0) for r in rows], "doc_id long, quality long, toxic long").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    scored = entry.queries()["u4_learned_scorer"](spark, str(tmp_path))
+    got = scored.withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in got}) > 1
+    assert all((r.score > 0) == (r.label == 2) for r in got if not r.held_out)
+
+
 def test_query_beats_the_lists_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
