@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom.operators.balances import balance, deltas, folded, held
 from tickerloom.operators.ledger import Outcome, log_rows
+from tickerloom.session import stage
 from tickerloom.sources.versions import Store
 
 REJECTS, HELD = "rejects", "held"
@@ -57,6 +58,8 @@ class Book:
         store = self.store()
         if store.applied(source) >= number:
             return False
+        if prepared := getattr(operator, "prepared", None):
+            requests = stage(prepared(requests), "requests")
         done = operator(*[store.read(t) for t in tables], requests)
         change = store.change()
         for name in ("wallet", "orders", "users"):
