@@ -184,3 +184,13 @@ def test_blocks_are_as_long_at_any_size(spark, docs, monkeypatch):
     rows = docs(*[(i, "t" * (i % 90), None, f"s{i % 3}", 0) for i in range(300)])
     assert M.block_size(10**15, 65536) == 65536
     assert placed(M.schedule(rows, until_first=False, block_bytes=100)) == brute(keyed(rows), None, 100, False)
+
+
+def test_every_source_has_its_own_schedule(spark, docs):
+    """More sources than a table of pools once took, each in the slots of its own blocks."""
+    weights = {f"s{i}": float(1 + i % 3) for i in range(2100)}
+    rows = docs(*[(i, "t" * 92, None, f"s{i % 2100}", 0) for i in range(3000)])
+    plan = M.planned(weights, {s: 2 if int(s[1:]) < 900 else 1 for s in weights}, until_first=False)
+    got = M.schedule(rows, weights, block_bytes=100, until_first=False).collect()
+    assert len(got) == 3000 and all(r.slot == plan[r.source].slots[r.block] for r in got)
+    assert sorted(r.slot for r in got) == list(range(3000))
