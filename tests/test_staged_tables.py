@@ -66,3 +66,10 @@ def test_list_or_buy_in_parts(spark, monkeypatch):
     monkeypatch.setattr(session, "PART_ROWS", 20)
     there = left(spark, lambda: ledger.test_list_or_buy_equals_one_by_one(spark, 1))
     assert set(there) == {"requests", "accepted-rows", "listed-last", "completed-rows"}
+
+
+@pytest.mark.parametrize("size", [None, 7])
+def test_swaps_in_parts(spark, monkeypatch, size):
+    monkeypatch.setattr(session, "PART_ROWS", 20)
+    there = left(spark, lambda: ledger.test_swaps_equal_one_by_one(spark, monkeypatch, 1, size))
+    assert set(there) == {"swapped", "unswapped"}

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickerloom.session import stage
+from tickerloom.session import discard, stage, staged
 
 CHUNK = "_chunk"
 
@@ -21,8 +21,12 @@ def range_chunks(df: DataFrame, key: list[str], order: list[str], parts: int | N
 
     ``order`` must be total within a key. The numbers are stored, so every later reader sees the same ranges.
     """
+    return stage(_ranges(df, key, order, parts), "chunks")
+
+
+def _ranges(df: DataFrame, key: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     args = ([parts] if parts else []) + [F.col(c).asc_nulls_first() for c in (*key, *order)]
-    return stage(df.repartitionByRange(*args).withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    return df.repartitionByRange(*args).withColumn(CHUNK, F.spark_partition_id())
 
 
 def running_totals(
@@ -54,6 +58,14 @@ def rank_in_key(df: DataFrame, key: list[str], order: list[str], name: str = "ra
     return running_totals(chunks, key, order, {name: F.lit(1).cast("bigint")}).drop(CHUNK)
 
 
+def staged_ranks(df: DataFrame, key: list[str], order: list[str], name: str) -> tuple[DataFrame, str]:
+    """As :func:`rank_in_key`, written; and its path. Nothing else stays behind."""
+    chunks, path = staged(_ranges(df, key, order), "chunks")
+    ranked = staged(running_totals(chunks, key, order, {name: F.lit(1).cast("bigint")}).drop(CHUNK), "ranks")
+    discard(df.sparkSession, path)
+    return ranked
+
+
 def with_previous_rows(chunks: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
     """Copies into each range the ``n`` rows of the same key that precede it, marked ``_halo``.
 

@@ -16,8 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tickerloom.operators.ordered import rank_in_key, union_all
-from tickerloom.session import discard, staged
+from tickerloom.operators.ordered import staged_ranks, union_all
+from tickerloom.session import discard, staged, staged_parts
 
 #: Buys and requests of a user who is followed whole, at most, and requests of a slice of any other.
 USER_ROWS, SLICE = 100_000, 50_000
@@ -39,19 +39,22 @@ def _named(requests: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, rows
 
 
-def matched_in_turn(requests: DataFrame, held: DataFrame) -> DataFrame:
-    """(request_id, transaction_id) of requests (user_id, request_ts, request_id, from_coin, to_coin) on the users' buy rows."""
+def matched_in_turn(requests: DataFrame, held: DataFrame) -> tuple[DataFrame, str]:
+    """(request_id, transaction_id) of requests (user_id, request_ts, request_id, from_coin, to_coin) on the users' buy rows, and the
+    path of the table that holds them."""
     requests, at_requests = staged(requests.select("user_id", "request_ts", "request_id", "from_coin", "to_coin"), "swaps-asked")
     held, at_held = staged(held, "swaps-held")
     sizes = requests.select("user_id").unionByName(held.select("user_id")).groupBy("user_id").count()
     great, at_great = staged(sizes.filter(F.col("count") > USER_ROWS).select("user_id"), "great-users")
-    parts = [_whole(*_named(requests.join(great, "user_id", "left_anti"), held.join(great, "user_id", "left_anti")))]
+    parts, steps = [_whole(*_named(requests.join(great, "user_id", "left_anti"), held.join(great, "user_id", "left_anti")))], []
     if not great.isEmpty():
-        parts.append(_in_slices(*_named(requests.join(great, "user_id", "left_semi"), held.join(great, "user_id", "left_semi"))))
-    told, _ = staged(union_all(parts), "swaps-told")
-    discard(told.sparkSession, at_requests, at_held, at_great)
-    return told.select(F.col("request").cast(requests.schema["request_id"].dataType).alias("request_id"),
+        sliced, steps = _in_slices(*_named(requests.join(great, "user_id", "left_semi"), held.join(great, "user_id", "left_semi")))
+        parts.append(sliced)
+    told, path = staged_parts(parts, "swaps-told")
+    discard(told.sparkSession, at_requests, at_held, at_great, *steps)
+    matched = told.select(F.col("request").cast(requests.schema["request_id"].dataType).alias("request_id"),
                        F.col("row").cast(held.schema["transaction_id"].dataType).alias("transaction_id"))
+    return matched, path
 
 
 def _whole(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -82,37 +85,41 @@ def _swap_in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["request", "row"])
 
 
-def _in_slices(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(request, row) for users too great for one task."""
+def _in_slices(asked: DataFrame, held: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(request, row) for users too great for one task, and the tables to delete once that is read."""
     user = held.schema["user_id"].dataType
     told_schema = _TOLD.format(user=user.simpleString())
-    asked, at_asked = staged(rank_in_key(asked, ["user_id"], ["at", "request_id"], "k"), "sliced-swaps")
-    held, at_held = staged(rank_in_key(held, _PAIR, ["row"], "rank"), "ranked-buys")
+    asked, at_asked = staged_ranks(asked, ["user_id"], ["at", "request_id"], "k")
+    held, at_held = staged_ranks(held, _PAIR, ["row"], "rank")
     told = held.sparkSession.createDataFrame([], told_schema)
     last = asked.agg(F.max("k")).first()[0] or 0
-    rounds = []
+    rounds, paths = [], []
     for number in range(-(-last // SLICE)):
         own = asked.filter((F.col("k") > number * SLICE) & (F.col("k") <= (number + 1) * SLICE))
-        step, _ = staged(_handed(own, held, told).groupBy("user_id").applyInPandas(_replayed(user), told_schema), "slice-told")
+        rows, at_least = _handed(own, held, told)
+        step, path = staged(rows.groupBy("user_id").applyInPandas(_replayed(user), told_schema), "slice-told")
+        discard(held.sparkSession, at_least)
         rounds.append(step)
+        paths.append(path)
         told = union_all(rounds)
     discard(held.sparkSession, at_asked, at_held)
-    return told.filter("request IS NOT NULL").select("request", "row")
+    return told.filter("request IS NOT NULL").select("request", "row"), paths
 
 
-def _handed(own: DataFrame, held: DataFrame, told: DataFrame) -> DataFrame:
-    """A slice's requests, and the rows that these can reach."""
+def _handed(own: DataFrame, held: DataFrame, told: DataFrame) -> tuple[DataFrame, str]:
+    """A slice's requests, and the rows that these can reach; and the table to delete once that is read."""
     needs = own.groupBy(*_PAIR).agg(F.count("*").alias("n"))
     used = told.filter("used IS NOT NULL").groupBy(*_PAIR).agg(F.sum("used").alias("done"))
     ranks = needs.join(used, _PAIR, "left").withColumn("done", F.coalesce("done", F.lit(0).cast("bigint")))
     ranks = ranks.select(*_PAIR, F.explode(F.sequence(F.col("done") + 1, F.col("done") + F.col("n"))).alias("rank"))
     next_held = held.join(ranks, [*_PAIR, "rank"], "left_semi")
     there = told.filter("change IS NOT NULL").groupBy(*_PAIR, "row").agg(F.sum("change").alias("net")).filter("net > 0")
-    least = rank_in_key(there.join(needs, _PAIR).select(*_PAIR, "row", "n"), _PAIR, ["row"], "rank").filter("rank <= n")
+    ranked, path = staged_ranks(there.join(needs, _PAIR).select(*_PAIR, "row", "n"), _PAIR, ["row"], "rank")
+    least = ranked.filter("rank <= n")
     row = lambda df, kind: df.select("user_id", F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("k"), _text(None).alias("request"),
                                      "row", "coin", _text(None).alias("to"))
     wishes = own.select("user_id", F.lit(_ASKED).alias("kind"), F.col("k").cast("bigint").alias("k"), "request", F.lit(None).cast(NUMBER).alias("row"), "coin", "to")
-    return union_all([row(next_held, _HELD), row(least, _GAINED), wishes])
+    return union_all([row(next_held, _HELD), row(least, _GAINED), wishes]), path
 
 
 def _replayed(user: T.DataType):
