@@ -62,6 +62,24 @@ def test_many_marks_find_their_rows(spark):
         assert found.filter("_marked <> (id % 7 = 3 OR id > 90000)").isEmpty() and found.filter("_marked").count() > 10_000
 
 
+def test_settle_p2p_writes_no_terms(spark, monkeypatch):
+    plain = settlement._by_payer
+    monkeypatch.setattr(settlement, "BY_PAYER", 0)
+    rounds = []
+    monkeypatch.setattr(settlement, "_by_payer", lambda *a: rounds.append(1) or plain(*a))
+    orders = spark.createDataFrame([(10, 2, "ETH", Decimal(5), "Wallet", "pending", ledger.T0, None)], ledger.ORDERS)
+    price = spark.createDataFrame([(1, "ETH", "5")], "crypto_price_id bigint, ticker string, current_price string")
+    asked = spark.createDataFrame([(i, ledger.at(i), 1, 10 + i // 3) for i in range(4)], "request_id bigint, request_ts timestamp, buyer_id bigint, order_id bigint")
+    tx = spark.createDataFrame([ledger.tx(1, 1, 2, 4, 40)], ledger.TX)
+    out = []
+    there = left(spark, lambda: out.append(M.settle_p2p(orders, tx, ledger.wallet(spark, {1: "5"}), price, asked)))
+    assert set(there) == {"requests", "accepted-rows"} and rounds
+    kept = set(spark.read.parquet(there["requests"]).columns)
+    assert kept == {*asked.columns, "seller_id", "ticker", "price", "payment_mode", settlement.ROW}
+    assert {r.request_id: r.reject_reason for r in out[0].rejects.collect()} == dict.fromkeys((1, 2, 3), "order not found")
+    assert out[0].orders.isEmpty()
+
+
 def test_list_or_buy_in_parts(spark, monkeypatch):
     monkeypatch.setattr(session, "PART_ROWS", 20)
     there = left(spark, lambda: ledger.test_list_or_buy_equals_one_by_one(spark, 1))
